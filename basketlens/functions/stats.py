@@ -74,19 +74,24 @@ def quantiles(
         .groupBy(*by, F.col(value).cast("double").alias("_value"))
         .agg((F.count(F.lit(1)) if weight is None else F.sum(weight)).alias("_n"))
     )
+    # Both uses of `freq` read the same two columns, so Spark computes its shuffle once and reuses it.
     cut_points = [i / buckets for i in range(1, buckets)]
-    cuts = freq.groupBy(*by).agg(F.percentile_approx("_value", cut_points, 10_000).alias("_cuts"))
-    tagged = freq.join(cuts, by) if by else freq.withColumn("_cuts", cuts.scalar())
-    tagged = tagged.withColumn("_bucket", F.size(F.filter("_cuts", lambda cut: cut < F.col("_value")))).drop("_cuts")
+    cuts = freq.groupBy(*by).agg(F.struct(
+        F.percentile_approx("_value", cut_points, 10_000).alias("cuts"), F.sum("_n").alias("total")
+    ).alias("_group"))
+    tagged = freq.join(cuts, by) if by else freq.withColumn("_group", cuts.scalar())
+    tagged = tagged.select(
+        *by, "_value", "_n", F.col("_group.total").alias("_total"),
+        F.size(F.filter("_group.cuts", lambda cut: cut < F.col("_value"))).alias("_bucket"),
+    )
 
     # One row per range: at most `buckets` rows per group.
-    in_group = W.partitionBy(*by)
+    in_group = W.partitionBy(*by).orderBy("_bucket").rowsBetween(W.unboundedPreceding, 0)
     ranges = (
         tagged.groupBy(*by, "_bucket")
-        .agg(F.sum("_n").alias("_size"))
-        .withColumn("_end", F.sum("_size").over(in_group.orderBy("_bucket").rowsBetween(W.unboundedPreceding, 0)))
+        .agg(F.sum("_n").alias("_size"), F.max("_total").alias("_total"))
+        .withColumn("_end", F.sum("_size").over(in_group))
         .withColumn("_start", F.col("_end") - F.col("_size"))
-        .withColumn("_total", F.sum("_size").over(in_group))
     )
 
     def position(p: float) -> Column:
@@ -98,7 +103,7 @@ def quantiles(
     wanted = F.lit(False)
     for p in probabilities.values():
         wanted = wanted | holds(F.floor(position(p))) | holds(F.ceil(position(p)))
-    needed = ranges.where(wanted).drop("_size", "_end")
+    needed = ranges.where(wanted).drop("_size", "_end", "_total")
     if not by:
         needed = F.broadcast(needed)  # at most two ranges per probability
 

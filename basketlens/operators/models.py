@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml.classification import (
     LogisticRegression,
     LogisticRegressionModel,
@@ -31,6 +33,7 @@ from basketlens.operators.rfm import METRICS, scale_rfm
 
 SEED = 42
 RESTARTS = 10
+PARALLEL_FITS = 5
 
 
 def _vectors(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -38,8 +41,15 @@ def _vectors(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def best_kmeans(vectors: DataFrame, k: int, restarts: int = RESTARTS, seed: int = SEED) -> KMeansModel:
-    """The cheapest of several k-means fits with consecutive seeds. ``vectors`` should be persisted."""
-    fits = (KMeans(k=k, seed=seed + i, maxIter=300, tol=1e-4).fit(vectors) for i in range(restarts))
+    """The cheapest of several k-means fits with consecutive seeds. ``vectors`` should be persisted.
+
+    A fit is a chain of short jobs, so several run side by side, as the tuning classes of Spark ML do.
+    """
+    def fit(i: int) -> KMeansModel:
+        return KMeans(k=k, seed=seed + i, maxIter=300, tol=1e-4).fit(vectors)
+
+    with ThreadPool(min(PARALLEL_FITS, restarts)) as pool:
+        fits = pool.map(inheritable_thread_target(vectors.sparkSession)(fit), range(restarts))
     return min(fits, key=lambda model: model.summary.trainingCost)
 
 

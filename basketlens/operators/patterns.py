@@ -16,6 +16,7 @@ from basketlens.fixed_values import GROWTH_FLOOR, SEGMENTS, VALUE_CLASSES
 from basketlens.functions import stats
 from basketlens.functions.columns import month_name, money, share_percent, year_month
 from basketlens.operators.lines import sold_lines
+from basketlens.session import settle
 
 
 def _per_customer(facts: DataFrame, key: str) -> DataFrame:
@@ -84,13 +85,14 @@ def top_categories_by_segment(category_facts: DataFrame, segments: DataFrame, n:
 def segment_price_sensitivity(retail: Retail, segments: DataFrame) -> DataFrame:
     """Per segment: mean, median and sample deviation of the price of items sold, and items; two decimals.
 
-    Items are counted per customer and product first; the statistics weigh every price with its count.
+    Items are counted per customer and product first; the statistics weigh every price with its count. The counts per
+    segment and price are settled, since mean, deviation and median all start from them.
     """
     counts = (
         sold_lines(retail).dropna(subset=["customer_id"]).groupBy("customer_id", "product_id")
         .agg(F.count(F.lit(1)).alias("items"))
     )
-    priced = (
+    priced = settle(
         counts.join(segments.select("customer_id", "segment"), "customer_id")
         .dropna(subset=["segment"])
         .groupBy("segment", "product_id")

@@ -13,6 +13,7 @@ from basketlens.functions import stats
 from basketlens.operators import baskets, customers, features, lines, models, patterns, products, rfm, sales
 from basketlens.plans.base_sql import BASE
 from basketlens.plans.views import Views
+from basketlens.session import settle
 from basketlens.sources import schemas
 from basketlens.sources.files import with_file_headers
 from basketlens.sources.tables import load_basket_texts
@@ -206,8 +207,8 @@ SELECT invoice_no, CASE WHEN product_count > 0 THEN round(revenue / product_coun
 
 query("share_percent", """
 SELECT customer_id, round(monetary * 100 / (SELECT sum(CAST(monetary AS DECIMAL(20,2))) FROM rfm), 6) AS share FROM rfm
-""")(lambda v: rounded(v.scores.withColumn("share", C.share_percent(
-    F.col("monetary"), rfm.rfm_totals(v.scores).select("revenue").scalar()
+""")(lambda v: rounded(v.score_table.withColumn("share", C.share_percent(
+    F.col("monetary"), rfm.rfm_totals(v.score_table).select("revenue").scalar()
 )).select("customer_id", "share"), 6, "share"))
 
 query("round_n", """
@@ -620,7 +621,7 @@ FROM sizes GROUP BY shopping_mall
 query("rfm", "SELECT * FROM rfm")(lambda v: v.scores)
 
 query("rfm_describe", f"SELECT metric, {_summary_sql('value')} FROM rfm_long GROUP BY metric")(
-    lambda v: _rounded_summary(rfm.rfm_describe(v.scores))
+    lambda v: _rounded_summary(rfm.rfm_describe(v.score_table))
 )
 
 query("rfm_histograms", """
@@ -632,14 +633,14 @@ FROM (SELECT metric, b AS bin, lo, width,
             FROM rfm_long GROUP BY metric) CROSS JOIN range(50) x(b)) g
 LEFT JOIN rfm_long r ON r.metric = g.metric AND r.value >= edge AND (r.value < next_edge OR (bin = 49 AND r.value = next_edge))
 GROUP BY g.metric, g.bin, g.lo, g.width
-""")(lambda v: rounded(rfm.rfm_histograms(v.scores), 4, "bin_low", "bin_high"))
+""")(lambda v: rounded(rfm.rfm_histograms(v.score_table), 4, "bin_low", "bin_high"))
 
 query("scale_rfm", """
 SELECT customer_id, round((recency - avg(recency) OVER ()) / stddev_pop(recency) OVER (), 6) AS recency_scaled,
        round((f - avg(f) OVER ()) / stddev_pop(f) OVER (), 6) AS frequency_scaled,
        round((m - avg(m) OVER ()) / stddev_pop(m) OVER (), 6) AS monetary_scaled
 FROM (SELECT customer_id, recency, ln(1 + frequency) AS f, ln(1 + monetary) AS m FROM rfm)
-""")(lambda v: rounded(rfm.scale_rfm(v.scores), 6, "recency_scaled", "frequency_scaled", "monetary_scaled"))
+""")(lambda v: rounded(rfm.scale_rfm(v.score_table), 6, "recency_scaled", "frequency_scaled", "monetary_scaled"))
 
 query("cluster_profile", "SELECT cluster, " + ", ".join(
     f"round({fn}({m}), 2) AS {m}_{label}" for m in rfm.METRICS
@@ -726,12 +727,12 @@ SELECT count(*) AS customers FROM labelled WHERE ltv_class = 'Low' AND future_lt
 query("at_risk_high_value_actual", """
 SELECT count(*) AS customers, CAST(coalesce(sum(CAST(monetary AS DECIMAL(20,4))), 0) AS DOUBLE) AS revenue_at_risk
 FROM rfm WHERE recency > 180 AND monetary > (SELECT quantile_cont(monetary, 0.75) FROM rfm)
-""")(lambda v: features.at_risk_high_value(v.scores, "monetary"))
+""")(lambda v: features.at_risk_high_value(v.score_table, "monetary"))
 
 query("at_risk_future_ltv", """
 SELECT count(*) AS customers, CAST(coalesce(sum(CAST(future_ltv AS DECIMAL(20,4))), 0) AS DOUBLE) AS revenue_at_risk
 FROM labelled WHERE recency > 180 AND future_ltv > (SELECT quantile_cont(future_ltv, 0.75) FROM labelled)
-""")(lambda v: features.at_risk_high_value(v.targets, "future_ltv"))
+""")(lambda v: features.at_risk_high_value(v.target_table, "future_ltv"))
 
 query("ltv_boxplot_by_class", """
 SELECT l.ltv_class AS value_class, round(q25, 4) AS q25, round(q50, 4) AS q50, round(q75, 4) AS q75,
@@ -958,3 +959,129 @@ query("avg_monthly_growth", f"""
 SELECT round(avg(growth) * 100, 4) AS avg_growth, round(greatest(avg(growth) * 100, 5), 4) AS headline_growth
 FROM (SELECT monthly_revenue / lag(monthly_revenue) OVER (ORDER BY year_month) - 1 AS growth FROM ({_TRENDS_SQL}))
 """)(lambda v: rounded(patterns.avg_monthly_growth(patterns.monthly_trends(v.facts)), 4, "avg_growth", "headline_growth"))
+
+# ------------------------------------------------------------------ models
+
+_LEVELS = {
+    "gender": ("M",),
+    "payment_method": ("BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"),
+    "segment": ("High Value", "New/Low Activity", "Regular"),
+}
+
+
+def _feature_matrix(v: Views) -> DataFrame:
+    encoder = models.FeatureEncoder.fit(v.labelled)
+    scaled = [f"{name}_scaled" for name in encoder.moments]
+    flags = encoder.names[len(scaled):]
+    encoded = encoder.transform(v.labelled).select("customer_id", *scaled, *(F.col(f"`{name}`") for name in flags))
+    return rounded(encoded, 6, *scaled)
+
+
+query("feature_matrix", "SELECT customer_id, " + ", ".join(
+    f"round(({name} - avg({name}) OVER ()) / stddev_pop({name}) OVER (), 6) AS {name}_scaled"
+    for name in features.NUMERIC_FEATURES
+) + ", " + ", ".join(
+    f"CAST(CASE WHEN {name} = '{level}' THEN 1 ELSE 0 END AS DOUBLE) AS \"{name}_{level}\""
+    for name, levels in _LEVELS.items() for level in levels
+) + " FROM labelled")(_feature_matrix)
+
+# the metrics on a prediction that SQL can make too: total spending as the forecast of the recent spending
+query("regression_metrics", """
+SELECT count(*) AS customers, round(sqrt(avg(pow(future_ltv - monetary, 2))), 4) AS rmse,
+       round(1 - avg(pow(future_ltv - monetary, 2)) / var_pop(future_ltv), 6) AS r2
+FROM labelled
+""")(lambda v: rounded(
+    rounded(models.regression_metrics(v.target_table, "future_ltv", "monetary"), 4, "rmse"), 6, "r2"
+))
+
+query("classification_report", """
+SELECT label, round(p, 6) AS precision, round(r, 6) AS recall, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 6) AS f1, support
+FROM (SELECT label, count(*) FILTER (ltv_class = label AND spend_class = label) / count(*) FILTER (spend_class = label) AS p,
+             count(*) FILTER (ltv_class = label AND spend_class = label) / count(*) FILTER (ltv_class = label) AS r,
+             count(*) FILTER (ltv_class = label) AS support
+      FROM labelled CROSS JOIN (SELECT 'High' AS label UNION ALL SELECT 'Low') GROUP BY label)
+UNION ALL
+SELECT 'accuracy', round(a, 6), round(a, 6), round(a, 6), n
+FROM (SELECT count(*) FILTER (ltv_class = spend_class) / count(*) AS a, count(*) AS n FROM labelled)
+UNION ALL
+SELECT k.label, round(sum(p * w), 6), round(sum(r * w), 6), round(sum(2 * p * r / (p + r) * w), 6), CAST(sum(support) AS BIGINT)
+FROM (SELECT c.label AS class, k.label, p, r, support, CASE k.label WHEN 'macro avg' THEN 0.5 ELSE support / sum(support) OVER (PARTITION BY k.label) END AS w
+      FROM (SELECT label, count(*) FILTER (ltv_class = label AND spend_class = label) / count(*) FILTER (spend_class = label) AS p,
+                   count(*) FILTER (ltv_class = label AND spend_class = label) / count(*) FILTER (ltv_class = label) AS r,
+                   count(*) FILTER (ltv_class = label) AS support
+            FROM labelled CROSS JOIN (SELECT 'High' AS label UNION ALL SELECT 'Low') GROUP BY label) c
+      CROSS JOIN (SELECT 'macro avg' AS label UNION ALL SELECT 'weighted avg') k) k
+GROUP BY k.label
+""")(lambda v: rounded(models.classification_report(
+    features.ltv_class(v.classes, "monetary", "spend_class"), "ltv_class", "spend_class"
+), 6, "precision", "recall", "f1"))
+
+# Model fits have no SQL; equal fits of one session are made once.
+_FITS: dict[tuple, object] = {}
+
+
+def _fitted(v: Views, what: str, fit: Callable[[], object]):
+    key = (v.spark.sparkContext.applicationId, v.folder, what)
+    if key not in _FITS:
+        _FITS[key] = fit()
+    return _FITS[key]
+
+
+def _ltv(v: Views) -> tuple[models.LtvModels, DataFrame, DataFrame]:
+    """The fitted forests, the predictions for all customers, and those for the held-out ones."""
+    def fit():
+        train, _ = models.split_train_test(v.labelled)
+        fitted = models.train_ltv_models(train)
+        predictions = settle(models.predict_customers(fitted, v.labelled))
+        return fitted, predictions, models.split_train_test(predictions)[1]
+    return _fitted(v, "ltv", fit)
+
+
+def _clusters(v: Views) -> tuple[DataFrame, float]:
+    def fit():
+        clustered, silhouette = models.kmeans_segments(v.score_table)
+        return settle(clustered), silhouette
+    return _fitted(v, "clusters", fit)
+
+
+def _price_clusters(v: Views) -> tuple[DataFrame, DataFrame]:
+    return _fitted(v, "price clusters", lambda: models.kmeans_price(v.retail.products))
+
+
+def _logistic(v: Views):
+    return _fitted(v, "logistic", lambda: models.logistic_category_on_price(v.retail.products, CATEGORY))
+
+
+query("logistic_category_on_price")(lambda v: models.logistic_report(v.retail.products, CATEGORY, _logistic(v)))
+query("logistic_curve")(lambda v: models.logistic_curve(v.retail.products, _logistic(v)))
+query("kmeans_price")(lambda v: _price_clusters(v)[0])
+query("kmeans_price_centers")(lambda v: _price_clusters(v)[1])
+query("k_scan")(lambda v: models.k_scan(v.score_table))
+query("kmeans_segments")(lambda v: rfm.segment_rules(_clusters(v)[0]))
+query("kmeans_cluster_profile")(lambda v: rfm.cluster_profile(_clusters(v)[0]))
+query("kmeans_segment_summary")(lambda v: rfm.segment_summary(rfm.segment_rules(_clusters(v)[0])))
+query("silhouette")(lambda v: _clusters(v)[0].groupBy().agg(F.count(F.lit(1)).alias("customers")).withColumn(
+    "silhouette_sq_euclidean", F.lit(float(_clusters(v)[1]))
+))
+query("split_train_test")(lambda v: models.split_train_test(v.target_table)[0].select("customer_id", F.lit("train").alias("side")).unionByName(
+    models.split_train_test(v.target_table)[1].select("customer_id", F.lit("test").alias("side"))
+))
+query("train_ltv_regressor")(lambda v: models.regression_metrics(_ltv(v)[2], "actual_ltv", "predicted_ltv"))
+query("train_value_classifier")(
+    lambda v: models.classification_report(_ltv(v)[2], "actual_value_class", "predicted_value_class")
+)
+query("feature_importance")(lambda v: models.feature_importance(_ltv(v)[0]))
+query("predict_customers")(lambda v: _ltv(v)[1])
+query("prediction_summary")(lambda v: features.prediction_summary(_ltv(v)[1], "predicted_ltv", "predicted_value_class"))
+query("prediction_histogram")(lambda v: stats.histogram(_ltv(v)[1], "predicted_ltv", 50))
+query("upsell_candidates")(lambda v: features.upsell_candidates(_ltv(v)[1], "predicted_ltv", "predicted_value_class"))
+query("at_risk_high_value")(lambda v: features.at_risk_high_value(
+    v.labelled.select("customer_id", "recency").join(_ltv(v)[1], "customer_id"), "predicted_ltv"
+))
+query("predicted_ltv_boxplot")(
+    lambda v: features.ltv_boxplot_by_class(_ltv(v)[1], "predicted_ltv", "predicted_value_class")
+)
+query("lines_with_predictions")(lambda v: lines.lines_with_predictions(lines.lines_with_products(v.retail), _ltv(v)[1]))
+query("category_by_predicted_class")(
+    lambda v: patterns.category_by_value_class(v.category_facts, _ltv(v)[1], "predicted_value_class")
+)

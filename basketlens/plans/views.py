@@ -7,13 +7,18 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 
 from basketlens.operators import features, lines, rfm
+from basketlens.session import settle
 from basketlens.sources.tables import load_retail
 
 TARGET_MONTHS = 6
 
 
 class Views:
-    """Lazy derived relations. Segments here come from money quartiles, so every result has an SQL counterpart."""
+    """Lazy derived relations. Segments here come from money quartiles, so every result has an SQL counterpart.
+
+    The customer-level tables that segments and value classes start from are settled: thresholds and labels read them
+    several times, and computing them means reading every order line.
+    """
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
@@ -36,9 +41,14 @@ class Views:
     def scores(self) -> DataFrame:
         return rfm.rfm(self.facts, self.retail.invoices)
 
+    @cached_property
+    def score_table(self) -> DataFrame:
+        """``scores`` settled, for operators that read them more than once."""
+        return settle(self.scores)
+
     @cached_property
     def clustered(self) -> DataFrame:
-        return rfm.quartile_groups(self.scores)
+        return settle(rfm.quartile_groups(self.score_table))
 
     @cached_property
     def segmented(self) -> DataFrame:
@@ -54,10 +64,20 @@ class Views:
         buyers = self.scores.select("customer_id", "recency", "monetary")
         return features.features_with_target(buyers, features.future_ltv_target(self.retail, TARGET_MONTHS))
 
+    @cached_property
+    def target_table(self) -> DataFrame:
+        """``targets`` settled, for operators that read them more than once."""
+        return settle(self.targets)
+
     @cached_property
     def classes(self) -> DataFrame:
-        return features.ltv_class(self.targets)
+        return settle(features.ltv_class(self.target_table))
 
     @cached_property
     def features(self) -> DataFrame:
         return features.customer_features(self.retail, self.segments, TARGET_MONTHS)
+
+    @cached_property
+    def labelled(self) -> DataFrame:
+        """Features, target and value class of every customer, settled: the models read them many times."""
+        return settle(features.ltv_class(settle(self.features)))

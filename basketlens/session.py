@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app_name: str = "basketlens", master: str | None = None, **conf: str) -> SparkSession:
@@ -44,3 +45,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         configured = tempfile.mkdtemp(prefix="basketlens-checkpoint-")
     context.setCheckpointDir(configured)
     return configured
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Writes an intermediate result as parquet in the shared checkpoint folder and reads it back.
+
+    For results that are much smaller than their inputs and feed several branches of a plan: the inputs are read once,
+    a lost executor does not send the job back to them, and Spark knows the size of the table when it plans joins.
+    """
+    folder = f"{ensure_checkpoint_dir(df.sparkSession)}/settled-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)

@@ -108,7 +108,8 @@ def lines_with_products(retail: Retail) -> DataFrame:
     invoices could not split an invoice that is hot on the line side.
     """
     sold = priced_lines(retail.lines, retail.products).join(retail.invoices, "invoice_no")
-    empty = retail.invoices.join(retail.lines.select("invoice_no"), "invoice_no", "left_anti")
+    filled = retail.lines.select("invoice_no").distinct()  # one row per invoice before the shuffle
+    empty = retail.invoices.join(filled, "invoice_no", "left_anti")
     return sold.unionByName(empty, allowMissingColumns=True)
 
 

@@ -131,12 +131,12 @@ def segment_mall_preferences(facts: DataFrame, segments: DataFrame) -> DataFrame
 
 
 def with_month(facts: DataFrame) -> DataFrame:
-    return facts.withColumn("year_month", year_month(F.col("invoice_date")))
+    return facts.dropna(subset=["invoice_date"]).withColumn("year_month", year_month(F.col("invoice_date")))
 
 
 def monthly_trends(facts: DataFrame) -> DataFrame:
     """Per month: revenue, invoices, items and customers."""
-    per_customer = with_month(facts).dropna(subset=["year_month"]).groupBy("year_month", "customer_id").agg(
+    per_customer = with_month(facts).groupBy("year_month", "customer_id").agg(
         F.sum("revenue").alias("revenue"), F.count("invoice_no").alias("invoices"), F.sum("product_count").alias("items")
     )
     return (
@@ -153,9 +153,10 @@ def monthly_trends(facts: DataFrame) -> DataFrame:
 
 
 def seasonal_patterns(facts: DataFrame) -> DataFrame:
-    return facts.groupBy(F.year("invoice_date").alias("year"), F.month("invoice_date").alias("month")).agg(
+    dated = facts.dropna(subset=["invoice_date"])
+    return dated.groupBy(F.year("invoice_date").alias("year"), F.month("invoice_date").alias("month")).agg(
         money(F.sum("revenue")).alias("revenue"), F.count("invoice_no").alias("transactions")
-    ).dropna(subset=["year"])
+    )
 
 
 def seasonal_average(facts: DataFrame) -> DataFrame:

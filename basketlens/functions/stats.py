@@ -229,10 +229,12 @@ def distinct_labels(df: DataFrame, column: str) -> list:
 def crosstab_long(
     df: DataFrame, row: str, column: str, values: Sequence, value_as: str = "count", measure: Column | None = None
 ) -> DataFrame:
-    """The zero-filled matrix as (row, column, value) rows."""
+    """The zero-filled matrix as (row, column, value) rows; a column without any entry is left out."""
     names = [f"_{i}" for i in range(len(values))]
     wide = crosstab(df, row, column, values, measure).toDF(row, *names)
     cells = F.array(*(
         F.struct(F.lit(label).alias(column), F.col(name).alias(value_as)) for label, name in zip(values, names)
     ))
-    return wide.select(row, F.explode(cells).alias("_cell")).select(row, f"_cell.{column}", f"_cell.{value_as}")
+    long = wide.select(row, F.explode(cells).alias("_cell")).select(row, f"_cell.{column}", f"_cell.{value_as}")
+    filled = F.max(F.col(value_as) != 0).over(W.partitionBy(column))
+    return long.withColumn("_filled", filled).where("_filled").drop("_filled")

@@ -53,8 +53,7 @@ def crosstab_age_payment_rowpct(customers: DataFrame) -> DataFrame:
     """Share of each payment method inside an age band, in percent with one decimal."""
     cells = crosstab_age_payment(customers)
     band_total = F.sum("customers").over(W.partitionBy("age_band"))
-    share = F.round(share_percent(F.col("customers"), band_total), 1)
-    return cells.withColumn("share", share).where(F.col("share").isNotNull()).drop("customers")
+    return cells.withColumn("share", F.round(share_percent(F.col("customers"), band_total), 1)).drop("customers")
 
 
 def age_band_profile(customers: DataFrame) -> DataFrame:

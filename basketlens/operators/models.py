@@ -34,6 +34,7 @@ from basketlens.operators.rfm import METRICS, scale_rfm
 SEED = 42
 RESTARTS = 10
 PARALLEL_FITS = 5
+TOLERANCE = 1e-4
 
 
 def _vectors(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -43,10 +44,12 @@ def _vectors(df: DataFrame, columns: list[str]) -> DataFrame:
 def best_kmeans(vectors: DataFrame, k: int, restarts: int = RESTARTS, seed: int = SEED) -> KMeansModel:
     """The cheapest of several k-means fits with consecutive seeds. ``vectors`` should be persisted.
 
-    A fit is a chain of short jobs, so several run side by side, as the tuning classes of Spark ML do.
+    A fit ends when the squared moves of all centres sum to under TOLERANCE on data of unit variance; Spark bounds the
+    move of each centre, hence the root. A fit is a chain of short jobs, so several run side by side, as the tuning
+    classes of Spark ML do.
     """
     def fit(i: int) -> KMeansModel:
-        return KMeans(k=k, seed=seed + i, maxIter=300, tol=1e-4).fit(vectors)
+        return KMeans(k=k, seed=seed + i, maxIter=300, tol=(TOLERANCE / k) ** 0.5).fit(vectors)
 
     with ThreadPool(min(PARALLEL_FITS, restarts)) as pool:
         fits = pool.map(inheritable_thread_target(vectors.sparkSession)(fit), range(restarts))
@@ -55,15 +58,18 @@ def best_kmeans(vectors: DataFrame, k: int, restarts: int = RESTARTS, seed: int
 
 def kmeans_price(products: DataFrame, k: int = 3) -> tuple[DataFrame, DataFrame]:
     """Products with a price cluster, and the cluster centres in ascending order (cluster 0 is the cheapest)."""
-    priced = products.where(F.col("price").isNotNull()).withColumn("_price", F.col("price").cast("double"))
-    vectors = _vectors(priced, ["_price"]).persist(StorageLevel.MEMORY_AND_DISK)
+    priced = products.where(F.col("price").isNotNull())
+    # one scale for all prices changes no cluster and gives the tolerance its meaning
+    unit = priced.agg(F.stddev_pop(F.col("price").cast("double"))).first()[0] or 1.0
+    scaled = _vectors(priced.withColumn("_scaled", F.col("price").cast("double") / unit), ["_scaled"])
+    vectors = scaled.select("features").persist(StorageLevel.MEMORY_AND_DISK)
     try:
         model = best_kmeans(vectors, k)
     finally:
         vectors.unpersist()
-    centres = sorted((float(centre[0]), i) for i, centre in enumerate(model.clusterCenters()))
+    centres = sorted((float(centre[0]) * unit, i) for i, centre in enumerate(model.clusterCenters()))
     rank = F.element_at(_int_map({old: new for new, (_, old) in enumerate(centres)}), F.col("prediction"))
-    assigned = model.transform(_vectors(priced, ["_price"])).withColumn("cluster", rank)
+    assigned = model.transform(scaled).withColumn("cluster", rank)
     spark = products.sparkSession
     table = spark.createDataFrame([(i, price) for i, (price, _) in enumerate(centres)], "cluster int, center double")
     return assigned.select("product_id", "price", "cluster"), table
@@ -214,7 +220,12 @@ class LtvModels:
 def train_ltv_models(train: DataFrame, trees: int = 100, depth: int = 10, seed: int = SEED) -> LtvModels:
     """A forest for the amount (``future_ltv``) and one for the class (``ltv_class``), on the encoded features."""
     encoder = FeatureEncoder.fit(train)
-    data = encode_label(encoder.transform(train)).select("features", "future_ltv", "label").persist(StorageLevel.MEMORY_AND_DISK)
+    data = encode_label(encoder.transform(train)).select("customer_id", "features", "future_ltv", "label")
+    cores = train.sparkSession.sparkContext.defaultParallelism
+    if len(train.inputFiles()) < cores:
+        # a small table in few files would be trained on by few cores; larger ones stay as they lie
+        data = data.repartition(cores, "customer_id")
+    data = data.persist(StorageLevel.MEMORY_AND_DISK)
     settings = dict(numTrees=trees, maxDepth=depth, seed=seed, maxBins=64, maxMemoryInMB=512)
     try:
         regressor = RandomForestRegressor(

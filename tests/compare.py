@@ -1,6 +1,6 @@
 """Compares registered queries with their SQL run by DuckDB, and prints one line per query.
 
-Usage: python -m tests.compare [--sf 0.01] [query ...]
+Usage: python -m tests.compare [--sf 0.01 | --folder PATH] [query ...]
 """
 
 from __future__ import annotations
@@ -74,9 +74,10 @@ def main() -> None:
 
     parser = argparse.ArgumentParser()
     parser.add_argument("--sf", default="0.01")
+    parser.add_argument("--folder", help="a table folder instead of a scale factor")
     parser.add_argument("names", nargs="*")
     options = parser.parse_args()
-    folder = f"/root/testdata/sf{options.sf}"
+    folder = options.folder or f"/root/testdata/sf{options.sf}"
     spark = build_session("compare", "local[8]", **{
         "spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.driver.memory": "8g",
         "spark.ui.showConsoleProgress": "false",

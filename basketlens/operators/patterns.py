@@ -15,7 +15,6 @@ from basketlens.dataset import Retail
 from basketlens.fixed_values import GROWTH_FLOOR, SEGMENTS, VALUE_CLASSES
 from basketlens.functions import stats
 from basketlens.functions.columns import month_name, money, share_percent, year_month
-from basketlens.operators.lines import sold_lines
 from basketlens.session import settle
 
 
@@ -85,18 +84,16 @@ def top_categories_by_segment(category_facts: DataFrame, segments: DataFrame, n:
 def segment_price_sensitivity(retail: Retail, segments: DataFrame) -> DataFrame:
     """Per segment: mean, median and sample deviation of the price of items sold, and items; two decimals.
 
-    Items are counted per customer and product first; the statistics weigh every price with its count. The counts per
-    segment and price are settled, since mean, deviation and median all start from them.
+    Invoices take the segment of their customer before they meet the lines, so that lines are shuffled once and counted
+    per segment and product map-side. The counts per segment and price are settled, since mean, deviation and median
+    all start from them and weigh every price with its count.
     """
-    counts = (
-        sold_lines(retail).dropna(subset=["customer_id"]).groupBy("customer_id", "product_id")
-        .agg(F.count(F.lit(1)).alias("items"))
-    )
+    labels = segments.select("customer_id", "segment").dropna()
+    labelled = retail.invoices.select("invoice_no", "customer_id").join(labels, "customer_id").drop("customer_id")
     priced = settle(
-        counts.join(segments.select("customer_id", "segment"), "customer_id")
-        .dropna(subset=["segment"])
+        retail.lines.join(labelled, "invoice_no")
         .groupBy("segment", "product_id")
-        .agg(F.sum("items").alias("items"))
+        .agg(F.count("product_id").alias("items"))
         .join(retail.products.select("product_id", "price"), "product_id", "left")
         .groupBy("segment", "price")
         .agg(F.sum("items").alias("items"))

@@ -7,7 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basketlens.fixed_values import AGE_BAND_STRATEGIES, PRICE_BAND_CHARACTERS, SEGMENT_PLAYBOOK
+from basketlens.fixed_values import (
+    AGE_BAND_STRATEGIES,
+    PRICE_BAND_CHARACTERS,
+    PRICE_TIER_STRATEGIES,
+    SEGMENT_PLAYBOOK,
+)
 from basketlens.functions import columns as C
 from basketlens.functions import stats
 from basketlens.operators import baskets, customers, features, lines, models, patterns, products, rfm, sales
@@ -428,10 +433,7 @@ FROM products GROUP BY category
 """)(lambda v: products.category_price_stats(v.retail.products))
 
 query("category_strategy", f"""
-SELECT *, CASE tier WHEN 'Economy' THEN 'Economy segment - focus on volume sales, bundle offers'
-                    WHEN 'Mid-range' THEN 'Mid-range segment - balance quality and affordability'
-                    WHEN 'Premium' THEN 'Premium segment - emphasize quality and features'
-                    ELSE 'Luxury segment - focus on exclusivity and premium experience' END AS strategy
+SELECT *, {_sql_texts('tier', PRICE_TIER_STRATEGIES)} AS strategy
 FROM (SELECT category, products, round(avg_price, 4) AS avg_price, price_std, share, {_TIER_SQL} AS tier
       FROM (SELECT category, count(*) AS products, CAST(sum(price) AS DOUBLE) / count(price) AS avg_price,
                    round(stddev_samp(price), 4) AS price_std, round(count(*) * 100 / sum(count(*)) OVER (), 4) AS share

@@ -97,3 +97,17 @@ def test_stages_hand_over_through_tables(spark, shop_files, tmp_path):
     for name in ("category_by_segment", "category_by_value_class", "segment_prices", "segment_malls", "segment_trends",
                  "seasonal_patterns", "order_sizes", "category_combinations", "growth"):
         assert getattr(sales, name).count() > 0
+
+
+def test_command_line_runs_one_stage_after_the_other(spark, shop_files, tmp_path, monkeypatch, capsys):
+    import sys
+
+    from basketlens.__main__ import main
+
+    out = str(tmp_path / "cli")
+    inputs = [x for name, path in zip(("--customers", "--products", "--sales"), shop_files) for x in (name, path)]
+    for stage in ("segmentation", "ltv", "patterns"):
+        monkeypatch.setattr(sys, "argv", ["basketlens", *inputs, "--out", out, "--stage", stage])
+        main()
+    printed = capsys.readouterr().out
+    assert "== segment_summary" in printed and "== importance" in printed and "== key_findings" in printed

@@ -105,6 +105,14 @@ def share_percent(part: Column, whole: Column) -> Column:
     return F.try_divide(part.cast("double") * 100, whole.cast("double"))
 
 
+def known(*names: str) -> Column:
+    """True where none of the columns is missing, as plain conditions that reach the scan."""
+    condition = F.lit(True)
+    for name in names:
+        condition = condition & F.col(name).isNotNull()
+    return condition
+
+
 def fill_zero(value: Column) -> Column:
     return F.coalesce(value, F.lit(0))
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from basketlens.functions.columns import share_percent
+from basketlens.functions.columns import known, share_percent
 
 SUMMARY_PROBABILITIES = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
 # Distance of the approximate cuts from a wanted quantile, ten times the error bound of the approximation.
@@ -18,7 +18,7 @@ WEIGHTED_RANGES = 64
 
 def distribution(df: DataFrame, *keys: str, count_as: str = "count") -> DataFrame:
     """Rows per key; rows with a missing key are left out."""
-    return df.dropna(subset=list(keys)).groupBy(*keys).agg(F.count(F.lit(1)).alias(count_as))
+    return df.where(known(*keys)).groupBy(*keys).agg(F.count(F.lit(1)).alias(count_as))
 
 
 def with_share(df: DataFrame, part: str, share_as: str) -> DataFrame:
@@ -213,14 +213,14 @@ def crosstab(
     df: DataFrame, row: str, column: str, values: Sequence, measure: Column | None = None
 ) -> DataFrame:
     """A zero-filled matrix: one row per ``row``, one column per entry of ``values``."""
-    cells = df.dropna(subset=[row, column]).groupBy(row).pivot(column, list(values))
+    cells = df.where(known(row, column)).groupBy(row).pivot(column, list(values))
     return cells.agg(F.count(F.lit(1)) if measure is None else measure).fillna(0)
 
 
 def distinct_labels(df: DataFrame, column: str) -> list:
     """The distinct labels of a matrix axis. As with ``pivot``, more than pivotMaxValues of them is an error."""
     limit = int(df.sparkSession.conf.get("spark.sql.pivotMaxValues", "10000"))
-    rows = df.select(column).dropna().distinct().orderBy(column).limit(limit + 1).collect()
+    rows = df.where(known(column)).select(column).distinct().orderBy(column).limit(limit + 1).collect()
     if len(rows) > limit:
         raise ValueError(f"{column} has more than {limit} labels and cannot be a matrix axis")
     return [r[0] for r in rows]

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from basketlens.dataset import Retail
 from basketlens.functions import stats
-from basketlens.functions.columns import money, sorted_set_string
+from basketlens.functions.columns import known, money, sorted_set_string
 from basketlens.operators.lines import priced_lines
 from basketlens.operators.sales import top_product_filter, top_products
 from basketlens.session import ensure_checkpoint_dir
@@ -56,8 +56,8 @@ def top_category_combinations(retail: Retail, n: int = 10) -> DataFrame:
 
 def lines_by_category(retail: Retail) -> DataFrame:
     """Lines with the category in the place of the product, for co-purchase between categories."""
-    known = priced_lines(retail.lines, retail.products).where(F.col("category").isNotNull())
-    return known.select("invoice_no", F.col("category").alias("product_id"))
+    categorised = priced_lines(retail.lines, retail.products).where(known("category"))
+    return categorised.select("invoice_no", F.col("category").alias("product_id"))
 
 
 def copurchase_nodes(lines: DataFrame, top_n: int = 15) -> DataFrame:

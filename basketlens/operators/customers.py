@@ -8,7 +8,7 @@ from pyspark.sql.window import Window as W
 
 from basketlens.fixed_values import AGE_BAND_STRATEGIES, AGE_BANDS
 from basketlens.functions import stats
-from basketlens.functions.columns import age_band, lookup, share_percent
+from basketlens.functions.columns import age_band, known, lookup, share_percent
 
 AGE_LABELS = [label for _, label in AGE_BANDS]
 
@@ -69,7 +69,7 @@ def age_band_profile(customers: DataFrame) -> DataFrame:
 def payment_profile(customers: DataFrame) -> DataFrame:
     """Per payment method: mean age, percentage of women among known genders, users."""
     woman = F.when(F.col("gender").isNotNull(), F.when(F.col("gender") == "F", 100.0).otherwise(0.0))
-    return customers.dropna(subset=["payment_method"]).groupBy("payment_method").agg(
+    return customers.where(known("payment_method")).groupBy("payment_method").agg(
         F.avg("age").alias("avg_age"),
         F.avg(woman).alias("female_share"),
         F.count(F.lit(1)).alias("customers"),

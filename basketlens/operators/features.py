@@ -8,7 +8,15 @@ from pyspark.sql import functions as F
 from basketlens.dataset import Retail
 from basketlens.fixed_values import CHURN_DAYS, HIGH, LOW, MONTHLY_GROWTH
 from basketlens.functions import stats
-from basketlens.functions.columns import days_between, fill_zero, money, months_before, safe_ratio, share_percent, year_month
+from basketlens.functions.columns import (
+    days_between,
+    fill_zero,
+    known,
+    money,
+    months_before,
+    safe_ratio,
+    year_month,
+)
 from basketlens.operators.lines import customer_lookup, invoice_facts, invoice_sizes, sold_lines
 from basketlens.operators.rfm import snapshot_date
 
@@ -36,7 +44,7 @@ def recent_window(invoices: DataFrame, months: int = 6) -> DataFrame:
 
 def favorite_mall(retail: Retail) -> DataFrame:
     """The mall where a customer bought most items; an empty basket counts as one item."""
-    per_mall = invoice_sizes(retail).dropna(subset=["customer_id", "shopping_mall"]).groupBy(
+    per_mall = invoice_sizes(retail).where(known("customer_id", "shopping_mall")).groupBy(
         "customer_id", "shopping_mall"
     ).agg(F.sum(F.greatest("product_count", F.lit(1))).alias("_rows"))
     best = per_mall.groupBy("customer_id").agg(F.min(F.struct((-F.col("_rows")).alias("n"), "shopping_mall")).alias("_b"))
@@ -80,7 +88,7 @@ def _variety(retail: Retail) -> DataFrame:
         F.count("product_id").alias("unique_products"), F.count_distinct("category").alias("product_categories")
     )
     malls = retail.invoices.groupBy("customer_id").agg(F.count_distinct("shopping_mall").alias("unique_malls"))
-    return malls.join(goods, "customer_id", "left").fillna(0)
+    return malls.join(goods, "customer_id", "left").fillna(0, subset=["unique_products", "product_categories"])
 
 
 def customer_features(
@@ -91,15 +99,15 @@ def customer_features(
     The target covers the last months of the same data the features see, so by default it leaks into them.
     ``as_of_months`` computes the features only from invoices before that window; the target is unaffected.
     """
-    known = Retail(
-        retail.customers, retail.products, retail.invoices.dropna(subset=["customer_id"]), retail.lines
+    whole = Retail(
+        retail.customers, retail.products, retail.invoices.where(known("customer_id")), retail.lines
     )
-    snapshot = snapshot_date(known.invoices)
-    past = known
+    snapshot = snapshot_date(whole.invoices)
+    past = whole
     if as_of_months:
         snapshot = months_before(snapshot, as_of_months)
         past = Retail(
-            known.customers, known.products, known.invoices.where(F.col("invoice_date") <= snapshot), known.lines
+            whole.customers, whole.products, whole.invoices.where(F.col("invoice_date") <= snapshot), whole.lines
         )
     # with a cut-off the target must come from the later invoices, in a pass of its own
     window = None if as_of_months else target_months
@@ -126,7 +134,7 @@ def customer_features(
 def future_ltv_target(retail: Retail, months: int = 6) -> DataFrame:
     """Money spent per customer in the last ``months`` months, a proxy for the future. Only buyers appear."""
     recent = Retail(retail.customers, retail.products, recent_window(retail.invoices, months), retail.lines)
-    spent = invoice_facts(recent).dropna(subset=["customer_id"])
+    spent = invoice_facts(recent).where(known("customer_id"))
     return spent.groupBy("customer_id").agg(money(F.sum("revenue")).alias("future_ltv"))
 
 

@@ -14,15 +14,14 @@ from pyspark.sql.window import Window as W
 from basketlens.dataset import Retail
 from basketlens.fixed_values import GROWTH_FLOOR, SEGMENTS, VALUE_CLASSES
 from basketlens.functions import stats
-from basketlens.functions.columns import month_name, money, share_percent, year_month
+from basketlens.functions.columns import known, money, month_name, share_percent, year_month
 from basketlens.session import settle
 
 
 def _per_customer(facts: DataFrame, key: str) -> DataFrame:
     """Category or mall or month sums per customer."""
     items = "items" if "items" in facts.columns else "product_count"
-    known = facts.dropna(subset=["customer_id", key])
-    return known.groupBy("customer_id", key).agg(
+    return facts.where(known("customer_id", key)).groupBy("customer_id", key).agg(
         F.sum("revenue").alias("revenue"), F.sum(items).alias("items"), F.count("invoice_no").alias("invoices"),
         F.sum("priced_items" if "priced_items" in facts.columns else items).alias("priced_items"),
     )
@@ -49,7 +48,7 @@ def category_performance(category_facts: DataFrame) -> DataFrame:
 
 def _category_by(category_facts: DataFrame, labels: DataFrame, label: str, names: tuple[str, str]) -> DataFrame:
     per_customer = _per_customer(category_facts, "category")
-    labelled = per_customer.join(labels.select("customer_id", label), "customer_id").dropna(subset=[label])
+    labelled = per_customer.join(labels.select("customer_id", label), "customer_id").where(known(label))
     revenue_as, items_as = names
     return labelled.groupBy("category", label).agg(
         money(F.sum("revenue")).alias(revenue_as),
@@ -68,7 +67,7 @@ def category_by_value_class(category_facts: DataFrame, classes: DataFrame, value
 
 def segment_category_preferences(category_facts: DataFrame, segments: DataFrame) -> DataFrame:
     per_customer = _per_customer(category_facts, "category")
-    labelled = per_customer.join(segments.select("customer_id", "segment"), "customer_id").dropna(subset=["segment"])
+    labelled = per_customer.join(segments.select("customer_id", "segment"), "customer_id").where(known("segment"))
     return labelled.groupBy("segment", "category").agg(
         money(F.sum("revenue")).alias("revenue"),
         F.sum("items").alias("products_sold"),
@@ -88,7 +87,7 @@ def segment_price_sensitivity(retail: Retail, segments: DataFrame) -> DataFrame:
     per segment and product map-side. The counts per segment and price are settled, since mean, deviation and median
     all start from them and weigh every price with its count.
     """
-    labels = segments.select("customer_id", "segment").dropna()
+    labels = segments.where(known("customer_id", "segment")).select("customer_id", "segment")
     labelled = retail.invoices.select("invoice_no", "customer_id").join(labels, "customer_id").drop("customer_id")
     priced = settle(
         retail.lines.join(labelled, "invoice_no")
@@ -122,13 +121,13 @@ def segment_price_sensitivity(retail: Retail, segments: DataFrame) -> DataFrame:
 
 def segment_mall_preferences(facts: DataFrame, segments: DataFrame) -> DataFrame:
     per_customer = _per_customer(facts, "shopping_mall").join(segments.select("customer_id", "segment"), "customer_id")
-    return per_customer.dropna(subset=["segment"]).groupBy("segment", "shopping_mall").agg(
+    return per_customer.where(known("segment")).groupBy("segment", "shopping_mall").agg(
         money(F.sum("revenue")).alias("revenue"), F.sum("invoices").alias("transactions")
     )
 
 
 def with_month(facts: DataFrame) -> DataFrame:
-    return facts.dropna(subset=["invoice_date"]).withColumn("year_month", year_month(F.col("invoice_date")))
+    return facts.where(known("invoice_date")).withColumn("year_month", year_month(F.col("invoice_date")))
 
 
 def monthly_trends(facts: DataFrame) -> DataFrame:
@@ -150,7 +149,7 @@ def monthly_trends(facts: DataFrame) -> DataFrame:
 
 
 def seasonal_patterns(facts: DataFrame) -> DataFrame:
-    dated = facts.dropna(subset=["invoice_date"])
+    dated = facts.where(known("invoice_date"))
     return dated.groupBy(F.year("invoice_date").alias("year"), F.month("invoice_date").alias("month")).agg(
         money(F.sum("revenue")).alias("revenue"), F.count("invoice_no").alias("transactions")
     )
@@ -171,7 +170,7 @@ def segment_trends(facts: DataFrame, segments: DataFrame) -> DataFrame:
     per_customer = _per_customer(with_month(facts), "year_month").join(
         segments.select("customer_id", "segment"), "customer_id"
     )
-    return per_customer.dropna(subset=["segment"]).groupBy("year_month", "segment").agg(
+    return per_customer.where(known("segment")).groupBy("year_month", "segment").agg(
         money(F.sum("revenue")).alias("revenue"), F.sum("invoices").alias("transactions")
     )
 
@@ -192,7 +191,7 @@ def segment_value_customers(
     invoices: DataFrame, segments: DataFrame, classes: DataFrame, value_class: str
 ) -> DataFrame:
     """Distinct customers with invoices: segments by value class, zero-filled."""
-    buyers = invoices.select("customer_id").dropna().distinct()
+    buyers = invoices.where(known("customer_id")).select("customer_id").distinct()
     labelled = buyers.join(segments.select("customer_id", "segment"), "customer_id").join(
         classes.select("customer_id", value_class), "customer_id"
     )

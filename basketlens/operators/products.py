@@ -13,7 +13,7 @@ from basketlens.fixed_values import (
     PRICE_TIERS,
 )
 from basketlens.functions import stats
-from basketlens.functions.columns import Bands, flag, lookup, price_band, price_tier, share_percent
+from basketlens.functions.columns import Bands, flag, known, lookup, price_band, price_tier, share_percent
 
 
 def with_price_band(products: DataFrame, bands: Bands = PRICE_BANDS) -> DataFrame:
@@ -26,7 +26,7 @@ def filter_category(products: DataFrame, category: str | None = None) -> DataFra
 
 
 def drop_null_prices(products: DataFrame) -> DataFrame:
-    return products.where(F.col("price").isNotNull())
+    return products.where(known("price"))
 
 
 def product_count_total(products: DataFrame) -> DataFrame:
@@ -34,7 +34,7 @@ def product_count_total(products: DataFrame) -> DataFrame:
 
 
 def category_list(products: DataFrame) -> DataFrame:
-    return products.select("category").dropna().distinct().orderBy("category")
+    return products.where(known("category")).select("category").distinct().orderBy("category")
 
 
 def category_distribution(products: DataFrame) -> DataFrame:
@@ -58,7 +58,7 @@ def crosstab_category_band(products: DataFrame, bands: Bands = PRICE_BANDS) -> D
 
 def avg_price_by_category(products: DataFrame) -> DataFrame:
     return (
-        products.dropna(subset=["category"])
+        products.where(known("category"))
         .groupBy("category")
         .agg((F.sum("price").cast("double") / F.count("price")).alias("avg_price"))
         .orderBy(F.desc("avg_price"), "category")
@@ -67,19 +67,19 @@ def avg_price_by_category(products: DataFrame) -> DataFrame:
 
 def category_price_stats(products: DataFrame) -> DataFrame:
     """Per category: count, mean, median and sample deviation of the price, two decimals."""
-    known = products.dropna(subset=["category"])
-    moments = known.groupBy("category").agg(
+    categorised = products.where(known("category"))
+    moments = categorised.groupBy("category").agg(
         F.count("price").alias("count"),
         F.round(F.sum("price").cast("double") / F.count("price"), 2).alias("mean"),
         F.round(F.stddev_samp(F.col("price").cast("double")), 2).alias("std"),
     )
-    medians = stats.quantiles(known, "price", {"median": 0.5}, ["category"])
+    medians = stats.quantiles(categorised, "price", {"median": 0.5}, ["category"])
     return moments.join(medians.withColumn("median", F.round("median", 2)), "category", "left")
 
 
 def category_strategy(products: DataFrame, tiers: Bands = PRICE_TIERS) -> DataFrame:
     """Per category: size, share, mean and deviation of the price, price tier and its strategy."""
-    per_category = products.dropna(subset=["category"]).groupBy("category").agg(
+    per_category = products.where(known("category")).groupBy("category").agg(
         F.count(F.lit(1)).alias("products"),
         (F.sum("price").cast("double") / F.count("price")).alias("avg_price"),
         F.stddev_samp(F.col("price").cast("double")).alias("price_std"),
@@ -143,7 +143,7 @@ def is_category(products: DataFrame, category: str) -> DataFrame:
 
 def category_index(products: DataFrame) -> DataFrame:
     """Category ids from 0 in the order of each category's first product. One window row per category."""
-    first = products.dropna(subset=["category"]).groupBy("category").agg(F.min("product_id").alias("first_product"))
+    first = products.where(known("category")).groupBy("category").agg(F.min("product_id").alias("first_product"))
     return first.withColumn("category_id", F.row_number().over(W.orderBy("first_product")) - 1)
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from basketlens.fixed_values import AT_RISK, HIGH_VALUE, LOW_ACTIVITY, REGULAR, SEGMENT_PLAYBOOK
 from basketlens.functions import stats
-from basketlens.functions.columns import days_between, lookup, money, share_percent, zscore
+from basketlens.functions.columns import days_between, known, lookup, money, share_percent, zscore
 
 METRICS = ("recency", "frequency", "monetary")
 
@@ -22,7 +22,7 @@ def snapshot_date(invoices: DataFrame) -> Column:
 def rfm(facts: DataFrame, invoices: DataFrame, snapshot: dt.date | None = None) -> DataFrame:
     """Per customer: days since the last invoice, invoices, and money spent."""
     day = snapshot_date(invoices) if snapshot is None else F.lit(snapshot)
-    per_customer = facts.dropna(subset=["customer_id"]).groupBy("customer_id").agg(
+    per_customer = facts.where(known("customer_id")).groupBy("customer_id").agg(
         F.max("invoice_date").alias("_last"),
         F.count("invoice_no").alias("frequency"),
         money(F.sum("revenue")).alias("monetary"),

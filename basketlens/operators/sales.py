@@ -11,7 +11,7 @@ from pyspark.sql.window import Window as W
 
 from basketlens.dataset import Retail
 from basketlens.functions import stats
-from basketlens.functions.columns import share_percent, year_month
+from basketlens.functions.columns import known, share_percent, year_month
 from basketlens.operators.lines import invoice_sizes, sold_lines
 
 
@@ -47,8 +47,7 @@ def mall_orders(invoices: DataFrame) -> DataFrame:
 
 
 def mall_avg_products(sizes: DataFrame) -> DataFrame:
-    known = sizes.dropna(subset=["shopping_mall"])
-    return known.groupBy("shopping_mall").agg(F.avg("product_count").alias("avg_products"))
+    return sizes.where(known("shopping_mall")).groupBy("shopping_mall").agg(F.avg("product_count").alias("avg_products"))
 
 
 def mall_growth_index(invoices: DataFrame) -> DataFrame:
@@ -96,13 +95,13 @@ def top_customers_by_orders(invoices: DataFrame, n: int = 15) -> DataFrame:
 
 
 def top_customers_by_products(sizes: DataFrame, n: int = 15) -> DataFrame:
-    bought = sizes.dropna(subset=["customer_id"]).groupBy("customer_id").agg(F.sum("product_count").alias("items"))
+    bought = sizes.where(known("customer_id")).groupBy("customer_id").agg(F.sum("product_count").alias("items"))
     return stats.top_n(bought.where(F.col("items") > 0), n, "items", "customer_id")
 
 
 def mall_loyalty(invoices: DataFrame) -> DataFrame:
     """How many customers shop in exactly k malls, with percentages."""
-    pairs = invoices.select("customer_id", "shopping_mall").dropna().distinct()
+    pairs = invoices.where(known("customer_id", "shopping_mall")).select("customer_id", "shopping_mall").distinct()
     counts = stats.frequency_of_counts(pairs, "customer_id", "malls", "customers")
     return stats.with_share(counts, "customers", "share").orderBy("malls")
 
@@ -138,7 +137,7 @@ def mall_stats(sizes: DataFrame) -> DataFrame:
 
     Rows are first summed per mall and customer, so the distinct count needs no second pass over the invoices.
     """
-    per_customer = sizes.dropna(subset=["shopping_mall"]).groupBy("shopping_mall", "customer_id").agg(
+    per_customer = sizes.where(known("shopping_mall")).groupBy("shopping_mall", "customer_id").agg(
         F.count("invoice_no").alias("orders"), F.sum("product_count").alias("items")
     )
     return per_customer.groupBy("shopping_mall").agg(

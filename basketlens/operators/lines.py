@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from basketlens.dataset import Retail
-from basketlens.functions.columns import clean_ids, money, raw_ids
+from basketlens.functions.columns import clean_ids, raw_ids
 
 # An invoice with more lines than this is spread over several text rows, so that no row or task holds it whole.
 LINES_PER_TEXT = 1000
@@ -154,8 +154,3 @@ def dataset_shapes(retail: Retail) -> DataFrame:
         row = count.select(F.lit(name).alias("table_name"), F.col("rows"), F.lit(width).alias("columns"))
         result = row if result is None else result.unionByName(row)
     return result
-
-
-def total_revenue(facts: DataFrame) -> DataFrame:
-    """The revenue of all invoices as a one-row frame."""
-    return facts.agg(money(F.sum("revenue")).alias("total_revenue"))

@@ -29,7 +29,7 @@ from basketlens.operators.features import (
     decode_label,
     encode_label,
 )
-from basketlens.operators.rfm import METRICS, scale_rfm
+from basketlens.operators.rfm import METRICS, with_scaled_rfm
 
 SEED = 42
 RESTARTS = 10
@@ -80,13 +80,12 @@ def _int_map(pairs: dict[int, int]):
 
 
 def _rfm_vectors(scores: DataFrame) -> DataFrame:
-    scaled = scale_rfm(scores)
-    return _vectors(scaled, [f"{m}_scaled" for m in METRICS]).select("customer_id", "features")
+    return _vectors(with_scaled_rfm(scores), [f"{m}_scaled" for m in METRICS])
 
 
 def k_scan(scores: DataFrame, max_k: int = 10, restarts: int = RESTARTS) -> DataFrame:
     """Per k from 2 to ``max_k``: within-cluster sum of squares and mean silhouette (squared Euclidean)."""
-    vectors = _rfm_vectors(scores).persist(StorageLevel.MEMORY_AND_DISK)
+    vectors = _rfm_vectors(scores).select("features").persist(StorageLevel.MEMORY_AND_DISK)
     evaluator = ClusteringEvaluator()
     try:
         rows = []
@@ -103,20 +102,19 @@ def kmeans_segments(scores: DataFrame, k: int = 4, restarts: int = RESTARTS) ->
 
     Cluster ids are ordered by mean money spent, so equal fits give equal ids.
     """
-    vectors = _rfm_vectors(scores).persist(StorageLevel.MEMORY_AND_DISK)
+    scaled = _rfm_vectors(scores)
+    vectors = scaled.select("monetary", "features").persist(StorageLevel.MEMORY_AND_DISK)
     try:
         model = best_kmeans(vectors, k, restarts)
-        silhouette = ClusteringEvaluator().evaluate(model.summary.predictions)
-        predicted = model.transform(vectors).select("customer_id", F.col("prediction").alias("_fitted"))
-        means = scores.join(predicted, "customer_id").groupBy("_fitted").agg(F.avg("monetary").alias("m"))
-        order = [row["_fitted"] for row in means.orderBy("m", "_fitted").collect()]  # k rows
+        fitted = model.transform(vectors)
+        silhouette = ClusteringEvaluator().evaluate(fitted)
+        means = fitted.groupBy("prediction").agg(F.avg("monetary").alias("m"))
+        order = [row["prediction"] for row in means.orderBy("m", "prediction").collect()]  # k rows
     finally:
         vectors.unpersist()
-    ranks = _int_map({fitted: rank for rank, fitted in enumerate(order)})
-    clusters = model.transform(_rfm_vectors(scores)).select(
-        "customer_id", F.element_at(ranks, F.col("prediction")).alias("cluster")
-    )
-    return scores.join(clusters, "customer_id"), silhouette
+    ranks = _int_map({prediction: rank for rank, prediction in enumerate(order)})
+    clustered = model.transform(scaled).withColumn("cluster", F.element_at(ranks, F.col("prediction")))
+    return clustered.select(*scores.columns, "cluster"), silhouette
 
 
 def logistic_category_on_price(products: DataFrame, category: str) -> LogisticRegressionModel | None:

@@ -41,21 +41,22 @@ def rfm_histograms(scores: DataFrame, bins: int = 50) -> DataFrame:
     return stats.histogram(long, "value", bins, ["metric"])
 
 
-def scale_rfm(scores: DataFrame) -> DataFrame:
-    """Recency, log1p(frequency) and log1p(monetary) as z-scores with the population deviation."""
-    logs = scores.select(
-        "customer_id",
-        F.col("recency").cast("double").alias("recency"),
-        F.log1p("frequency").alias("frequency"),
-        F.log1p("monetary").alias("monetary"),
-    )
-    moments = logs.agg(F.struct(*(
-        f(m).alias(f"{m}_{name}") for m in METRICS for name, f in (("mean", F.avg), ("std", F.stddev_pop))
+def with_scaled_rfm(scores: DataFrame) -> DataFrame:
+    """Adds recency, log1p(frequency) and log1p(monetary) as z-scores with the population deviation (``*_scaled``)."""
+    raw = {
+        "recency": F.col("recency").cast("double"),
+        "frequency": F.log1p("frequency"),
+        "monetary": F.log1p("monetary"),
+    }
+    moments = scores.agg(F.struct(*(
+        f(raw[m]).alias(f"{m}_{name}") for m in METRICS for name, f in (("mean", F.avg), ("std", F.stddev_pop))
     )).alias("s"))
-    scaled = logs.withColumn("_s", moments.scalar())
-    return scaled.select(
-        "customer_id", *(zscore(F.col(m), F.col(f"_s.{m}_mean"), F.col(f"_s.{m}_std")).alias(f"{m}_scaled") for m in METRICS)
-    )
+    scaled = {f"{m}_scaled": zscore(raw[m], F.col(f"_s.{m}_mean"), F.col(f"_s.{m}_std")) for m in METRICS}
+    return scores.withColumn("_s", moments.scalar()).withColumns(scaled).drop("_s")
+
+
+def scale_rfm(scores: DataFrame) -> DataFrame:
+    return with_scaled_rfm(scores).select("customer_id", *(f"{m}_scaled" for m in METRICS))
 
 
 def quartile_groups(scores: DataFrame) -> DataFrame:

@@ -1,12 +1,16 @@
-"""Session helpers: a builder for stand-alone runs and the checkpoint folder."""
+"""Session helpers: a builder for stand-alone runs and the shared folder for intermediate tables."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Folders that :func:`settle` has written and nobody has removed yet, by application.
+_SETTLED: dict[str, list[str]] = {}
+
 
 def build_session(app_name: str = "basketlens", master: str | None = None, **conf: str) -> SparkSession:
     """A session with adaptive execution on. On a cluster leave ``master`` unset.
@@ -29,10 +33,10 @@ def build_session(app_name: str = "basketlens", master: str | None = None, **con
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder the cluster names in ``spark.checkpoint.dir``.
+    """The shared folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only a local-mode session (tests) gets a temporary folder of its own; a cluster without the setting is an error,
-    because a machine-local folder would be lost with its executor.
+    Where the setting is absent, a folder in the session's warehouse is taken: the warehouse is the one place that
+    Spark's own tables already need to share. A machine's temporary folder is never used.
     """
     context = spark.sparkContext
     current = context.getCheckpointDir()
@@ -40,19 +44,47 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
-        if not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a shared folder")
-        configured = tempfile.mkdtemp(prefix="basketlens-checkpoint-")
+        configured = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_intermediate"
     context.setCheckpointDir(configured)
     return configured
 
 
+def _remove(spark: SparkSession, folder: str, on_exit: bool = False) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if on_exit:
+        files.deleteOnExit(path)
+    else:
+        files.delete(path, True)
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Writes an intermediate result as parquet in the shared checkpoint folder and reads it back.
 
     For results that are much smaller than their inputs and feed several branches of a plan: the inputs are read once,
     a lost executor does not send the job back to them, and Spark knows the size of the table when it plans joins.
+    The folder is removed by :func:`release` or the enclosing :func:`scratch`, at the latest when the session's JVM ends.
     """
-    folder = f"{ensure_checkpoint_dir(df.sparkSession)}/settled-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    folder = f"{ensure_checkpoint_dir(spark)}/settled-{uuid.uuid4().hex}"
     df.write.parquet(folder)
-    return df.sparkSession.read.schema(df.schema).parquet(folder)
+    _SETTLED.setdefault(spark.sparkContext.applicationId, []).append(folder)
+    _remove(spark, folder, on_exit=True)
+    return spark.read.schema(df.schema).parquet(folder)
+
+
+def release(spark: SparkSession, keep: int = 0) -> None:
+    """Removes the settled tables of this application but for the ``keep`` oldest; frames that read them end with it."""
+    folders = _SETTLED.get(spark.sparkContext.applicationId, [])
+    while len(folders) > keep:
+        _remove(spark, folders.pop())
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables settled inside the block are removed at its end, so results must be written or collected before."""
+    before = len(_SETTLED.get(spark.sparkContext.applicationId, []))
+    try:
+        yield
+    finally:
+        release(spark, before)

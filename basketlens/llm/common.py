@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable, Iterable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -16,14 +18,24 @@ BATCH_ROWS = 2000
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A given table, read whole."""
-    bounded_batches(spark)
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def bounded_batches(spark: SparkSession) -> None:
-    """Caps rows and bytes of Arrow batches, so that long texts do not pile up in a Python worker."""
+def prepare(spark: SparkSession) -> None:
+    """Caps rows and bytes of Arrow batches, so that long texts do not pile up in a Python worker.
+
+    In local mode the workers also learn where this package lies, from wherever the session was started; a cluster has it
+    from ``--py-files`` or ``PYTHONPATH``.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    context = spark.sparkContext
+    if context.master.startswith("local["):
+        home = str(Path(__file__).resolve().parents[2])
+        known = context.environment.get("PYTHONPATH", "")
+        if home not in known.split(os.pathsep):
+            context.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [home, known]))
 
 
 def texts(batch: pa.RecordBatch, column: str = "text") -> list[str]:

@@ -7,7 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basketlens.llm import decontamination, piece_encoding, quality_rules
+from basketlens.llm import (
+    chunk_dedup,
+    decontamination,
+    importance,
+    near_duplicates,
+    piece_encoding,
+    quality_rules,
+    toxicity,
+)
 from basketlens.llm.common import digest, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -66,6 +74,29 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail
 """
 
 
+def held_out(doc_id: str = "doc_id") -> F.Column:
+    return F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(4)) == 2
+
+
+@query
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    model = toxicity.train_model(docs, labels, ~held_out())
+    scored = model.score(docs)
+    return scored.select("doc_id", held_out().alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
+
+
+@query
+def op5_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = chunk_dedup.repeats(docs)
+    sizes = docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint").alias("n_bytes"))
+    cut = F.aggregate("removed", F.lit(0).cast("bigint"), lambda n, s: n + s["end"] - s["start"])
+    return sizes.join(found, "doc_id", "left").select(
+        "doc_id", "n_bytes", F.coalesce(cut, F.lit(0)).alias("n_removed"), F.coalesce("n_repeated", F.lit(0)).alias("n_repeated"),
+        F.coalesce("n_repeated", F.lit(0)).__gt__(0).alias("has_repeat"), "removed", "partner_ids")
+
+
 @query
 def op6_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_encoding.encode_digests(table(spark, sf_dir, "documents").select("doc_id", "text"), piece_model()).drop("text")
@@ -93,3 +124,13 @@ SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BI
   sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN places USING (r) LEFT JOIN found USING (r)
 """
+
+
+@query
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query
+def op10_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

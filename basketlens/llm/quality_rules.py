@@ -12,6 +12,7 @@ columns are left alone; the ledger's columns are ``measured`` and ``failures`` u
 from __future__ import annotations
 
 from dataclasses import dataclass
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,7 @@ CAPITALS = bytes(range(ord("A"), ord("Z") + 1))
 LETTERS = CAPITALS + CAPITALS.lower()
 WINDOW = 5
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_capitals", "n_letters",
-            "n_exclamations", "n_distinct_words")
+            "n_exclamations", "n_distinct_words", "n_stuttered")
 
 
 @dataclass(frozen=True)
@@ -42,14 +43,15 @@ RULES = (
     Rule(2, "symbol_rate", "10 * n_symbols > n_words"),
     Rule(3, "shouting", "2 * n_capitals > n_letters AND n_letters > 0"),
     Rule(4, "exclamation_rate", "5 * n_exclamations > n_words"),
-    Rule(5, "duplicate_lines", "10 * n_dup_lines > 3 * n_lines"),
+    Rule(5, "duplicate_lines", "2 * n_dup_lines > n_lines"),
     Rule(6, "word_length", "n_words > 0 AND (word_chars < 2 * n_words OR word_chars > 20 * n_words)"),
     Rule(7, "few_distinct_words", "20 * n_distinct_words < n_words"),
+    Rule(8, "stuttering", "10 * n_stuttered > 3 * n_words"),
 )
 #: Policies by version: the rules whose failure rejects a text.
 POLICIES = {
     "base": ("few_words", "repeated_words"),
-    "v1": tuple(rule.name for rule in RULES if rule.name != "few_distinct_words"),
+    "v1": tuple(rule.name for rule in RULES if rule.name not in ("few_distinct_words", "stuttering")),
     "v2": tuple(rule.name for rule in RULES),
 }
 
@@ -99,6 +101,7 @@ def measure_text(text: str) -> tuple[int, ...]:
         size - len(raw.translate(None, LETTERS)),
         raw.count(b"!"),
         len(set(words)),
+        sum(map(eq, words, words[1:])),
     )
 
 

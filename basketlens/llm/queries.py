@@ -12,6 +12,7 @@ from basketlens.llm import (
     decontamination,
     importance,
     near_duplicates,
+    personal_data,
     piece_encoding,
     quality_rules,
     toxicity,
@@ -62,14 +63,14 @@ m AS (SELECT w.r, doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(regexp
     CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, CAST(coalesce(repeats.n, 0) AS BIGINT) AS n_repeat_words,
     CAST(len(ls) AS BIGINT) AS n_lines, length(regexp_replace(t, '[^A-Z]', '', 'g')) AS n_capitals,
     length(regexp_replace(t, '[^A-Za-z]', '', 'g')) AS n_letters, length(regexp_replace(t, '[^!]', '', 'g')) AS n_exclamations,
-    len(list_distinct(ws)) AS n_distinct_words
+    len(list_distinct(ws)) AS n_distinct_words, len(list_filter(range(2, len(ws) + 1), lambda i: ws[i] = ws[i - 1])) AS n_stuttered
   FROM w LEFT JOIN repeats USING (r)),
 f AS (SELECT *, CAST(
     CASE WHEN n_words < 10 THEN 1 ELSE 0 END + CASE WHEN 100 * n_repeat_words > 20 * n_words THEN 2 ELSE 0 END
     + CASE WHEN 10 * n_symbols > n_words THEN 4 ELSE 0 END + CASE WHEN 2 * n_capitals > n_letters AND n_letters > 0 THEN 8 ELSE 0 END
-    + CASE WHEN 5 * n_exclamations > n_words THEN 16 ELSE 0 END + CASE WHEN 10 * n_dup_lines > 3 * n_lines THEN 32 ELSE 0 END
+    + CASE WHEN 5 * n_exclamations > n_words THEN 16 ELSE 0 END + CASE WHEN 2 * n_dup_lines > n_lines THEN 32 ELSE 0 END
     + CASE WHEN n_words > 0 AND (word_chars < 2 * n_words OR word_chars > 20 * n_words) THEN 64 ELSE 0 END
-    + CASE WHEN 20 * n_distinct_words < n_words THEN 128 ELSE 0 END AS BIGINT) AS failures FROM m)
+    + CASE WHEN 20 * n_distinct_words < n_words THEN 128 ELSE 0 END + CASE WHEN 10 * n_stuttered > 3 * n_words THEN 256 ELSE 0 END AS BIGINT) AS failures FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failures & 3 <> 0 AS base_failed, failures = 0 AS kept, failures FROM f
 """
 
@@ -134,3 +135,11 @@ def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = personal_data.personal_data(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    counts = (F.size(F.col(k)).cast("bigint").alias(f"n_{k}") for k in personal_data.KINDS)
+    return found.select("doc_id", *counts, F.sha2(personal_data.written(personal_data.KINDS).cast("binary"), 256).alias("base_sha256"),
+                        personal_data.written((*personal_data.KINDS, "term")).alias("spans"), F.size("term").cast("bigint").alias("n_term"))

@@ -274,3 +274,16 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     named = classes.select(F.col("doc_id").alias("first_id"), "class_id")
     return copies.join(named, "first_id", "left").select(
         "doc_id", F.coalesce("class_id", "first_id").alias("class_id"), "n_equal").union(alone)
+
+
+def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """``docs`` with one row of each class: that of the least id. Rows without an id or shingles all stay, for nothing is
+    known to be equal to them; of rows with one id one stays."""
+    classes = settle(near_duplicates(docs, doc_id, text, threshold))
+    gone = classes.where("doc_id != class_id").select(F.col("doc_id").alias("gone_id")).distinct()
+    kept = docs.join(gone, F.col(f"`{doc_id}`").cast("bigint") == F.col("gone_id"), "left_anti")
+    repeated = settle(classes.where("doc_id = class_id").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("again_id")))
+    if repeated.isEmpty():
+        return kept
+    again = F.col(f"`{doc_id}`").cast("bigint") == F.col("again_id")
+    return kept.join(repeated, again, "left_anti").unionByName(kept.join(repeated, again, "left_semi").dropDuplicates([doc_id]))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from basketlens.llm import (
     chunk_dedup,
     decontamination,
+    html_blocks,
     importance,
     near_duplicates,
     personal_data,
@@ -43,6 +44,12 @@ def piece_model() -> str:
     return str(public_tokenizers.path("piece_bpe_32k.model"))
 
 
+@query
+def op1_html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return html_blocks.extract(pages).withColumn("n_chars", F.length("text").cast("bigint"))
+
+
 @query
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries = quality_rules.ledger(table(spark, sf_dir, "documents").select("doc_id", "text"))

@@ -84,3 +84,12 @@ def unit(x: np.ndarray) -> np.ndarray:
 def digest(column) -> F.Column:
     """Lowercase hex of the SHA-256 of a string column's UTF-8."""
     return F.sha2(column.cast("binary"), 256)
+
+
+#: Rows up to which :func:`bounded` lets a settled table be broadcast.
+BROADCAST_ROWS = 50_000
+
+
+def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A settled table of narrow rows, with a broadcast hint if counting shows that it is small; else Spark joins by shuffle."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

@@ -21,6 +21,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from basketlens.llm.common import bounded
 from basketlens.session import settle
 
 KINDS = ("email", "ip", "card", "phone")
@@ -28,8 +29,6 @@ KINDS = ("email", "ip", "card", "phone")
 CONTEXT_WORDS, CONTEXT_CHARS, LEAST_LETTERS = 3, 80, 3
 #: Different contexts in which a term must stand near an entity, and the disclosure thresholds.
 LEAST_CONTEXTS, GENERALISED, REMOVED = 2, 0.8, 0.95
-#: Rows up to which a settled table is broadcast (less than 10 MB); above it Spark joins by shuffle.
-BROADCAST_ROWS = 50_000
 
 # A local part starts where no other could have started before: after a foreign character or the match before (\G).
 _EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
@@ -133,11 +132,6 @@ def _term(word: Column) -> Column:
     return F.when(bare.rlike(r"^\p{L}+$"), bare).otherwise("")
 
 
-def _bounded(df: DataFrame) -> DataFrame:
-    """A settled table, with a broadcast hint if it was counted to be small."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
-
-
 def disclosures(found: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc``, ``term`` and ``disclosure``: terms that reveal an entity of the document at ``GENERALISED`` or more.
 
@@ -149,7 +143,7 @@ def disclosures(found: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     pairs = settle(contexts.groupBy("entity", "term").agg(
         F.count_distinct("context").alias("n_contexts"), F.count_distinct("doc").alias("n_both")).where(F.col("n_contexts") >= LEAST_CONTEXTS))
     words = F.array_distinct(F.transform(F.split(F.coalesce(F.col(f"`{text}`"), F.lit("")), r"[\s]+"), _term))
-    wanted = _bounded(settle(pairs.select("term").distinct()))
+    wanted = bounded(settle(pairs.select("term").distinct()))
     held = found.select(F.explode(words).alias("term")).join(wanted, "term").groupBy("term").agg(F.count("*").alias("n_term"))
     total = found.select(F.count("*").alias("n"))
     scored = pairs.join(held, "term").join(holders, "entity").withColumn("n", _scalar(total))
@@ -169,7 +163,7 @@ def personal_data(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     found = with_base_spans(docs, text)
     per_doc = settle(disclosures(found, doc_id, text).groupBy("doc").agg(
         F.array_sort(F.collect_set("term")).alias("terms"), F.array_sort(F.collect_set(F.when(F.col("disclosure") >= REMOVED, F.col("term")))).alias("removed_terms")))
-    both = found.join(_bounded(per_doc), F.col(f"`{doc_id}`") == F.col("doc"), "left")
+    both = found.join(bounded(per_doc), F.col(f"`{doc_id}`") == F.col("doc"), "left")
     own = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     pattern = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join("terms", "|"), F.lit(r")(?!\p{L})"))
     base = F.concat(*(F.col(k) for k in KINDS))

@@ -16,6 +16,7 @@ from basketlens.llm import (
     personal_data,
     piece_encoding,
     quality_rules,
+    suffix_dedup,
     toxicity,
 )
 from basketlens.llm.common import digest, table
@@ -94,6 +95,12 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out().alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
 
 
+@query
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.removed(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", suffix_dedup.kept_digest(F.col("text"), F.col("removed_spans")).alias("kept")).select("doc_id", "kept.*")
+
+
 @query
 def op5_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")

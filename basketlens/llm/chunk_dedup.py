@@ -131,6 +131,6 @@ def without(docs: DataFrame, found: DataFrame, doc_id: str = "doc_id", text: str
             out.append(None if t is None else b"".join([*kept, raw[at:]]).decode("utf-8", "ignore"))
         return pa.array(out, pa.string())
 
-    spans = found.select(F.col("doc_id").alias("repeat_doc_id"), F.col("removed").alias("repeat_spans"))
-    joined_ = docs.join(spans, docs[doc_id] == F.col("repeat_doc_id"), "left")
-    return joined_.select(*(cut(docs[c], F.col("repeat_spans")).alias(c) if c == text else docs[c] for c in docs.columns))
+    spans = found.select(F.col("doc_id").alias("_repeat_doc_id"), F.col("removed").alias("_repeat_spans"))
+    joined_ = docs.join(spans, docs[doc_id] == F.col("_repeat_doc_id"), "left")
+    return joined_.select(*(cut(docs[c], F.col("_repeat_spans")).alias(c) if c == text else docs[c] for c in docs.columns))

@@ -247,5 +247,5 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
 def uncontaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` without the rows whose id belongs to a text with a benchmark phrase; rows without an id are kept."""
     found = decontaminate(docs, benchmark, doc_id, text)
-    hit = settle(found.where("size(hit_words) > 0 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("hit_id")).distinct())
-    return docs.join(hit, F.col(f"`{doc_id}`").cast("bigint") == F.col("hit_id"), "left_anti")
+    hit = settle(found.where("size(hit_words) > 0 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_hit_id")).distinct())
+    return docs.join(hit, F.col(f"`{doc_id}`").cast("bigint") == F.col("_hit_id"), "left_anti")

@@ -11,7 +11,8 @@ says nothing. At ``GENERALISED`` and more a term becomes a span of kind ``term``
 :func:`sanitised` writes the kind in its place, and removes it at ``REMOVED`` and more.
 
 Defined results: a null text is empty and has no spans. Rows of one doc_id are one document for the terms; rows without a
-doc_id keep their base spans and get no term spans. Equal rows get equal results; an empty table gives no rows.
+doc_id keep their base spans and get no term spans. Equal rows get equal results; an empty table gives no rows. Columns that
+are named like a kind or ``removed_terms`` are replaced, all others stay.
 """
 
 from __future__ import annotations
@@ -82,11 +83,11 @@ def with_base_spans(docs: DataFrame, text: str = "text") -> DataFrame:
         "card": (_CARD, digits, _valid_card),
         "phone": (_PHONE, F.contains(own, F.lit("+")) & digits, _valid_phone),
     }
-    found = df.withColumns({f"_{k}": _matches(own, pattern, possible) for k, (pattern, possible, _) in rules.items()})
+    found = df.withColumns({f"_found_{k}": _matches(own, pattern, possible) for k, (pattern, possible, _) in rules.items()})
     for kind, (pattern, _, valid) in rules.items():
-        spans = spans_of(own, F.col(f"_{kind}"), F.lit(pattern))
+        spans = spans_of(own, F.col(f"_found_{kind}"), F.lit(pattern))
         found = found.withColumn(kind, _passing(spans, valid) if valid else spans)
-    return found.drop(*(f"_{k}" for k in rules))
+    return found.drop(*(f"_found_{k}" for k in rules))
 
 
 def _passing(spans: Column, valid: Callable[[Column], Column]) -> Column:
@@ -161,15 +162,15 @@ def _scalar(one: DataFrame) -> Column:
 def personal_data(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with spans of the base kinds and of kind ``term`` (start, end, value), and ``removed_terms``."""
     found = with_base_spans(docs, text)
-    per_doc = settle(disclosures(found, doc_id, text).groupBy("doc").agg(
-        F.array_sort(F.collect_set("term")).alias("terms"), F.array_sort(F.collect_set(F.when(F.col("disclosure") >= REMOVED, F.col("term")))).alias("removed_terms")))
-    both = found.join(bounded(per_doc), F.col(f"`{doc_id}`") == F.col("doc"), "left")
+    per_doc = settle(disclosures(found, doc_id, text).groupBy(F.col("doc").alias("_revealed_doc")).agg(
+        F.array_sort(F.collect_set("term")).alias("_revealed"), F.array_sort(F.collect_set(F.when(F.col("disclosure") >= REMOVED, F.col("term")))).alias("_removed")))
+    both = found.join(bounded(per_doc), F.col(f"`{doc_id}`") == F.col("_revealed_doc"), "left")
     own = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    pattern = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join("terms", "|"), F.lit(r")(?!\p{L})"))
+    pattern = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join("_revealed", "|"), F.lit(r")(?!\p{L})"))
     base = F.concat(*(F.col(k) for k in KINDS))
-    terms = F.when(F.col("terms").isNotNull(), spans_of(own, F.regexp_extract_all(own, pattern, F.lit(0)), pattern)).otherwise(_no_spans())
+    terms = F.when(F.col("_revealed").isNotNull(), spans_of(own, F.regexp_extract_all(own, pattern, F.lit(0)), pattern)).otherwise(_no_spans())
     free = F.filter(terms, lambda t: ~F.exists(base, lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
-    return both.withColumn("term", free).withColumn("removed_terms", F.coalesce("removed_terms", F.array().cast("array<string>"))).drop("doc", "terms")
+    return both.withColumn("term", free).withColumn("removed_terms", F.coalesce("_removed", F.array().cast("array<string>"))).drop("_revealed_doc", "_revealed", "_removed")
 
 
 def written(kinds: tuple[str, ...]) -> Column:

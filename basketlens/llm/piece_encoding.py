@@ -274,7 +274,7 @@ def decoded(ids: Column, path: str) -> Column:
 
 
 def encode_digests(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
-    """``docs`` with ``n_tokens``, ``ids_sha256`` and ``decoded_sha256``."""
+    """``docs`` with ``n_tokens``, ``ids_sha256`` and ``decoded_sha256``; columns of these names are replaced."""
     @F.arrow_udf("struct<n_tokens: bigint, ids_sha256: string, decoded_sha256: string>")
     def run(column: pa.Array) -> pa.Array:
         encoder, rows = loaded(path), []
@@ -285,4 +285,6 @@ def encode_digests(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
         return pa.StructArray.from_arrays([pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(texts, pa.string())], ["n_tokens", "ids_sha256", "decoded_sha256"])
 
     row = run.asNondeterministic()(F.col(f"`{text}`"))
-    return docs.withColumn("encoded_row", row).select(*(F.col(f"`{c}`") for c in docs.columns), "encoded_row.*")
+    names = ("n_tokens", "ids_sha256", "decoded_sha256")
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in names]
+    return docs.select(*rest, row.alias("_encoded")).select(*rest, "_encoded.*")

@@ -218,8 +218,8 @@ def removed(docs: DataFrame, text: str = "text", length: int = LENGTH) -> DataFr
     whole = copies.groupBy("text_id").agg(F.count("*").alias("n"), F.first("size").alias("size")).where("n > 1").select(
         "text_id", F.array(F.struct(F.lit(0).alias("start"), F.col("size").alias("end"))).alias("whole"))
     found = settle(repeats(docs, text, length).join(whole, "text_id", "full").select(
-        F.col("text_id").alias("removed_id"), F.coalesce("whole", "spans").alias("removed_spans")))
-    return docs.join(bounded(found), text_id(F.col(f"`{text}`")) == F.col("removed_id"), "left").drop("removed_id")
+        F.col("text_id").alias("_removed_id"), F.coalesce("whole", "spans").alias("removed_spans")))
+    return docs.drop("removed_spans").join(bounded(found), text_id(F.col(f"`{text}`")) == F.col("_removed_id"), "left").drop("_removed_id")
 
 
 def kept_digest(text: Column, spans: Column) -> Column:

@@ -112,9 +112,12 @@ class ToxicityModel:
         """``docs`` with a score of 0 to 1."""
         if self.trees is None:
             return docs.withColumn(name, F.lit(self.constant))
-        raw = self.trees.transform(with_features(docs, self.lexicon, text, "toxicity_features"))
+        packed = docs.select(F.struct("*").alias("toxicity_row"))
+        own = packed.withColumn("toxicity_text", F.col(f"toxicity_row.`{text}`"))
+        raw = self.trees.transform(with_features(own, self.lexicon, "toxicity_text", "toxicity_features"))
         calibrated = self.calibration.transform(raw.withColumn("toxicity_raw", vector_to_array("toxicity_probability")[1]))
-        return calibrated.select(*(F.col(f"`{c}`") for c in docs.columns), F.least(F.greatest("toxicity_score", F.lit(0.0)), F.lit(1.0)).alias(name))
+        rest = [F.col(f"toxicity_row.`{c}`") for c in docs.columns if c != name]
+        return calibrated.select(*rest, F.least(F.greatest("toxicity_score", F.lit(0.0)), F.lit(1.0)).alias(name))
 
 
 def train_model(docs: DataFrame, labels: DataFrame, allowed: Column, doc_id: str = "doc_id", text: str = "text", rows: int = TRAIN_ROWS,

@@ -13,7 +13,7 @@ from basketlens.functions.columns import known, share_percent
 SUMMARY_PROBABILITIES = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
 # Distance of the approximate cuts from a wanted quantile, ten times the error bound of the approximation.
 QUANTILE_MARGIN = 0.001
-WEIGHTED_RANGES = 64
+WEIGHTED_RANGES = 1024
 
 
 def distribution(df: DataFrame, *keys: str, count_as: str = "count") -> DataFrame:
@@ -61,10 +61,14 @@ def quantiles(
     probabilities: Mapping[str, float],
     by: Sequence[str] = (),
     weight: str | None = None,
+    few_groups: bool = False,
+    weighted_ranges: int = WEIGHTED_RANGES,
 ) -> DataFrame:
     """Exact quantiles with linear interpolation, one row per group, one column per named probability.
 
-    With ``weight``, a whole number, each row counts as that many equal values.
+    With ``weight``, a whole number, each row counts as that many equal values; the rows are then cut into
+    ``weighted_ranges`` ranges, of which those that hold a wanted rank are sorted. ``few_groups`` says that the groups are
+    few by construction (classes, segments, bands): their cuts are then broadcast, and the rows are not shuffled by group.
 
     The built-in exact percentile keeps every distinct value of a group in one task. Here approximate quantiles a
     little below and above each probability cut the values into a few ranges; the ranges are counted exactly, map-side,
@@ -80,11 +84,11 @@ def quantiles(
         cut_points = sorted(min(max(p, 0.0), 1.0) for p in near)
     else:
         # the approximation knows no weights: even cuts of the rows
-        cut_points = [i / WEIGHTED_RANGES for i in range(1, WEIGHTED_RANGES)]
+        cut_points = [i / weighted_ranges for i in range(1, weighted_ranges)]
     cuts = values.groupBy(*by).agg(F.struct(
         F.percentile_approx("_value", cut_points, 10_000).alias("cuts"), F.sum("_n").alias("total")
     ).alias("_group"))
-    tagged = values.join(cuts, by) if by else values.withColumn("_group", cuts.scalar())
+    tagged = values.join(F.broadcast(cuts) if few_groups else cuts, by) if by else values.withColumn("_group", cuts.scalar())
     tagged = tagged.select(
         *by, "_value", "_n", F.col("_group.total").alias("_total"),
         F.size(F.filter("_group.cuts", lambda cut: cut < F.col("_value"))).alias("_range"),
@@ -109,8 +113,8 @@ def quantiles(
     for p in probabilities.values():
         wanted = wanted | holds(F.floor(position(p))) | holds(F.ceil(position(p)))
     needed = ranges.where(wanted).select(*by, "_range", "_start")
-    if not by:
-        needed = F.broadcast(needed)  # at most two ranges per probability
+    if not by or few_groups:
+        needed = F.broadcast(needed)  # at most two ranges per probability and group
 
     in_range = W.partitionBy(*by, "_range").orderBy("_value").rowsBetween(W.unboundedPreceding, 0)
     ranked = (
@@ -138,7 +142,7 @@ def quantile(df: DataFrame, value: str, probability: float) -> DataFrame:
     return quantiles(df, value, {"quantile": probability})
 
 
-def describe(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
+def describe(df: DataFrame, value: str, by: Sequence[str] = (), few_groups: bool = False) -> DataFrame:
     """Count, mean, sample deviation, minimum, quartiles and maximum of a column, per group."""
     by = list(by)
     number = F.col(value).cast("double")
@@ -150,7 +154,7 @@ def describe(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
         F.max(number).alias("max"),
     )
     order = ["count", "mean", "std", "min", "q25", "q50", "q75", "max"]
-    quartiles = quantiles(df, value, SUMMARY_PROBABILITIES, by)
+    quartiles = quantiles(df, value, SUMMARY_PROBABILITIES, by, few_groups=few_groups)
     if by:
         return moments.join(quartiles, by, "left").select(*by, *order)
     packed = quartiles.select(F.struct(*SUMMARY_PROBABILITIES).alias("q")).scalar()
@@ -162,14 +166,16 @@ def describe_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     long = df.select(F.explode(
         F.array(*(F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in columns))
     ).alias("m")).select("m.*")
-    return describe(long, "value", ["metric"])
+    return describe(long, "value", ["metric"], few_groups=True)
 
 
-def histogram(df: DataFrame, value: str, bins: int = 10, by: Sequence[str] = ()) -> DataFrame:
+def histogram(
+    df: DataFrame, value: str, bins: int = 10, by: Sequence[str] = (), few_groups: bool = False
+) -> DataFrame:
     """Equal-width histogram between the least and the largest value, empty bins included.
 
     Bins are closed on the left, the last one on both sides. A column with one distinct value gets a range of width 1
-    around it. Columns: bin (from 0), bin_low, bin_high, frequency.
+    around it. Columns: bin (from 0), bin_low, bin_high, frequency. ``few_groups`` as in :func:`quantiles`.
     """
     by = list(by)
     data = df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_value"))
@@ -188,7 +194,7 @@ def histogram(df: DataFrame, value: str, bins: int = 10, by: Sequence[str] = ())
         return F.when(index == bins, F.col("_high")).otherwise(inner)
 
     if by:
-        spread = data.join(span, by)
+        spread = data.join(F.broadcast(span) if few_groups else span, by)
     else:
         packed = span.select(F.struct("_low", "_high").alias("s")).scalar()
         spread = data.withColumn("_span", packed).select("_value", "_span._low", "_span._high")
@@ -217,13 +223,15 @@ def crosstab(
     return cells.agg(F.count(F.lit(1)) if measure is None else measure).fillna(0)
 
 
-def distinct_labels(df: DataFrame, column: str) -> list:
-    """The distinct labels of a matrix axis. As with ``pivot``, more than pivotMaxValues of them is an error."""
-    limit = int(df.sparkSession.conf.get("spark.sql.pivotMaxValues", "10000"))
-    rows = df.where(known(column)).select(column).distinct().orderBy(column).limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"{column} has more than {limit} labels and cannot be a matrix axis")
-    return [r[0] for r in rows]
+def crosstab_present(df: DataFrame, row: str, column: str, value_as: str = "count") -> DataFrame:
+    """Counts of all pairs of the present rows and columns as (row, column, value), zero where a pair does not occur.
+
+    The labels of the columns are an array in a scalar subquery over the counts; nothing runs while the plan is built.
+    """
+    counts = distribution(df, row, column, count_as=value_as)
+    labels = counts.agg(F.collect_set(column).alias("labels")).scalar()
+    grid = counts.select(row).distinct().withColumn("_labels", labels).select(row, F.explode("_labels").alias(column))
+    return grid.join(counts, [row, column], "left").fillna(0, subset=[value_as])
 
 
 def crosstab_long(

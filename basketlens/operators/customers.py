@@ -45,8 +45,7 @@ def crosstab_age_payment(customers: DataFrame) -> DataFrame:
 
 def crosstab_gender_payment(customers: DataFrame) -> DataFrame:
     """Customers per payment method and gender, zero-filled, as rows."""
-    genders = stats.distinct_labels(customers, "gender")
-    return stats.crosstab_long(customers, "payment_method", "gender", genders, "customers")
+    return stats.crosstab_present(customers, "payment_method", "gender", "customers")
 
 
 def crosstab_age_payment_rowpct(customers: DataFrame) -> DataFrame:

@@ -15,9 +15,10 @@ from basketlens.functions.columns import (
     money,
     months_before,
     safe_ratio,
+    share_percent,
     year_month,
 )
-from basketlens.operators.lines import customer_lookup, invoice_facts, invoice_sizes, sold_lines
+from basketlens.operators.lines import customer_lookup, invoice_facts, invoice_sizes, priced_lines, sold_lines
 from basketlens.operators.rfm import snapshot_date
 
 NUMERIC_FEATURES = (
@@ -34,6 +35,8 @@ NUMERIC_FEATURES = (
     "purchase_consistency",
     "age",
 )
+# The line over all classes in a summary.
+ALL = "All"
 CATEGORICAL_FEATURES = ("gender", "payment_method", "segment")
 
 
@@ -133,9 +136,12 @@ def customer_features(
 
 def future_ltv_target(retail: Retail, months: int = 6) -> DataFrame:
     """Money spent per customer in the last ``months`` months, a proxy for the future. Only buyers appear."""
-    recent = Retail(retail.customers, retail.products, recent_window(retail.invoices, months), retail.lines)
-    spent = invoice_facts(recent).where(known("customer_id"))
-    return spent.groupBy("customer_id").agg(money(F.sum("revenue")).alias("future_ltv"))
+    window = recent_window(retail.invoices, months).where(known("customer_id")).select("invoice_no", "customer_id")
+    # only lines of the window are priced and summed; buyers of empty baskets alone still appear, with nothing spent
+    spent = priced_lines(retail.lines.join(window, "invoice_no").select("customer_id", "product_id"), retail.products)
+    totals = spent.groupBy("customer_id").agg(F.sum("price").alias("_spent"))
+    buyers = window.select("customer_id").distinct().join(totals, "customer_id", "left")
+    return buyers.select("customer_id", money(F.coalesce("_spent", F.lit(0).cast("decimal(22,2)"))).alias("future_ltv"))
 
 
 def features_with_target(features: DataFrame, target: DataFrame) -> DataFrame:
@@ -159,9 +165,18 @@ def decode_label(df: DataFrame, code: str, label_as: str) -> DataFrame:
 
 
 def prediction_summary(df: DataFrame, value: str, value_class: str) -> DataFrame:
-    """Per value class: customers, percentage of all and mean value."""
-    counts = df.groupBy(value_class).agg(F.count(F.lit(1)).alias("customers"), F.avg(value).alias("avg_value"))
-    return stats.with_share(counts, "customers", "share").withColumnRenamed(value_class, "value_class")
+    """Per value class, classes without customers included: customers, percentage of all and mean value; then a line
+    ``All`` over all of them."""
+    sums = df.where(known(value_class)).groupBy(F.col(value_class).alias("value_class")).agg(
+        F.count(F.lit(1)).alias("customers"), F.sum(F.col(value).cast("double")).alias("_sum"), F.count(value).alias("_n")
+    )
+    classes = df.sparkSession.createDataFrame([(HIGH,), (LOW,)], "value_class string")
+    each = classes.join(sums, "value_class", "left").fillna(0, subset=["customers"])
+    overall = each.agg(F.lit(ALL).alias("value_class"), F.sum("customers").alias("customers"), F.sum("_sum").alias("_sum"), F.sum("_n").alias("_n"))
+    total = each.agg(F.sum("customers").alias("total")).scalar()
+    return each.unionByName(overall).select(
+        "value_class", "customers", F.try_divide("_sum", "_n").alias("avg_value"), share_percent(F.col("customers"), total).alias("share")
+    )
 
 
 def upsell_candidates(df: DataFrame, value: str, value_class: str) -> DataFrame:
@@ -179,7 +194,7 @@ def at_risk_high_value(df: DataFrame, value: str) -> DataFrame:
 
 def ltv_boxplot_by_class(df: DataFrame, value: str, value_class: str) -> DataFrame:
     """Per class: quartiles, whiskers (the furthest values within 1.5 interquartile ranges) and outliers."""
-    box = stats.quantiles(df, value, stats.SUMMARY_PROBABILITIES, [value_class])
+    box = F.broadcast(stats.quantiles(df, value, stats.SUMMARY_PROBABILITIES, [value_class], few_groups=True))  # a row per class
     reach = 1.5 * (F.col("q75") - F.col("q25"))
     inside = (F.col(value) >= F.col("q25") - reach) & (F.col(value) <= F.col("q75") + reach)
     return (

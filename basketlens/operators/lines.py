@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from basketlens.dataset import Retail
-from basketlens.functions.columns import clean_ids, raw_ids
+from basketlens.functions.columns import basket_size, clean_ids, raw_ids
 
-# An invoice with more lines than this is spread over several text rows, so that no row or task holds it whole.
+# Items of one text row; a larger invoice is spread over several.
 LINES_PER_TEXT = 1000
 
 
@@ -22,28 +22,36 @@ def raw_lines_from_lists(sales: DataFrame) -> DataFrame:
     return sales.select("invoice_no", F.explode_outer(raw_ids(F.col("product_id_list"))).alias("product_id"))
 
 
-def baskets_as_text(invoices: DataFrame, lines: DataFrame) -> DataFrame:
-    """(invoice_no, product_id_list): the inverse of ``lines_from_lists``.
+def baskets_as_text(invoices: DataFrame, lines: DataFrame, lines_per_text: int = LINES_PER_TEXT) -> DataFrame:
+    """(invoice_no, slip, product_id_list): the inverse of ``lines_from_lists``, a row per invoice and slip.
 
-    An invoice gives one text, a very large one several of about LINES_PER_TEXT items each; an invoice without lines
-    keeps one null text. Row ids of the scan spread a large invoice evenly, exact copies included.
+    An invoice of up to ``lines_per_text`` items is one slip, number 0; a larger one is spread over as many slips as that
+    takes, so that no row holds it whole. An invoice without lines has slip 0 and a null text; it is added by an anti join,
+    because an outer join could not split a hot invoice. Row ids of the scan spread an invoice evenly, copies included.
     """
     numbered = lines.withColumn("_row", F.monotonically_increasing_id())
-    large = (
-        lines.groupBy("invoice_no").agg(F.count(F.lit(1)).alias("_lines")).where(F.col("_lines") > LINES_PER_TEXT)
-    )
+    slips = lines.groupBy("invoice_no").agg(F.ceil(F.count(F.lit(1)) / lines_per_text).cast("int").alias("_slips"))
+    several = slips.where(F.col("_slips") > 1)
+    slip = F.when(F.col("_slips").isNull(), 0).otherwise(F.pmod(F.xxhash64("_row"), F.col("_slips"))).cast("int")
     texts = (
-        numbered.join(large, "invoice_no", "left")
-        .withColumn(
-            "_slip",
-            F.when(F.col("_lines").isNull(), 0).otherwise(
-                F.pmod(F.xxhash64("_row"), F.ceil(F.col("_lines") / LINES_PER_TEXT))
-            ),
-        )
-        .groupBy("invoice_no", "_slip")
+        numbered.join(several, "invoice_no", "left")
+        .groupBy("invoice_no", slip.alias("slip"))
         .agg(F.array_join(F.array_sort(F.collect_list("product_id")).cast("array<string>"), ",").alias("product_id_list"))
     )
-    return invoices.select("invoice_no").join(texts.drop("_slip"), "invoice_no", "left")
+    known_texts = texts.join(invoices.select("invoice_no"), "invoice_no", "left_semi")
+    empty = invoices.select("invoice_no").join(slips, "invoice_no", "left_anti")
+    return known_texts.unionByName(empty.withColumn("slip", F.lit(0)), allowMissingColumns=True)
+
+
+def basket_sizes(texts: DataFrame) -> DataFrame:
+    """Items per invoice, over all its slips; a missing text counts zero."""
+    return texts.groupBy("invoice_no").agg(F.sum(basket_size(F.col("product_id_list"))).alias("product_count"))
+
+
+def entry_counts(texts: DataFrame) -> DataFrame:
+    """One row: entries of all lists as written, and those that are left when empty ones go."""
+    entries = texts.select(F.explode(raw_ids(F.translate("product_id_list", '"', ""))).alias("entry"))
+    return entries.agg(F.count(F.lit(1)).alias("entries"), F.count_if(F.trim("entry") != "").alias("products"))
 
 
 def priced_lines(lines: DataFrame, products: DataFrame) -> DataFrame:
@@ -113,18 +121,34 @@ def lines_with_products(retail: Retail) -> DataFrame:
     return sold.unionByName(empty, allowMissingColumns=True)
 
 
+def with_customer_columns(retail: Retail, *tables: DataFrame) -> Retail:
+    """The dataset with columns of tables keyed by customer on its invoices.
+
+    What belongs to a customer joins the invoices, not the lines: lines then meet them once, on the invoice number.
+    """
+    invoices = retail.invoices
+    for table in tables:
+        invoices = invoices.join(table, "customer_id", "left")
+    return Retail(retail.customers, retail.products, invoices, retail.lines)
+
+
 def lines_with_customers(retail: Retail) -> DataFrame:
     """The full order-line relation: lines, invoice, product and customer attributes."""
-    return lines_with_products(retail).join(retail.customers, "customer_id", "left")
+    return lines_with_products(with_customer_columns(retail, retail.customers))
 
 
-def lines_with_segment(lines: DataFrame, segments: DataFrame) -> DataFrame:
-    return lines.join(segments.select("customer_id", "segment"), "customer_id", "left")
+def lines_with_segment(retail: Retail, segments: DataFrame) -> DataFrame:
+    return lines_with_products(with_customer_columns(retail, segments.select("customer_id", "segment")))
 
 
-def lines_with_predictions(lines: DataFrame, predictions: DataFrame) -> DataFrame:
+def lines_with_predictions(retail: Retail, predictions: DataFrame) -> DataFrame:
     columns = ["customer_id", "predicted_ltv", "predicted_value_class"]
-    return lines.join(predictions.select(*columns), "customer_id", "left")
+    return lines_with_products(with_customer_columns(retail, predictions.select(*columns)))
+
+
+def order_lines(retail: Retail, segments: DataFrame) -> DataFrame:
+    """Lines with product, invoice and customer attributes and the customer's segment."""
+    return lines_with_products(with_customer_columns(retail, retail.customers, segments.select("customer_id", "segment")))
 
 
 def customer_lookup(customers: DataFrame) -> DataFrame:

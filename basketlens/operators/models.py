@@ -21,7 +21,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
-from basketlens.functions import stats
 from basketlens.functions.columns import safe_ratio, zscore
 from basketlens.operators.features import (
     CATEGORICAL_FEATURES,
@@ -32,6 +31,8 @@ from basketlens.operators.features import (
 from basketlens.operators.rfm import METRICS, with_scaled_rfm
 
 SEED = 42
+# Partitions in which the forests see the customers; part of what determines them, like the seed.
+FOREST_PARTITIONS = 32
 RESTARTS = 10
 PARALLEL_FITS = 5
 TOLERANCE = 1e-4
@@ -143,8 +144,10 @@ def _category_labels(products: DataFrame, category: str) -> DataFrame:
     return _vectors(priced, ["price"])
 
 
-def logistic_report(products: DataFrame, category: str, model: LogisticRegressionModel) -> DataFrame:
-    """Accuracy on the data, coefficient and intercept."""
+def logistic_report(products: DataFrame, category: str, model: LogisticRegressionModel | None) -> DataFrame:
+    """Accuracy on the data, coefficient and intercept; no row without a model."""
+    if model is None:
+        return products.sparkSession.createDataFrame([], "category string, accuracy double, coefficient double, intercept double")
     scored = model.transform(_category_labels(products, category))
     return scored.agg(F.avg((F.col("prediction") == F.col("label")).cast("double")).alias("accuracy")).select(
         F.lit(category).alias("category"),
@@ -154,8 +157,10 @@ def logistic_report(products: DataFrame, category: str, model: LogisticRegressio
     )
 
 
-def logistic_curve(products: DataFrame, model: LogisticRegressionModel, points: int = 300) -> DataFrame:
-    """The fitted probability on evenly spaced prices between the least and the largest."""
+def logistic_curve(products: DataFrame, model: LogisticRegressionModel | None, points: int = 300) -> DataFrame:
+    """The fitted probability on evenly spaced prices between the least and the largest; no row without a model."""
+    if model is None:
+        return products.sparkSession.createDataFrame([], "point int, price double, probability double")
     price = F.col("price").cast("double")
     span = products.agg(F.min(price).alias("low"), F.max(price).alias("high"))
     grid = span.select(
@@ -177,11 +182,12 @@ class FeatureEncoder:
 
     @classmethod
     def fit(cls, df: DataFrame, numeric=NUMERIC_FEATURES, categorical=CATEGORICAL_FEATURES) -> FeatureEncoder:
-        row = df.agg(*(
-            f(F.col(c).cast("double")).alias(f"{c}_{name}") for c in numeric for name, f in (("mean", F.avg), ("std", F.stddev_pop))
-        )).first()
+        row = df.agg(
+            *(f(F.col(c).cast("double")).alias(f"{c}_{name}") for c in numeric for name, f in (("mean", F.avg), ("std", F.stddev_pop))),
+            *(F.sort_array(F.collect_set(c)).alias(f"{c}_levels") for c in categorical),  # levels are few by their nature
+        ).first()
         moments = {c: (row[f"{c}_mean"] or 0.0, row[f"{c}_std"] or 0.0) for c in numeric}
-        return cls(moments, {c: stats.distinct_labels(df, c) for c in categorical})
+        return cls(moments, {c: list(row[f"{c}_levels"]) for c in categorical})
 
     @property
     def names(self) -> list[str]:
@@ -203,8 +209,10 @@ class FeatureEncoder:
 
 
 def split_train_test(df: DataFrame, key: str = "customer_id", test: float = 0.2, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
-    """A random split by a seeded hash of the key: a row's side never depends on partitioning or retries."""
-    draw = F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(1_000_000)) / 1_000_000
+    """A random split by a seeded digest of the key: a row's side never depends on partitioning or retries, and any
+    engine with MD5 can draw it again. The draw is the number of the digest's first 6 hexadecimal digits."""
+    text = F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"))
+    draw = F.conv(F.substring(F.md5(text.cast("binary")), 1, 6), 16, 10).cast("bigint") / F.lit(1 << 24)
     return df.where(draw >= test), df.where(draw < test)
 
 
@@ -215,14 +223,18 @@ class LtvModels:
     classifier: RandomForestClassificationModel
 
 
-def train_ltv_models(train: DataFrame, trees: int = 100, depth: int = 10, seed: int = SEED) -> LtvModels:
-    """A forest for the amount (``future_ltv``) and one for the class (``ltv_class``), on the encoded features."""
+def train_ltv_models(
+    train: DataFrame, trees: int = 100, depth: int = 10, seed: int = SEED, partitions: int = FOREST_PARTITIONS
+) -> LtvModels:
+    """A forest for the amount (``future_ltv``) and one for the class (``ltv_class``), on the encoded features.
+
+    Spark draws the bags by partition and place in it. Customers are therefore always dealt over ``partitions`` by their
+    id and sorted inside, so that neither files nor cores change the forests. Raise it for tables whose share of one
+    partition does not fit a task; equal forests need an equal number.
+    """
     encoder = FeatureEncoder.fit(train)
     data = encode_label(encoder.transform(train)).select("customer_id", "features", "future_ltv", "label")
-    cores = train.sparkSession.sparkContext.defaultParallelism
-    if len(train.inputFiles()) < cores:
-        # a small table in few files would be trained on by few cores; larger ones stay as they lie
-        data = data.repartition(cores, "customer_id")
+    data = data.repartition(partitions, "customer_id").sortWithinPartitions("customer_id")
     data = data.persist(StorageLevel.MEMORY_AND_DISK)
     settings = dict(numTrees=trees, maxDepth=depth, seed=seed, maxBins=64, maxMemoryInMB=512)
     try:

@@ -109,7 +109,7 @@ def segment_price_sensitivity(retail: Retail, segments: DataFrame) -> DataFrame:
         F.sum("items").alias("products_sold"),
     )
     variance = F.try_divide(F.col("_s2") - F.col("_s1") * F.col("_s1") / F.col("_n"), F.col("_n") - 1)
-    medians = stats.quantiles(priced, "price", {"median_price": 0.5}, ["segment"], weight="items")
+    medians = stats.quantiles(priced, "price", {"median_price": 0.5}, ["segment"], weight="items", few_groups=True)
     return moments.join(medians, "segment", "left").select(
         "segment",
         F.round(F.try_divide("_total", "_n"), 2).alias("avg_price"),

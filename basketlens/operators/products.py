@@ -73,7 +73,7 @@ def category_price_stats(products: DataFrame) -> DataFrame:
         F.round(F.sum("price").cast("double") / F.count("price"), 2).alias("mean"),
         F.round(F.stddev_samp(F.col("price").cast("double")), 2).alias("std"),
     )
-    medians = stats.quantiles(categorised, "price", {"median": 0.5}, ["category"])
+    medians = stats.quantiles(categorised, "price", {"median": 0.5}, ["category"], few_groups=True)
     return moments.join(medians.withColumn("median", F.round("median", 2)), "category", "left")
 
 
@@ -104,13 +104,21 @@ def price_band_top_categories(products: DataFrame, n: int = 3, bands: Bands = PR
     )
 
 
-def price_frequency_table(products: DataFrame, category: str | None = None, bins: int = 10) -> DataFrame:
-    """Histogram of the price with relative, cumulative and cumulative relative frequencies and a range label."""
-    table = stats.histogram(filter_category(products, category), "price", bins)
+def price_frequency_table(
+    products: DataFrame, category: str | None = None, bins: int = 10, by_category: bool = False
+) -> DataFrame:
+    """Histogram of the price with relative, cumulative and cumulative relative frequencies and a range label.
+
+    Over all products, those of one category, or with ``by_category`` for every category in one pass.
+    """
+    by = ["category"] if by_category else []
+    priced = filter_category(products, category)
+    table = stats.histogram(priced.where(known("category")) if by else priced, "price", bins, by, few_groups=True)
     # one row per bin: the window runs over `bins` rows
-    cumulative = F.sum("frequency").over(W.orderBy("bin").rowsBetween(W.unboundedPreceding, 0))
-    total = F.sum("frequency").over(W.partitionBy())
+    cumulative = F.sum("frequency").over(W.partitionBy(*by).orderBy("bin").rowsBetween(W.unboundedPreceding, 0))
+    total = F.sum("frequency").over(W.partitionBy(*by))
     return table.select(
+        *by,
         "bin",
         F.format_string("$%.2f - $%.2f", "bin_low", "bin_high").alias("price_range"),
         "frequency",
@@ -120,12 +128,16 @@ def price_frequency_table(products: DataFrame, category: str | None = None, bins
     )
 
 
-def descriptive_stats(products: DataFrame, category: str | None = None) -> DataFrame:
-    """Count, mean, median, sample deviation and variance, minimum, maximum and range; no row without prices."""
+def descriptive_stats(products: DataFrame, category: str | None = None, by_category: bool = False) -> DataFrame:
+    """Count, mean, median, sample deviation and variance, minimum, maximum and range; no row without prices.
+
+    Over all products, those of one category, or with ``by_category`` for every category in one pass.
+    """
     priced = drop_null_prices(filter_category(products, category))
+    if by_category:
+        priced = priced.where(known("category"))
     price = F.col("price").cast("double")
-    median = stats.quantile(priced, "price", 0.5).scalar()
-    moments = priced.agg(
+    moments = priced.groupBy(*["category"] * by_category).agg(
         F.count("price").alias("count"),
         (F.sum("price").cast("double") / F.count("price")).alias("mean"),
         F.stddev_samp(price).alias("std"),
@@ -134,7 +146,9 @@ def descriptive_stats(products: DataFrame, category: str | None = None) -> DataF
         F.max(price).alias("max"),
         (F.max("price") - F.min("price")).cast("double").alias("range"),
     )
-    return moments.where(F.col("count") > 0).withColumn("median", median)
+    if by_category:
+        return moments.join(stats.quantiles(priced, "price", {"median": 0.5}, ["category"], few_groups=True), "category")
+    return moments.where(F.col("count") > 0).withColumn("median", stats.quantile(priced, "price", 0.5).scalar())
 
 
 def is_category(products: DataFrame, category: str) -> DataFrame:

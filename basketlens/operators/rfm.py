@@ -38,7 +38,7 @@ def rfm_histograms(scores: DataFrame, bins: int = 50) -> DataFrame:
     long = scores.select(F.explode(F.array(*(
         F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in METRICS
     ))).alias("m")).select("m.*")
-    return stats.histogram(long, "value", bins, ["metric"])
+    return stats.histogram(long, "value", bins, ["metric"], few_groups=True)
 
 
 def with_scaled_rfm(scores: DataFrame) -> DataFrame:

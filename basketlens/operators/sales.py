@@ -32,8 +32,7 @@ def year_month_pivot(invoices: DataFrame) -> DataFrame:
 
 def month_mall_pivot(invoices: DataFrame) -> DataFrame:
     """Orders per month and mall as rows, zero where a mall had none in the month."""
-    malls = stats.distinct_labels(invoices, "shopping_mall")
-    return stats.crosstab_long(with_calendar_month(invoices), "year_month", "shopping_mall", malls, "orders")
+    return stats.crosstab_present(with_calendar_month(invoices), "year_month", "shopping_mall", "orders")
 
 
 def order_size_histogram(sizes: DataFrame) -> DataFrame:
@@ -72,10 +71,15 @@ def top_product_filter(lines: DataFrame, n: int) -> DataFrame:
     return lines.join(F.broadcast(top_products(lines, n).select("product_id")), "product_id", "left_semi")
 
 
-def product_purchase_frequency(lines: DataFrame, max_frequency: int = 50) -> DataFrame:
-    """How many products were sold exactly k times, for k up to ``max_frequency``."""
+def cap_frequency(counts: DataFrame, limit: int | None = None, by: str = "sold") -> DataFrame:
+    """Counts up to ``limit``, for charts that end there; all of them without a limit."""
+    return counts if limit is None else counts.where(F.col(by) <= limit)
+
+
+def product_purchase_frequency(lines: DataFrame, max_frequency: int | None = None) -> DataFrame:
+    """How many products were sold exactly k times, for every k or up to ``max_frequency``."""
     frequency = stats.frequency_of_counts(lines, "product_id", "sold", "products")
-    return frequency.where(F.col("sold") <= max_frequency).orderBy("sold")
+    return cap_frequency(frequency, max_frequency).orderBy("sold")
 
 
 def mall_best_seller(retail: Retail) -> DataFrame:

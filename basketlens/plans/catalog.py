@@ -28,7 +28,7 @@ BANDS = C.labelled_bands((920, 940, 960, 980))
 TIERS = ((948, "Economy"), (951, "Mid-range"), (952, "Premium"), (None, "Luxury"))
 CATEGORY = "ECONOMY"
 
-_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_QUERIES: dict[str, Callable[[Views], DataFrame]] = {}
 _SQL: dict[str, str] = {}
 
 
@@ -50,7 +50,7 @@ def rounded(df: DataFrame, digits: int, *names: str) -> DataFrame:
 def query(name: str, sql: str | None = None):
     """Registers a builder that takes the lazy views of a dataset; the SQL may use the base expressions."""
     def register(build: Callable[[Views], DataFrame]):
-        _QUERIES[name] = lambda spark, folder: plain(build(Views(spark, folder)))
+        _QUERIES[name] = build
         if sql:
             _SQL[name] = f"WITH {BASE.strip()}\n{sql.strip()}"
         return build
@@ -58,7 +58,13 @@ def query(name: str, sql: str | None = None):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(_QUERIES)
+    """Every query. The queries of one call share model fits by folder; another call starts with none."""
+    fits: dict[tuple, object] = {}
+
+    def runner(build: Callable[[Views], DataFrame]):
+        return lambda spark, folder: plain(build(Views(spark, folder, fits)))
+
+    return {name: runner(build) for name, build in _QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -109,9 +115,7 @@ FROM invoices
 )))
 
 query("product_count", "SELECT invoice_no, product_count FROM sizes")(
-    lambda v: load_basket_texts(v.spark, v.folder).groupBy("invoice_no").agg(
-        F.sum(C.basket_size(F.col("product_id_list"))).alias("product_count")
-    )
+    lambda v: lines.basket_sizes(load_basket_texts(v.spark, v.folder))
 )
 
 
@@ -128,11 +132,7 @@ query("clean_product_ids", "SELECT invoice_no, CAST(product_id AS VARCHAR) AS pr
 query("drop_empty_products", """
 SELECT count(*) AS entries, count(product_id) AS products FROM (
   SELECT product_id FROM lines UNION ALL SELECT NULL FROM (SELECT DISTINCT invoice_no FROM lines))
-""")(lambda v: _messy(load_basket_texts(v.spark, v.folder)).select(
-    F.explode(F.split(F.translate("product_id_list", '"', ""), ",")).alias("entry")
-).agg(
-    F.count(F.lit(1)).alias("entries"), F.count_if(F.trim("entry") != "").alias("products")
-))
+""")(lambda v: lines.entry_counts(_messy(load_basket_texts(v.spark, v.folder))))
 
 query("split_product_ids_raw", "SELECT invoice_no, CAST(product_id AS VARCHAR) AS product_id FROM order_lines")(
     lambda v: lines.raw_lines_from_lists(load_basket_texts(v.spark, v.folder))
@@ -276,7 +276,7 @@ query("positive_sizes", "SELECT invoice_no, product_count FROM sizes WHERE produ
 
 query("cap_frequency", """
 SELECT product_id, count(*) AS sold FROM lines GROUP BY product_id HAVING count(*) <= 30
-""")(lambda v: sales.product_counts(v.retail.lines).where(F.col("sold") <= 30))
+""")(lambda v: sales.cap_frequency(sales.product_counts(v.retail.lines), 30))
 
 _TOP_SQL = "SELECT product_id FROM lines GROUP BY product_id ORDER BY count(*) DESC, product_id LIMIT {}"
 
@@ -301,7 +301,7 @@ FROM order_lines o LEFT JOIN customers c ON o.customer_id = c.customer_id
 ))
 
 query("lines_with_segment", "SELECT invoice_no, product_id, segment FROM segment_lines")(
-    lambda v: lines.lines_with_segment(lines.lines_with_products(v.retail), v.segments).select(
+    lambda v: lines.lines_with_segment(v.retail, v.segments).select(
         "invoice_no", "product_id", "segment"
     )
 )
@@ -311,7 +311,7 @@ SELECT o.invoice_no, o.invoice_date, o.shopping_mall, o.product_id, o.category,
        c.gender, c.age, s.segment
 FROM order_lines o LEFT JOIN customers c ON o.customer_id = c.customer_id
 LEFT JOIN segmented s ON o.customer_id = s.customer_id
-""")(lambda v: lines.lines_with_segment(lines.lines_with_customers(v.retail), v.segments).select(
+""")(lambda v: lines.order_lines(v.retail, v.segments).select(
     "invoice_no", "invoice_date", "shopping_mall", "product_id", "category", "price", "gender", "age", "segment"
 ))
 
@@ -490,6 +490,25 @@ for _name, _where, _category in (
         + _histogram_sql("prices", "p", 10) + _FREQUENCY_SQL.replace("{{", "{").replace("}}", "}")
     )
 
+query("price_frequency_by_category", """
+SELECT category, bin, format('${:.2f} - ${:.2f}', bin_low, bin_high) AS price_range, frequency,
+       round(frequency / sum(frequency) OVER (PARTITION BY category), 6) AS relative_frequency,
+       CAST(sum(frequency) OVER (PARTITION BY category ORDER BY bin) AS BIGINT) AS cumulative_frequency,
+       round(sum(frequency) OVER (PARTITION BY category ORDER BY bin) / sum(frequency) OVER (PARTITION BY category), 6) AS cumulative_relative_frequency
+FROM (SELECT s.category, b.bin, any_value(b.lo) AS bin_low, any_value(b.hi) AS bin_high, count(p.price) AS frequency
+      FROM (SELECT category, min(lo) AS low, max(hi) AS high FROM
+              (SELECT category, CASE WHEN min(p) = max(p) THEN min(p) - 0.5 ELSE min(p) END AS lo,
+                      CASE WHEN min(p) = max(p) THEN max(p) + 0.5 ELSE max(p) END AS hi
+               FROM (SELECT category, CAST(price AS DOUBLE) AS p FROM products) GROUP BY category) GROUP BY category) s
+      CROSS JOIN LATERAL (SELECT r.b AS bin, s.low + r.b * ((s.high - s.low) / 10) AS lo,
+              CASE WHEN r.b = 9 THEN s.high ELSE s.low + (r.b + 1) * ((s.high - s.low) / 10) END AS hi FROM range(10) r(b)) b
+      LEFT JOIN products p ON p.category = s.category AND CAST(p.price AS DOUBLE) >= b.lo
+           AND (CAST(p.price AS DOUBLE) < b.hi OR (b.bin = 9 AND CAST(p.price AS DOUBLE) = b.hi))
+      GROUP BY s.category, b.bin)
+""")(lambda v: rounded(
+    products.price_frequency_table(v.retail.products, by_category=True), 6, "relative_frequency", "cumulative_relative_frequency"
+))
+
 _STATS_SQL = """
 SELECT count(price) AS count, round(CAST(sum(price) AS DOUBLE) / count(price), 4) AS mean,
        round(quantile_cont(CAST(price AS DOUBLE), 0.5), 4) AS median, round(stddev_samp(price), 4) AS std,
@@ -502,6 +521,10 @@ query("descriptive_stats", _STATS_SQL)(
     lambda v: rounded(products.descriptive_stats(v.retail.products), 4, "mean", "median", "std", "variance")
 )
 
+query("descriptive_stats_by_category", _STATS_SQL.replace("SELECT", "SELECT category,", 1) + "GROUP BY category")(
+    lambda v: rounded(products.descriptive_stats(v.retail.products, by_category=True), 4, "mean", "median", "std", "variance")
+)
+
 query("descriptive_stats_category", _STATS_SQL + f"WHERE category = '{CATEGORY}'")(
     lambda v: rounded(products.descriptive_stats(v.retail.products, CATEGORY), 4, "mean", "median", "std", "variance")
 )
@@ -572,8 +595,7 @@ SELECT product_id, count(*) AS sold FROM lines GROUP BY product_id ORDER BY sold
 """)(lambda v: sales.top_products(v.retail.lines))
 
 query("product_purchase_frequency", """
-SELECT sold, count(*) AS products FROM (SELECT product_id, count(*) AS sold FROM lines GROUP BY product_id)
-WHERE sold <= 50 GROUP BY sold
+SELECT sold, count(*) AS products FROM (SELECT product_id, count(*) AS sold FROM lines GROUP BY product_id) GROUP BY sold
 """)(lambda v: sales.product_purchase_frequency(v.retail.lines))
 
 query("mall_best_seller", """
@@ -717,9 +739,10 @@ SELECT customer_id, CAST(CASE ltv_class WHEN 'High' THEN 0 ELSE 1 END AS BIGINT)
 ))
 
 query("prediction_summary_actual", """
-SELECT ltv_class AS value_class, count(*) AS customers, round(avg(future_ltv), 4) AS avg_value,
-       round(count(*) * 100 / sum(count(*)) OVER (), 4) AS share
-FROM labelled GROUP BY ltv_class
+SELECT c.value_class, count(ltv_class) AS customers, round(avg(future_ltv), 4) AS avg_value,
+       round(count(ltv_class) * 100 / (SELECT count(*) FROM labelled), 4) AS share
+FROM (SELECT 'High' AS value_class UNION ALL SELECT 'Low' UNION ALL SELECT 'All') c
+LEFT JOIN labelled ON c.value_class IN (ltv_class, 'All') GROUP BY c.value_class
 """)(lambda v: rounded(features.prediction_summary(v.classes, "future_ltv", "ltv_class"), 4, "avg_value", "share"))
 
 query("upsell_candidates_actual", """
@@ -1018,15 +1041,14 @@ GROUP BY k.label
     features.ltv_class(v.classes, "monetary", "spend_class"), "ltv_class", "spend_class"
 ), 6, "precision", "recall", "f1"))
 
-# Model fits have no SQL; equal fits of one session are made once.
-_FITS: dict[tuple, object] = {}
+# Model fits have no SQL.
 
 
 def _fitted(v: Views, what: str, fit: Callable[[], object]):
     key = (v.spark.sparkContext.applicationId, v.folder, what)
-    if key not in _FITS:
-        _FITS[key] = fit()
-    return _FITS[key]
+    if key not in v.fits:
+        v.fits[key] = fit()
+    return v.fits[key]
 
 
 def _ltv(v: Views) -> tuple[models.LtvModels, DataFrame, DataFrame]:
@@ -1065,7 +1087,10 @@ query("kmeans_segment_summary")(lambda v: rfm.segment_summary(rfm.segment_rules(
 query("silhouette")(lambda v: _clusters(v)[0].groupBy().agg(F.count(F.lit(1)).alias("customers")).withColumn(
     "silhouette_sq_euclidean", F.lit(float(_clusters(v)[1]))
 ))
-query("split_train_test")(lambda v: models.split_train_test(v.target_table)[0].select("customer_id", F.lit("train").alias("side")).unionByName(
+query("split_train_test", """
+SELECT customer_id, CASE WHEN CAST('0x' || substr(md5('42:' || customer_id), 1, 6) AS BIGINT) / 16777216 < 0.2 THEN 'test' ELSE 'train' END AS side
+FROM rfm
+""")(lambda v: models.split_train_test(v.target_table)[0].select("customer_id", F.lit("train").alias("side")).unionByName(
     models.split_train_test(v.target_table)[1].select("customer_id", F.lit("test").alias("side"))
 ))
 query("train_ltv_regressor")(lambda v: models.regression_metrics(_ltv(v)[2], "actual_ltv", "predicted_ltv"))
@@ -1083,7 +1108,7 @@ query("at_risk_high_value")(lambda v: features.at_risk_high_value(
 query("predicted_ltv_boxplot")(
     lambda v: features.ltv_boxplot_by_class(_ltv(v)[1], "predicted_ltv", "predicted_value_class")
 )
-query("lines_with_predictions")(lambda v: lines.lines_with_predictions(lines.lines_with_products(v.retail), _ltv(v)[1]))
+query("lines_with_predictions")(lambda v: lines.lines_with_predictions(v.retail, _ltv(v)[1]))
 query("category_by_predicted_class")(
     lambda v: patterns.category_by_value_class(v.category_facts, _ltv(v)[1], "predicted_value_class")
 )

@@ -20,8 +20,9 @@ class Views:
     several times, and computing them means reading every order line.
     """
 
-    def __init__(self, spark: SparkSession, folder: str):
+    def __init__(self, spark: SparkSession, folder: str, fits: dict[tuple, object] | None = None):
         self.spark = spark
+        self.fits = {} if fits is None else fits
         self.folder = folder
         self.retail = load_retail(spark, folder)
 

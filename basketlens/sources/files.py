@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from basketlens.dataset import Retail
 from basketlens.functions.columns import parse_invoice_date
@@ -14,10 +15,14 @@ from basketlens.sources import schemas
 def read_table(spark: SparkSession, path: str, fields: tuple) -> DataFrame:
     """A CSV with a header, columns found by name in any order and cast to fixed types.
 
-    Nothing is inferred: only the header line is read here. A missing path or column fails at once, and a value that
-    does not fit its type fails the read (ANSI mode).
+    Nothing is inferred: only one header line is read here. A missing path or column fails at once. When rows are read, a
+    file of the folder whose header differs, a row with too few or too many fields, and a value that does not fit its
+    type (ANSI mode) fail the read. All fields are parsed, because a pruned parser cannot see a short row.
     """
-    raw = spark.read.option("header", True).option("escape", '"').csv(path)
+    options = {"header": True, "escape": '"', "mode": "FAILFAST", "enforceSchema": False, "columnPruning": False}
+    headers = spark.read.options(**options).csv(path).columns
+    schema = StructType([StructField(header, StringType()) for header in headers])
+    raw = spark.read.options(**options).schema(schema).csv(path)
     return raw.select(*(F.col(f"`{header}`").cast(kind).alias(name) for header, name, kind in fields))
 
 
@@ -40,7 +45,19 @@ def read_retail(spark: SparkSession, customers_path: str, products_path: str, sa
     customers = read_customers(spark, customers_path)
     products = read_products(spark, products_path)
     sales = read_sales(spark, sales_path)
-    return Retail(customers, products, sales.drop("product_id_list"), lines_from_lists(sales))
+    return Retail(customers, products, invoices_of(sales), lines_from_lists(sales))
+
+
+def invoices_of(sales: DataFrame) -> DataFrame:
+    """One row per invoice number. Rows that repeat a number add their items to it; if they disagree in customer, date or
+    mall, reading them fails."""
+    attributes = F.struct("customer_id", "invoice_date", "shopping_mall")
+    single = sales.groupBy("invoice_no").agg(F.min(attributes).alias("_least"), F.max(attributes).alias("_most"))
+    message = F.concat(F.lit("invoice with differing customer, date or mall: "), F.coalesce("invoice_no", F.lit("null")))
+    checked = F.when(F.col("_least").eqNullSafe(F.col("_most")), F.col("_least")).otherwise(
+        F.raise_error(message).cast(single.schema["_least"].dataType)
+    )
+    return single.select("invoice_no", checked.alias("_row")).select("invoice_no", "_row.*")
 
 
 def read_segmentation(spark: SparkSession, path: str) -> DataFrame:
@@ -65,6 +82,13 @@ def write_table(df: DataFrame, path: str, fields: tuple) -> None:
     with_file_headers(df, fields).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
+def write_report(df: DataFrame, path: str) -> None:
+    """Any report as a CSV folder with a header; columns that CSV cannot hold are written as JSON."""
+    nested = [c for c, kind in df.dtypes if kind.startswith(("array", "struct", "map"))]
+    flat = df.withColumns({c: F.to_json(c) for c in nested})
+    flat.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+
+
 def write_segmentation(df: DataFrame, path: str) -> None:
     write_table(df, path, schemas.SEGMENTATION)
 

@@ -135,11 +135,7 @@ def test_crosstab_fills_zeros_and_leaves_out_empty_columns(spark):
     assert found == {("a", "x", 2), ("a", "y", 0), ("b", "x", 0), ("b", "y", 1)}
 
 
-def test_axis_labels_are_limited(spark):
-    spark.conf.set("spark.sql.pivotMaxValues", "3")
-    try:
-        with pytest.raises(ValueError, match="more than 3"):
-            stats.distinct_labels(spark.range(5), "id")
-        assert stats.distinct_labels(spark.range(3), "id") == [0, 1, 2]
-    finally:
-        spark.conf.unset("spark.sql.pivotMaxValues")
+def test_crosstab_of_present_labels_runs_nothing_while_it_is_planned(spark):
+    frame = spark.createDataFrame([("a", "x"), ("a", "x"), ("b", "y"), (None, "z"), ("a", None)], "r string, c string")
+    assert rows(stats.crosstab_present(frame, "r", "c", "n")) == {("a", "x", 2), ("a", "y", 0), ("b", "x", 0), ("b", "y", 1)}
+    assert stats.crosstab_present(frame.limit(0), "r", "c", "n").count() == 0

@@ -57,6 +57,8 @@ def test_logistic_equals_newton(spark):
     curve = models.logistic_curve(goods, model).orderBy("point").collect()
     assert len(curve) == 300 and curve[0]["price"] == price.min() and curve[-1]["price"] == pytest.approx(price.max())
     assert models.logistic_category_on_price(goods, "absent") is None
+    assert models.logistic_report(goods, "absent", None).columns == models.logistic_report(goods, "x", model).columns
+    assert models.logistic_curve(goods, None).count() == 0
 
 
 def people(spark, n=300):
@@ -98,6 +100,18 @@ def test_forests_learn_the_rule(spark):
     ]
 
 
+def test_forests_do_not_depend_on_files_or_cores(spark):
+    frame = people(spark)
+    found = []
+    for layout, parallelism in ((frame.repartition(1), 2), (frame.repartition(7, "recency"), 5)):
+        spark.conf.set("spark.sql.leafNodeDefaultParallelism", parallelism)
+        fitted = models.train_ltv_models(layout, trees=5, depth=4, partitions=6)
+        predictions = models.predict_customers(fitted, frame)
+        found.append(([tuple(r) for r in models.feature_importance(fitted).collect()], sorted(tuple(r) for r in predictions.collect())))
+    spark.conf.unset("spark.sql.leafNodeDefaultParallelism")
+    assert found[0] == found[1]
+
+
 def test_report_of_known_confusion(spark):
     pairs = [("High", "High")] * 3 + [("High", "Low")] + [("Low", "Low")] * 4 + [("Low", "High")] * 2
     frame = spark.createDataFrame(pairs, "a string, p string")

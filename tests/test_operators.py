@@ -47,16 +47,18 @@ def test_category_facts_have_one_row_per_invoice_and_category(shop):
     assert len(found) == 2 + 1 + 3 + 1 + 2
 
 
-def test_large_invoice_is_spread_over_texts(spark, monkeypatch):
-    monkeypatch.setattr(lines, "LINES_PER_TEXT", 10)
+def test_large_invoice_is_spread_over_slips(spark):
     many = spark.range(95).select(F.lit("I1").alias("invoice_no"), F.lit("P1").alias("product_id"))
     few = spark.createDataFrame([("I2", "P3"), ("I2", "P2")], "invoice_no string, product_id string")
     invoices = spark.createDataFrame([("I1",), ("I2",), ("I3",)], "invoice_no string")
-    texts = lines.baskets_as_text(invoices, many.unionByName(few))
+    texts = lines.baskets_as_text(invoices, many.unionByName(few), lines_per_text=10)
+    assert texts.columns == ["invoice_no", "slip", "product_id_list"]
+    assert texts.count() == texts.select("invoice_no", "slip").distinct().count()
+    assert rows(lines.basket_sizes(texts)) == {("I1", 95), ("I2", 2), ("I3", 0)}
     per_invoice = {r["invoice_no"]: r for r in texts.groupBy("invoice_no").agg(
         F.count(F.lit(1)).alias("n"), F.max(F.length("product_id_list")).alias("longest")).collect()}
     assert 5 < per_invoice["I1"]["n"] <= 10 and per_invoice["I1"]["longest"] < 95 * 2
-    assert rows(texts.where("invoice_no <> 'I1'")) == {("I2", "P2,P3"), ("I3", None)}
+    assert rows(texts.where("invoice_no <> 'I1'")) == {("I2", 0, "P2,P3"), ("I3", 0, None)}
     assert lines.lines_from_lists(texts).where("invoice_no = 'I1'").count() == 95
 
 

@@ -1,12 +1,15 @@
 """Plan properties that must hold at any size: no cross joins, pruned scans, limits before shuffles."""
 
+import os
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
 from basketlens.functions import stats
-from basketlens.operators import lines, patterns, sales
+from basketlens.operators import features, lines, patterns, sales
 from basketlens.plans import catalog
-from basketlens.session import settle
+from basketlens.session import scratch, settle
 from basketlens.sources.tables import load_retail
 
 
@@ -55,6 +58,35 @@ def test_products_are_broadcast_only_below_the_threshold(spark, sf):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+@pytest.mark.parametrize("name", ["rfm_describe", "rfm_histograms", "ltv_boxplot_by_class", "category_price_stats"])
+def test_grouped_ranks_do_not_shuffle_rows_by_group(spark, sf, name):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = plan(catalog.queries()[name](spark, sf))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "BroadcastHashJoin" in text
+    for column in ("metric", "ltv_class", "category"):
+        assert not re.search(rf"SortMergeJoin \[{column}#\d+\], \[{column}#\d+\], Inner", text)
+
+
+def test_target_window_meets_the_lines_before_they_are_summed(spark, sf):
+    text = plan(features.future_ltv_target(load_retail(spark, sf)))
+    assert text.count("lineitem.parquet") == 1
+    above = text[: text.index("lineitem.parquet")]
+    assert "Aggregate" not in above[above.rindex("Join"):]  # the scan meets the invoices of the window at once
+
+
+def test_no_outer_join_meets_the_basket_texts(spark, sf):
+    retail = load_retail(spark, sf)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = plan(lines.baskets_as_text(retail.invoices, retail.lines))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "LeftSemi" in text and "LeftAnti" in text and text.count("LeftOuter") == 1  # the one that numbers slips
+
+
 @pytest.mark.parametrize("name", ["category_performance", "order_lines", "segment_price_sensitivity", "rfm", "mall_best_seller"])
 def test_results_do_not_depend_on_broadcasts_or_partitions(spark, sf, name):
     build = catalog.queries()[name]
@@ -71,8 +103,12 @@ def test_results_do_not_depend_on_broadcasts_or_partitions(spark, sf, name):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
-def test_settled_table_lies_in_the_checkpoint_folder(spark):
-    settled = settle(spark.range(5))
-    assert settled.count() == 5
-    folder = spark.sparkContext.getCheckpointDir()
-    assert folder.split(":", 1)[-1].lstrip("/") in settled.inputFiles()[0]
+def test_settled_table_lies_in_the_checkpoint_folder_until_its_scope_ends(spark):
+    with scratch(spark):
+        settled = settle(spark.range(5))
+        assert settled.count() == 5
+        folder = spark.sparkContext.getCheckpointDir()
+        stored = settled.inputFiles()[0].split(":", 1)[-1]
+        assert folder.split(":", 1)[-1].lstrip("/") in stored
+        assert os.path.exists(re.sub("^/+", "/", stored))
+    assert not os.path.exists(re.sub("^/+", "/", stored))

@@ -1,10 +1,13 @@
 import csv
 import datetime as dt
+from dataclasses import fields
 
 import pytest
 from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from basketlens.operators import lines, patterns, rfm
 from basketlens.plans import stages
 from basketlens.sources import files, schemas
 from tests.fixtures import one, rows
@@ -56,6 +59,37 @@ def test_missing_and_malformed_inputs_fail(spark, shop_files, tmp_path):
         files.read_products(spark, bad).collect()
 
 
+def test_files_of_a_folder_must_agree_and_rows_must_be_whole(spark, tmp_path):
+    mixed = tmp_path / "mixed"
+    mixed.mkdir()
+    write(mixed / "a.csv", ["Product id", "Category", "Price"], [("P1", "Toys", "1")])
+    write(mixed / "b.csv", ["Category", "Product id", "Price"], [("Books", "P2", "2")])
+    with pytest.raises(Exception, match="(?i)header"):
+        files.read_products(spark, str(mixed)).collect()
+    for name, line in (("few", ("P1", "Toys")), ("many", ("P1", "Toys", "1", "more"))):
+        path = write(tmp_path / f"{name}.csv", ["Product id", "Category", "Price"], [line])
+        for pruned in (files.read_products(spark, path), files.read_products(spark, path).select("product_id")):
+            with pytest.raises(Exception, match="(?i)malformed"):
+                pruned.collect()
+
+
+def sales_file(tmp_path, lines):
+    return write(tmp_path / "sales.csv", [h for h, *_ in schemas.SALES], lines)
+
+
+def test_repeated_invoice_counts_once_and_conflicts_fail(spark, tmp_path):
+    people = write(tmp_path / "c.csv", [h for h, *_ in schemas.CUSTOMERS], [("C1", "F", 30, "Cash")])
+    goods = write(tmp_path / "p.csv", [h for h, *_ in schemas.PRODUCTS], [("P1", "Toys", "10.00"), ("P2", "Books", "5.00")])
+    twice = [("I1", "C1", "P1", "1/2/2024", "North"), ("I1", "C1", "P2", "1/2/2024", "North")]
+    retail = files.read_retail(spark, people, goods, sales_file(tmp_path, twice))
+    scores = one(rfm.rfm(lines.invoice_facts(retail), retail.invoices))
+    assert (scores["frequency"], scores["monetary"]) == (1, 15.0)
+    assert rows(patterns.category_performance(lines.category_facts(retail)), "category", "products_sold", "total_revenue") == {("Toys", 1, 10.0), ("Books", 1, 5.0)}
+    conflict = [twice[0], ("I1", "C2", "P2", "1/2/2024", "North")]
+    with pytest.raises(Exception, match="differing customer"):
+        files.read_retail(spark, people, goods, sales_file(tmp_path, conflict)).invoices.collect()
+
+
 def test_quoted_list_survives(spark, tmp_path):
     path = write(tmp_path / "s.csv", [h for h, *_ in schemas.SALES], [("I1", "C1", '"P1", P2', "2/3/2024", "North")])
     assert one(files.read_sales(spark, path))["product_id_list"] == '"P1", P2'
@@ -77,7 +111,14 @@ def test_reports_can_be_read_back(spark, tmp_path):
 def test_stages_hand_over_through_tables(spark, shop_files, tmp_path):
     retail = files.read_retail(spark, *shop_files)
     out = str(tmp_path / "out")
-    segmentation, ltv, sales = stages.run_all(retail, out)
+    profile, segmentation, ltv, sales = stages.run_all(retail, out, max_k=3)
+    for result in (profile, segmentation, ltv, sales):
+        for field in fields(result):
+            frame = getattr(result, field.name)
+            if isinstance(frame, DataFrame):
+                folder = stages.NAMED.get(field.name, (field.name,))[0]
+                stored = spark.read.option("header", True).option("escape", '"').option("multiLine", True).csv(f"{out}/reports/{folder}")
+                assert stored.count() == frame.count(), field.name
     assert segmentation.customers.count() == 60 and segmentation.playbook.count() % 5 == 0
     assert ltv.predictions.count() == 60
     assert one(ltv.importance.agg(F.sum("importance")))[0] == pytest.approx(1.0)
@@ -106,8 +147,9 @@ def test_command_line_runs_one_stage_after_the_other(spark, shop_files, tmp_path
 
     out = str(tmp_path / "cli")
     inputs = [x for name, path in zip(("--customers", "--products", "--sales"), shop_files) for x in (name, path)]
-    for stage in ("segmentation", "ltv", "patterns"):
-        monkeypatch.setattr(sys, "argv", ["basketlens", *inputs, "--out", out, "--stage", stage])
+    for stage in ("profile", "segmentation", "ltv", "patterns"):
+        monkeypatch.setattr(sys, "argv", ["basketlens", *inputs, "--out", out, "--stage", stage, "--max-k", "2", "--as-of-months", "3"])
         main()
     printed = capsys.readouterr().out
-    assert "== segment_summary" in printed and "== importance" in printed and "== key_findings" in printed
+    for name in ("mall_growth", "segment_summary", "feature_importance", "key_findings"):
+        assert f"{out}/reports/{name}\n" in printed

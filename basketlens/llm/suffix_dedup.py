@@ -9,7 +9,8 @@ are sorted as strings of phrases by the difference-cover algorithm:
    ``DEPTH`` phrases, which a triple and two merged phrases hold, so the names need no further recursion;
 2. the suffixes at the remaining places are merged with the sampled ones: each is a phrase or two followed by a sampled suffix;
 3. neighbours are compared: an anchor whose first phrases are no other anchor's has no repeated string before it;
-4. the suffixes at the bytes before the other anchors are compared exactly in their first ``LENGTH`` bytes.
+4. the suffixes at the bytes before the other anchors are compared exactly in their first ``LENGTH`` bytes: first all those of
+   an anchor at once, then one by one those that this leaves open, and those that may equal them.
 
 Only phrases that occur more than once enter the sort. Strings are compared by 64-bit fingerprints.
 
@@ -36,6 +37,8 @@ LENGTH = 400
 GRAM, REACH = 16, 48
 #: Phrases that equal strings of LENGTH bytes share at least, from the first anchor that both must have.
 DEPTH = 5
+#: Names of repeated phrases that are broadcast at most: 24 MB of numbers.
+BROADCAST_NAMES = 3_000_000
 _BASE = np.uint64(0xD1342543DE82EF95)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 2**64))
 
@@ -99,12 +102,21 @@ def phrases(docs: DataFrame, text: str = "text", length: int = LENGTH) -> DataFr
 
 
 def repeated_phrases(found: DataFrame) -> DataFrame:
-    """The phrases that stand at more than one place; rows of one text and place (from copies) become one."""
-    place = F.struct("text_id", "place")
-    twice = found.groupBy("phrase").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a != b").select("phrase")
+    """The phrases that stand at more than one place; rows of one text and place (from copies) become one.
+
+    The repeated names are counted: up to ``BROADCAST_NAMES`` (single numbers) they are broadcast and the phrases are made
+    again where they lie; above it phrases are shuffled by name.
+    """
+    twice = bounded(settle(found.groupBy("phrase").agg(*_two_places("place")).where("a != b").select("phrase")), BROADCAST_NAMES)
     return found.join(twice, "phrase").distinct()
 
 
+def _two_places(start: str) -> tuple[Column, Column]:
+    """The least and the greatest place of a group; a text's number is random in all its bits, so number plus start names one."""
+    at = F.col("text_id") + F.col(start)
+    return F.min(at).alias("a"), F.max(at).alias("b")
+
+
 # ------------------------------------------------------- difference cover
 
 def strings(found: DataFrame) -> DataFrame:
@@ -149,10 +161,10 @@ def merged_forms(string: DataFrame) -> DataFrame:
 
 
 def repeated_anchors(found: DataFrame) -> DataFrame:
-    """``text_id``, ``place`` of the anchors whose first phrases (three to ``DEPTH``) another anchor has too."""
+    """``key``, ``text_id``, ``place`` of the anchors whose first phrases (three to ``DEPTH``) another anchor has too."""
     keys = merged_forms(settle(strings(found))).select("text_id", "place", F.explode("keys").alias("key"))
     shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    return keys.join(shared, "key").select("text_id", "place").distinct()
+    return keys.join(shared, "key")
 
 
 # ----------------------------------------------------------- exact strings
@@ -165,24 +177,39 @@ def windows_before(places: np.ndarray, all_anchors: np.ndarray, n_bytes: int, le
     return np.maximum(first, 0), np.minimum(places - (REACH - 1), n_bytes - length)
 
 
-def marked_strings(docs: DataFrame, chosen: DataFrame, text: str = "text", length: int = LENGTH) -> DataFrame:
-    """``mark`` (fingerprint), ``text_id`` and ``start`` of the strings before the chosen anchors (``text_id``, ``places``)."""
+def marked_strings(docs: DataFrame, chosen: DataFrame, whole: bool, text: str = "text", length: int = LENGTH) -> DataFrame:
+    """Fingerprints (``mark``) of the strings before the chosen anchors (``text_id``, ``places``): each string from ``start`` to
+    ``end``, or with ``whole`` for each anchor (``place``) the stretch that its strings cover together."""
     def make():
         def work(batch: pa.RecordBatch) -> dict:
-            out: list[list[np.ndarray]] = [[], [], []]
+            names = ("mark", "text_id", "place", "start", "end")
+            out: list[list[np.ndarray]] = [[] for _ in names]
             for key, t, places in zip(batch.column("text_id").to_pylist(), texts(batch), batch.column("places").to_pylist()):
                 raw = t.encode("utf-8", "surrogatepass")
-                first, last = windows_before(np.unique(np.array(places, np.int64)), anchors(raw), len(raw), length)
-                n = np.maximum(last - first + 1, 0)
-                start = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)
-                for column, values in zip(out, (Fingerprints(raw).of(start, start + length), np.full(len(start), key), start)):
+                at = np.unique(np.array(places, np.int64))
+                first, last = windows_before(at, anchors(raw), len(raw), length)
+                at, first, last = at[last >= first], first[last >= first], last[last >= first]
+                if not whole:
+                    n = last - first + 1
+                    at, first = np.repeat(at, n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)
+                    last = first
+                for column, values in zip(out, (Fingerprints(raw).of(first, last + length), np.full(len(at), key), at, first, last + length)):
                     column.append(values.astype(np.int64))
-            return dict(zip(("mark", "text_id", "start"), (np.concatenate(c) for c in out)))
+            return {name: np.concatenate(c) for name, c in zip(names, out)}
 
         return work
 
     own = docs.select(F.col(f"`{text}`").alias("text"), text_id(F.col(f"`{text}`")).alias("text_id"))
-    return map_arrow(own.join(chosen, "text_id"), make, "mark bigint, text_id bigint, start int")
+    return map_arrow(own.join(chosen, "text_id"), make, "mark bigint, text_id bigint, place int, start int, end int")
+
+
+def _shared(marks: DataFrame) -> DataFrame:
+    """Rows whose mark stands at another place too."""
+    return marks.join(marks.groupBy("mark").agg(*_two_places("start")).where("a != b").select("mark"), "mark")
+
+
+def _by_text(places: DataFrame) -> DataFrame:
+    return bounded(settle(places.groupBy("text_id").agg(F.collect_set("place").alias("places"))))
 
 
 def repeats(docs: DataFrame, text: str = "text", length: int = LENGTH) -> DataFrame:
@@ -192,24 +219,29 @@ def repeats(docs: DataFrame, text: str = "text", length: int = LENGTH) -> DataFr
     """
     if length < 2 * (REACH - 1) + DEPTH * REACH + GRAM + REACH - 1:
         raise ValueError("equal strings must be long enough to share their anchors")
-    chosen = repeated_anchors(settle(repeated_phrases(phrases(docs, text, length))))
-    marks = marked_strings(docs, bounded(settle(chosen.groupBy("text_id").agg(F.collect_set("place").alias("places")))), text, length)
-    # a text's number is random in all its bits, so number plus start tells places apart
-    at = F.col("text_id") + F.col("start")
-    twice = marks.groupBy("mark").agg(F.min(at).alias("a"), F.max(at).alias("b")).where("a != b").select("mark")
-    starts = marks.join(twice, "mark").groupBy("text_id").agg(F.collect_set("start").alias("starts"))
+    keys = settle(repeated_anchors(settle(repeated_phrases(phrases(docs, text, length)))))
+    # the stretch of an anchor that stands elsewhere as a whole settles all its strings
+    cells = settle(marked_strings(docs, _by_text(keys), True, text, length).distinct())
+    decided = settle(_shared(cells))
+    open_ = cells.join(decided.select("text_id", "place"), ["text_id", "place"], "left_anti").select("text_id", "place")
+    # strings of the others can only equal those of anchors that share a key with them
+    open_keys = keys.join(open_, ["text_id", "place"], "left_semi").select("key").distinct()
+    single = _shared(marked_strings(docs, _by_text(keys.join(open_keys, "key", "left_semi")), False, text, length))
+    covered = decided.select("text_id", "start", "end").union(single.select("text_id", "start", "end"))
+    merged = covered.groupBy("text_id").agg(F.collect_set(F.struct("start", "end")).alias("parts"))
 
     @F.arrow_udf("array<struct<start: int, end: int>>")
-    def covered(column: pa.Array) -> pa.Array:
-        kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+    def spans(column: pa.Array) -> pa.Array:
         rows = []
         for cell in column:
-            at = np.sort(np.asarray(cell.values))
-            new = np.flatnonzero(np.concatenate([[True], np.diff(at) > length]))
-            rows.append([{"start": int(a), "end": int(b) + length} for a, b in zip(at[new], at[np.append(new[1:] - 1, len(at) - 1)])])
-        return pa.array(rows, kind)
-
-    return starts.select("text_id", covered(F.col("starts")).alias("spans"))
+            start, end = (np.asarray(cell.values.field(name)) for name in ("start", "end"))
+            order = np.argsort(start, kind="stable")
+            start, reach = start[order], np.maximum.accumulate(end[order])
+            new = np.flatnonzero(np.concatenate([[True], start[1:] > reach[:-1]]))
+            rows.append([{"start": int(a), "end": int(b)} for a, b in zip(start[new], reach[np.append(new[1:] - 1, len(start) - 1)])])
+        return pa.array(rows, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))
+
+    return merged.select("text_id", spans(F.col("parts")).alias("spans"))
 
 
 def removed(docs: DataFrame, text: str = "text", length: int = LENGTH) -> DataFrame:

@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of one Arrow batch handed to Python. With it the memory of a task follows the longest text, not the row count.
-BATCH_BYTES = 16 << 20
-BATCH_ROWS = 2000
+BATCH_BYTES = 8 << 20
+BATCH_ROWS = 500
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -86,8 +86,19 @@ def digest(column) -> F.Column:
     return F.sha2(column.cast("binary"), 256)
 
 
-#: Rows up to which :func:`bounded` lets a settled table be broadcast.
-BROADCAST_ROWS = 50_000
+def hashed_sample(df: DataFrame, keys: list[str], rows: int, total: int, seed: int = 0) -> DataFrame:
+    """At most ``rows`` rows of about ``total``: those of least hash of ``keys``, whatever the order of the rows.
+
+    Rows whose hash is too great to be among them are dropped where they lie (the margin is six standard deviations), so
+    that tasks do not each send ``rows`` rows to be sorted.
+    """
+    draw = F.pmod(F.xxhash64(*keys, F.lit(seed)), F.lit(1 << 40))
+    share = min(1.0, (rows + 6 * rows**0.5 + 10) / max(total, 1))
+    return df.where(draw < int(share * (1 << 40))).orderBy(draw, *keys).limit(rows)
+
+
+#: Rows up to which :func:`bounded` lets a settled table be broadcast, and tables of one number a row.
+BROADCAST_ROWS, BROADCAST_IDS = 50_000, 500_000
 
 
 def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:

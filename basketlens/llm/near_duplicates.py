@@ -5,8 +5,9 @@
 2. Each text is sampled ``BANDS * ROWS`` times with probability proportional to weight, consistently across texts, so that
    two texts agree in a sample with the probability of their weighted Jaccard similarity.
 3. Equal texts become one. Texts that agree in a whole band share a bucket. A bucket's members are compared with the
-   bucket's least member, those that fail with the least failing and the greatest member, and later within parts of the
-   bucket that agree in one more sample; no bucket is gathered and no list of all its pairs is made.
+   bucket's least member; those that end in another class once with the bucket's greatest member, and with the least of their
+   kind, round after round, in parts of the bucket that agree in ever more samples, until no part has two members. No bucket
+   is gathered and no list of all its pairs is made.
 4. A compared pair is a link if its weighted Jaccard similarity, worked out on the whole texts, is at least ``threshold``.
    Classes are the connected components of links, named by their least ``doc_id``.
 
@@ -25,7 +26,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basketlens.llm.common import map_arrow, mix64, texts, unit
+from basketlens.llm.common import BROADCAST_IDS, bounded, map_arrow, mix64, texts, unit
 from basketlens.llm.shingles import shingled
 from basketlens.session import settle
 
@@ -165,16 +166,21 @@ def banded(distinct: DataFrame) -> DataFrame:
     return distinct.select("doc_id", "sample", F.posexplode(F.array(*keys)).alias("band", "bucket"))
 
 
-def _star(members: DataFrame, of: DataFrame, ends: tuple[str, ...]) -> DataFrame:
-    """Pairs of each member with the least or greatest document of its bucket, with the samples of both."""
-    leader = {"least": F.min(F.struct("doc_id", "sample")), "greatest": F.max(F.struct("doc_id", "sample"))}
-    leaders = of.groupBy("bucket").agg(F.count("*").alias("n"), F.array_distinct(F.array(*(leader[e] for e in ends))).alias("ends"))
-    both = members.join(leaders.where("n > 1").select("bucket", F.explode("ends").alias("leader")), "bucket")
-    return both.where("doc_id != leader.doc_id").select(
+def _star(members: DataFrame, of: DataFrame, end: str) -> DataFrame:
+    """Pairs of each member with the least or greatest document of its bucket, if they are not of one class yet."""
+    cell = F.struct("doc_id", "sample", "class_id")
+    leader = (F.min if end == "least" else F.max)(cell).alias("leader")
+    leaders = of.groupBy("bucket").agg(F.count("*").alias("n"), leader).where("n > 1").drop("n")
+    return members.join(leaders, "bucket").where("class_id != leader.class_id").select(
         F.least("doc_id", "leader.doc_id").alias("a"), F.greatest("doc_id", "leader.doc_id").alias("b"),
         F.size(F.filter(F.zip_with("sample", "leader.sample", lambda x, y: x == y), lambda e: e)).alias("equal"))
 
 
+def _named(members: DataFrame, classes: DataFrame) -> DataFrame:
+    """Members with their present class, their own id if they have no link."""
+    return members.drop("class_id").join(classes, "doc_id", "left").withColumn("class_id", F.coalesce("class_id", "doc_id"))
+
+
 def linked(pairs: DataFrame, bodies: DataFrame, idf: Broadcast, threshold: float, width: int = WIDTH) -> DataFrame:
     """``a``, ``b``, ``similarity`` of the pairs whose weighted Jaccard similarity reaches the threshold."""
     def make():
@@ -241,34 +247,33 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     buckets = banded(distinct)
     shared = buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
     members = settle(buckets.join(shared, "bucket").select("bucket", "doc_id", "sample"))
-    wanted = members.select("doc_id").distinct()
+    wanted = bounded(settle(members.select("doc_id").distinct()), BROADCAST_IDS)
     own = docs.select(F.col(f"`{doc_id}`").cast("bigint").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     bodies = settle(own.join(wanted, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")))
 
-    links, left, whole, step = None, members, members, 0
+    left = whole = members.withColumn("class_id", F.col("doc_id"))
+    links, step = None, 0
     while True:
-        ends = ("least",) if step == 0 else ("least", "greatest")
-        pairs = _star(left, left, ("least",))
-        if step:
-            pairs = pairs.union(_star(left, whole, ends))
+        pairs = _star(left, left, "least")
+        if step == 1:
+            pairs = pairs.union(_star(left, whole, "greatest"))
         pairs = pairs.where(F.col("equal") > FEWEST_EQUAL).select("a", "b").distinct()
-        if links is not None:
-            pairs = pairs.join(links.select("a", "b"), ["a", "b"], "left_anti")
         new = settle(linked(pairs, bodies, idf, threshold, width))
-        links = new if links is None else links.union(new)
-        # done: members linked with another one, unless a bucket's leader failed them
-        leaders = left.groupBy("bucket").agg(F.min("doc_id").alias("leader"), F.count("*").alias("n")).where("n > 1")
-        tried = left.join(leaders, "bucket").where("doc_id != leader")
-        found = links.select(F.col("a").alias("leader"), F.col("b").alias("doc_id"))
-        failing = tried.join(found, ["leader", "doc_id"], "left_anti").select("bucket", "doc_id", "sample")
-        if step:  # parts of the bucket that agree in one more sample
-            narrower = F.xxhash64("bucket", F.col("sample")[step % (BANDS * ROWS)])
-            failing, whole = failing.withColumn("bucket", narrower), whole.withColumn("bucket", narrower)
-        left = settle(failing)
+        if step == 0 or not new.isEmpty():
+            links = new if links is None else settle(links.union(new))
+            classes = settle(components(links))
+            left, whole = _named(left, classes), _named(whole, classes)
+        # members that share a class with the least of their bucket are done; the others meet again among themselves
+        least = left.groupBy("bucket").agg(F.min(F.struct("doc_id", "class_id")).alias("least"))
+        left = left.join(least, "bucket").where("class_id != least.class_id").drop("least")
+        if step:  # from now on in parts of the buckets that agree in one more sample, as long as these have two members
+            left = left.withColumn("bucket", F.xxhash64("bucket", F.col("sample")[step % (BANDS * ROWS)]))
+            crowded = left.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
+            left = left.join(crowded, "bucket")
+        left = settle(left.select("bucket", "doc_id", "sample", "class_id"))
         step += 1
-        if left.isEmpty() or step > BANDS * ROWS:
+        if left.isEmpty():
             break
-    classes = components(links)
     copies = signed.select("doc_id", "key").join(equal.select("key", "first_id", "n_equal"), "key")
     alone = signed.where("key IS NULL").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("bigint").alias("n_equal"))
     named = classes.select(F.col("doc_id").alias("first_id"), "class_id")
@@ -280,10 +285,10 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", thr
     """``docs`` with one row of each class: that of the least id. Rows without an id or shingles all stay, for nothing is
     known to be equal to them; of rows with one id one stays."""
     classes = settle(near_duplicates(docs, doc_id, text, threshold))
-    gone = classes.where("doc_id != class_id").select(F.col("doc_id").alias("gone_id")).distinct()
-    kept = docs.join(gone, F.col(f"`{doc_id}`").cast("bigint") == F.col("gone_id"), "left_anti")
-    repeated = settle(classes.where("doc_id = class_id").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("again_id")))
+    gone = classes.where("doc_id != class_id").select(F.col("doc_id").alias("_gone_id")).distinct()
+    kept = docs.join(gone, F.col(f"`{doc_id}`").cast("bigint") == F.col("_gone_id"), "left_anti")
+    repeated = settle(classes.where("doc_id = class_id").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("_again_id")))
     if repeated.isEmpty():
         return kept
-    again = F.col(f"`{doc_id}`").cast("bigint") == F.col("again_id")
+    again = F.col(f"`{doc_id}`").cast("bigint") == F.col("_again_id")
     return kept.join(repeated, again, "left_anti").unionByName(kept.join(repeated, again, "left_semi").dropDuplicates([doc_id]))

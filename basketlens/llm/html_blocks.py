@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from basketlens.llm.common import hashed_sample
 from basketlens.llm.shingles import hashed_words
 
 #: Pages that the labeller is trained on at most, and characters of such a page at most.
@@ -351,8 +352,8 @@ def train_labeller(sample: list[str], seed: int = SEED) -> BlockLabeller | None:
 
 def training_sample(pages: DataFrame, page_id: str = "page_id", column: str = "html", rows: int = TRAIN_PAGES) -> list[str]:
     """At most ``rows`` pages of at most ``TRAIN_CHARS`` characters: the least by hash of their id."""
-    usable = pages.where(F.length(f"`{column}`").between(1, TRAIN_CHARS)).select(F.xxhash64(F.col(f"`{page_id}`")).alias("draw"), F.col(f"`{column}`").alias("html"))
-    return [r.html for r in usable.orderBy("draw", "html").limit(rows).collect()]
+    usable = pages.where(F.length(f"`{column}`").between(1, TRAIN_CHARS)).select(F.col(f"`{page_id}`").alias("id"), F.col(f"`{column}`").alias("html"))
+    return [r.html for r in hashed_sample(usable, ["id", "html"], rows, pages.count()).collect()]
 
 
 def extract(pages: DataFrame, page_id: str = "page_id", column: str = "html", name: str = "text", labeller: BlockLabeller | None = None) -> DataFrame:

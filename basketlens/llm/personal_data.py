@@ -141,22 +141,24 @@ def disclosures(found: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     near = settle(_entities(found, doc_id, text))
     holders = near.groupBy("entity").agg(F.count_distinct("doc").alias("n_entity"))
     contexts = near.select("entity", "doc", F.xxhash64("terms").alias("context"), F.explode("terms").alias("term"))
-    pairs = settle(contexts.groupBy("entity", "term").agg(
-        F.count_distinct("context").alias("n_contexts"), F.count_distinct("doc").alias("n_both")).where(F.col("n_contexts") >= LEAST_CONTEXTS))
+    # a term stands in at least the texts in which it is near any entity, which already rules out the common words
+    beside = contexts.groupBy("term").agg(F.count_distinct("doc").alias("n_beside"))
+    pairs = contexts.groupBy("entity", "term").agg(
+        F.count_distinct("context").alias("n_contexts"), F.count_distinct("doc").alias("n_both")).where(F.col("n_contexts") >= LEAST_CONTEXTS)
+    total = found.select(F.count("*").alias("n")).scalar()
+    possible = settle(pairs.join(holders, "entity").join(beside, "term").withColumn("n", total).where(_disclosed("n_beside") >= GENERALISED))
     words = F.array_distinct(F.transform(F.split(F.coalesce(F.col(f"`{text}`"), F.lit("")), r"[\s]+"), _term))
-    wanted = bounded(settle(pairs.select("term").distinct()))
+    wanted = bounded(settle(possible.select("term").distinct()))
     held = found.select(F.explode(words).alias("term")).join(wanted, "term").groupBy("term").agg(F.count("*").alias("n_term"))
-    total = found.select(F.count("*").alias("n"))
-    scored = pairs.join(held, "term").join(holders, "entity").withColumn("n", _scalar(total))
-    information = -F.log(F.col("n_entity") / F.col("n"))
-    given = F.log(F.least(F.col("n_both") / F.col("n_term"), F.lit(1.0)))
-    disclosed = F.when(information > 0, 1 + given / information).otherwise(0.0)
-    revealing = scored.select("entity", "term", disclosed.alias("disclosure")).where(F.col("disclosure") >= GENERALISED)
+    revealing = possible.join(held, "term").select("entity", "term", _disclosed("n_term").alias("disclosure")).where(F.col("disclosure") >= GENERALISED)
     return near.select("doc", "entity").distinct().join(revealing, "entity").groupBy("doc", "term").agg(F.max("disclosure").alias("disclosure"))
 
 
-def _scalar(one: DataFrame) -> Column:
-    return one.scalar()
+def _disclosed(n_term: str) -> Column:
+    """The share of an entity's information that a term in ``n_term`` texts discloses (``n_both``, ``n_entity``, ``n`` beside)."""
+    information = -F.log(F.col("n_entity") / F.col("n"))
+    given = F.log(F.least(F.col("n_both") / F.col(n_term), F.lit(1.0)))
+    return F.when(information > 0, 1 + given / information).otherwise(0.0)
 
 
 def personal_data(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

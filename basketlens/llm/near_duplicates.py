@@ -6,7 +6,7 @@
    two texts agree in a sample with the probability of their weighted Jaccard similarity.
 3. Equal texts become one. Texts that agree in a whole band share a bucket. A bucket's members are compared with the
    bucket's least member; those that end in another class once with the bucket's greatest member, and with the least of their
-   kind, round after round, in parts of the bucket that agree in ever more samples, until no part has two members. No bucket
+   kind, round after round, in parts of the bucket that agree in ever more bands, until no part has two members. No bucket
    is gathered and no list of all its pairs is made.
 4. A compared pair is a link if its weighted Jaccard similarity, worked out on the whole texts, is at least ``threshold``.
    Classes are the connected components of links, named by their least ``doc_id``.
@@ -246,7 +246,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     distinct = equal.where("first_id IS NOT NULL").groupBy(F.col("first_id").alias("doc_id")).agg(F.first("sample").alias("sample"))
     buckets = banded(distinct)
     shared = buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-    members = settle(buckets.join(shared, "bucket").select("bucket", "doc_id", "sample"))
+    members = settle(buckets.join(shared, "bucket").select("bucket", "band", "doc_id", "sample"))
     wanted = bounded(settle(members.select("doc_id").distinct()), BROADCAST_IDS)
     own = docs.select(F.col(f"`{doc_id}`").cast("bigint").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     bodies = settle(own.join(wanted, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")))
@@ -266,11 +266,11 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         # members that share a class with the least of their bucket are done; the others meet again among themselves
         least = left.groupBy("bucket").agg(F.min(F.struct("doc_id", "class_id")).alias("least"))
         left = left.join(least, "bucket").where("class_id != least.class_id").drop("least")
-        if step:  # from now on in parts of the buckets that agree in one more sample, as long as these have two members
-            left = left.withColumn("bucket", F.xxhash64("bucket", F.col("sample")[step % (BANDS * ROWS)]))
+        if step:  # from now on in parts of the buckets that agree in one more band, as long as these have two members
+            left = left.withColumn("bucket", F.xxhash64("bucket", F.slice("sample", F.pmod(F.col("band") + step, F.lit(BANDS)) * ROWS + 1, ROWS)))
             crowded = left.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
             left = left.join(crowded, "bucket")
-        left = settle(left.select("bucket", "doc_id", "sample", "class_id"))
+        left = settle(left.select("bucket", "band", "doc_id", "sample", "class_id"))
         step += 1
         if left.isEmpty():
             break
@@ -285,8 +285,8 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", thr
     """``docs`` with one row of each class: that of the least id. Rows without an id or shingles all stay, for nothing is
     known to be equal to them; of rows with one id one stays."""
     classes = settle(near_duplicates(docs, doc_id, text, threshold))
-    gone = classes.where("doc_id != class_id").select(F.col("doc_id").alias("_gone_id")).distinct()
-    kept = docs.join(gone, F.col(f"`{doc_id}`").cast("bigint") == F.col("_gone_id"), "left_anti")
+    gone = settle(classes.where("doc_id != class_id").select(F.col("doc_id").alias("_gone_id")).distinct())
+    kept = docs.join(bounded(gone, BROADCAST_IDS), F.col(f"`{doc_id}`").cast("bigint") == F.col("_gone_id"), "left_anti")
     repeated = settle(classes.where("doc_id = class_id").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("_again_id")))
     if repeated.isEmpty():
         return kept

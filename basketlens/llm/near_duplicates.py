@@ -4,10 +4,10 @@
    share the largest inverse frequency. The sketch's error is a fixed share of the texts, whatever their number.
 2. Each text is sampled ``BANDS * ROWS`` times with probability proportional to weight, consistently across texts, so that
    two texts agree in a sample with the probability of their weighted Jaccard similarity.
-3. Equal texts become one. Texts that agree in a whole band share a bucket. A bucket's members are compared with the
-   bucket's least member; those that end in another class once with the bucket's greatest member, and with the least of their
-   kind, round after round, in parts of the bucket that agree in ever more bands, until no part has two members. No bucket
-   is gathered and no list of all its pairs is made.
+3. Equal texts become one. Texts that agree in a whole band share a bucket. For ``LEADERS`` rounds one member of each bucket is
+   compared with all members of other classes and then leaves; members that have joined a class lead before those that have
+   not. A bucket is done when its members are of one class. What is left of the others is joined exactly, by size and
+   prefixes of rare shingles, in tasks that each hold two blocks of a bucket. No list of all pairs of a bucket is made.
 4. A compared pair is a link if its weighted Jaccard similarity, worked out on the whole texts, is at least ``threshold``.
    Classes are the connected components of links, named by their least ``doc_id``.
 
@@ -38,6 +38,8 @@ DEPTH, BUCKETS, RARE = 2, 1 << 16, 0.02
 SEGMENT, SALTS = 8192, 64
 #: Pairs that agree in no more samples are not verified: at similarity 0.8 fewer than one pair in 10,000 does.
 FEWEST_EQUAL = 10
+#: Rounds of leaders before the exact join; members and bytes of text of its blocks, on average.
+LEADERS, BLOCK, BLOCK_BYTES = 3, 512, 2 << 20
 _TABLE = 1 << 14
 
 
@@ -166,16 +168,26 @@ def banded(distinct: DataFrame) -> DataFrame:
     return distinct.select("doc_id", "sample", F.posexplode(F.array(*keys)).alias("band", "bucket"))
 
 
-def _star(members: DataFrame, of: DataFrame, end: str) -> DataFrame:
-    """Pairs of each member with the least or greatest document of its bucket, if they are not of one class yet."""
-    cell = F.struct("doc_id", "sample", "class_id")
-    leader = (F.min if end == "least" else F.max)(cell).alias("leader")
-    leaders = of.groupBy("bucket").agg(F.count("*").alias("n"), leader).where("n > 1").drop("n")
+def _leaders(members: DataFrame) -> DataFrame:
+    """``bucket`` and ``leader``: the least of the members that have joined a class, else the least member."""
+    cell = F.struct((F.col("class_id") == F.col("doc_id")).alias("alone"), "doc_id", "sample", "class_id")
+    return members.groupBy("bucket").agg(F.min(cell).alias("leader"))
+
+
+def _star(members: DataFrame, leaders: DataFrame) -> DataFrame:
+    """Pairs of each member with the leader of its bucket, if they are not of one class yet."""
     return members.join(leaders, "bucket").where("class_id != leader.class_id").select(
         F.least("doc_id", "leader.doc_id").alias("a"), F.greatest("doc_id", "leader.doc_id").alias("b"),
         F.size(F.filter(F.zip_with("sample", "leader.sample", lambda x, y: x == y), lambda e: e)).alias("equal"))
 
 
+def _open(members: DataFrame, leaders: DataFrame) -> DataFrame:
+    """Members without the leaders, which were compared with all others, of buckets that still hold several classes."""
+    rest = members.join(leaders.select("bucket", F.col("leader.doc_id").alias("led")), "bucket").where("doc_id != led").drop("led")
+    several = rest.groupBy("bucket").agg(F.min("class_id").alias("low"), F.max("class_id").alias("high")).where("low != high").select("bucket")
+    return rest.join(several, "bucket")
+
+
 def _named(members: DataFrame, classes: DataFrame) -> DataFrame:
     """Members with their present class, their own id if they have no link."""
     return members.drop("class_id").join(classes, "doc_id", "left").withColumn("class_id", F.coalesce("class_id", "doc_id"))
@@ -208,6 +220,68 @@ def linked(pairs: DataFrame, bodies: DataFrame, idf: Broadcast, threshold: float
     return map_arrow(pairs.join(side("b"), "b").join(side("a"), "a"), make, "a bigint, b bigint, similarity double")
 
 
+def within(members: DataFrame, bodies: DataFrame, idf: Broadcast, threshold: float, width: int = WIDTH) -> DataFrame:
+    """``a``, ``b``, ``similarity``: links that join all classes of a bucket which any of its pairs joins.
+
+    The members of a bucket are dealt over blocks, and each pair of blocks is a group, so that its size is bounded.
+    """
+    def work(group: pa.Table) -> pa.Table:
+        doc, block = (np.array(group.column(c).to_pylist(), np.int64) for c in ("doc_id", "block"))
+        found = similar(*weighted(texts(group), idf.value, width), group.column("class_id").to_pylist(), block, threshold)
+        a, b = ([int(f(doc[i], doc[j])) for i, j, _ in found] for f in (min, max))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "similarity": pa.array([s for *_, s in found], pa.float64())})
+
+    own = members.select("bucket", "doc_id", "class_id").join(bodies.select("doc_id", F.octet_length("text").alias("bytes")), "doc_id")
+    sizes = own.groupBy("bucket").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("bytes") / BLOCK_BYTES, F.lit(1.0))).alias("blocks"))
+    dealt = own.join(sizes, "bucket").withColumn("block", F.pmod(F.xxhash64("doc_id"), "blocks"))
+    each = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))).select(
+        "bucket", "doc_id", "class_id", "block", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"))
+    return each.join(bodies, "doc_id").groupBy("bucket", "one", "two").applyInArrow(work, "a bigint, b bigint, similarity double")
+
+
+def similar(owner: np.ndarray, shingle: np.ndarray, weight: np.ndarray, classes: list[int], block: np.ndarray,
+            threshold: float) -> list[tuple[int, int, float]]:
+    """(text, text, similarity) of pairs of different classes that reach the threshold, classes joined as pairs are found. Of
+    texts in two blocks only pairs across them count.
+
+    Texts come by rising weight. A pair reaches the threshold t only if the lesser has t of the greater's weight, and if they
+    share a shingle among the rarest ones: outside of these the greater holds less than t of its own weight, and the lesser
+    less than 2t / (1 + t), which is what both together must share. Nothing is ruled out by chance.
+    """
+    total = np.bincount(owner, weight, len(classes))
+    starts = np.searchsorted(owner, np.arange(len(classes) + 1))
+    _, name, times = np.unique(shingle, return_inverse=True, return_counts=True)
+    rare = np.lexsort((name, times[name], owner))
+    before = np.concatenate([[0.0], np.cumsum(weight[rare])])
+    rest = total[owner] - (before[:-1] - before[starts[owner]])  # weight of a shingle and all more frequent ones of its text
+    slack = 1 - 1e-6
+    probe, kept = rest >= threshold * slack * total[owner], rest >= 2 * threshold / (1 + threshold) * slack * total[owner]
+    name = name[rare]
+    parent = {c: c for c in classes}
+
+    def root(c: int) -> int:
+        while parent[c] != c:
+            parent[c] = c = parent[parent[c]]
+        return c
+
+    across, out = len(np.unique(block)) > 1, []
+    seen: dict[int, list[int]] = {}
+    for y in np.argsort(total, kind="stable").tolist():
+        part = slice(starts[y], starts[y + 1])
+        near = {x for k in name[part][probe[part]].tolist() for x in seen.get(k, ())}
+        for x in sorted(near):
+            if across and block[x] == block[y] or total[x] < threshold * slack * total[y] or root(classes[x]) == root(classes[y]):
+                continue
+            one, two = slice(starts[x], starts[x + 1]), slice(starts[y], starts[y + 1])
+            s = jaccard(shingle[one], weight[one], shingle[two], weight[two])
+            if s >= threshold:
+                out.append((x, y, s))
+                parent[root(classes[x])] = root(classes[y])
+        for k in name[part][kept[part]].tolist():
+            seen.setdefault(k, []).append(y)
+    return out
+
+
 def jaccard(keys_a: np.ndarray, weights_a: np.ndarray, keys_b: np.ndarray, weights_b: np.ndarray) -> float:
     """Sum of the lesser over sum of the greater weights; keys are sorted and distinct."""
     if not len(keys_a) or not len(keys_b):
@@ -246,34 +320,28 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     distinct = equal.where("first_id IS NOT NULL").groupBy(F.col("first_id").alias("doc_id")).agg(F.first("sample").alias("sample"))
     buckets = banded(distinct)
     shared = buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-    members = settle(buckets.join(shared, "bucket").select("bucket", "band", "doc_id", "sample"))
+    members = settle(buckets.join(shared, "bucket").select("bucket", "doc_id", "sample"))
     wanted = bounded(settle(members.select("doc_id").distinct()), BROADCAST_IDS)
     own = docs.select(F.col(f"`{doc_id}`").cast("bigint").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     bodies = settle(own.join(wanted, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")))
 
-    left = whole = members.withColumn("class_id", F.col("doc_id"))
-    links, step = None, 0
-    while True:
-        pairs = _star(left, left, "least")
-        if step == 1:
-            pairs = pairs.union(_star(left, whole, "greatest"))
-        pairs = pairs.where(F.col("equal") > FEWEST_EQUAL).select("a", "b").distinct()
+    left = members.withColumn("class_id", F.col("doc_id"))
+    links = None
+    for step in range(LEADERS):
+        leaders = settle(_leaders(left))
+        pairs = _star(left, leaders).where(F.col("equal") > FEWEST_EQUAL).select("a", "b").distinct()
         new = settle(linked(pairs, bodies, idf, threshold, width))
         if step == 0 or not new.isEmpty():
             links = new if links is None else settle(links.union(new))
             classes = settle(components(links))
-            left, whole = _named(left, classes), _named(whole, classes)
-        # members that share a class with the least of their bucket are done; the others meet again among themselves
-        least = left.groupBy("bucket").agg(F.min(F.struct("doc_id", "class_id")).alias("least"))
-        left = left.join(least, "bucket").where("class_id != least.class_id").drop("least")
-        if step:  # from now on in parts of the buckets that agree in one more band, as long as these have two members
-            left = left.withColumn("bucket", F.xxhash64("bucket", F.slice("sample", F.pmod(F.col("band") + step, F.lit(BANDS)) * ROWS + 1, ROWS)))
-            crowded = left.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-            left = left.join(crowded, "bucket")
-        left = settle(left.select("bucket", "band", "doc_id", "sample", "class_id"))
-        step += 1
+            left = _named(left, classes)
+        left = settle(_open(left, leaders).select("bucket", "doc_id", "sample", "class_id"))
         if left.isEmpty():
             break
+    else:
+        new = settle(within(left, bodies, idf, threshold, width))
+        if not new.isEmpty():
+            classes = settle(components(links.union(new)))
     copies = signed.select("doc_id", "key").join(equal.select("key", "first_id", "n_equal"), "key")
     alone = signed.where("key IS NULL").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("bigint").alias("n_equal"))
     named = classes.select(F.col("doc_id").alias("first_id"), "class_id")

@@ -211,6 +211,38 @@ def test_near_duplicates_equal_all_pairs(spark):
     assert near_duplicates.near_duplicates(empty_docs(spark)).count() == 0
 
 
+def replaced(words, places, draw):
+    """The words with other ones at places eight apart, each of which changes five shingles."""
+    words = list(words)
+    for at in draw.sample(range(4, len(words) - 4, 8), places):
+        words[at] = f"v{draw.randrange(10**9)}"
+    return words
+
+
+def families(of_hub, n, places, seed):
+    """``n`` families of a hub and ``of_hub`` variants, ids dealt so that no hub has the least or greatest; and short fillers."""
+    draw, texts, hubs = random.Random(seed), [], []
+    for f in range(n):
+        hub = [f"w{draw.randrange(10**9)}" for _ in range(400)]
+        ids = list(range(100 * f, 100 * f + of_hub + 1))
+        hubs.append(ids[of_hub // 2])
+        texts += [(i, " ".join(hub if i == hubs[-1] else replaced(hub, places, draw))) for i in ids]
+    return texts + [(10**6 + i, f"a{i} b{i} c{i}") for i in range(100 * of_hub)], hubs
+
+
+def test_near_duplicates_of_a_hub_in_the_middle_are_one_class(spark):
+    texts, hubs = families(20, 8, 7, 1)  # variants are some 0.84 like the hub and 0.7 like each other
+    docs = docs_of(spark, texts)
+    idf = near_duplicates.inverse_frequencies(*near_duplicates.document_frequencies(docs))
+    vectors = {i: near_duplicates.weighted([t], idf)[1:] for i, t in texts[:168]}
+    for i, hub in enumerate(hubs):
+        own = [k for k in vectors if k // 100 == i and k != hub]
+        assert all(near_duplicates.jaccard(*vectors[hub], *vectors[k]) >= 0.8 for k in own)
+        assert all(near_duplicates.jaccard(*vectors[j], *vectors[k]) < 0.8 for j in own for k in own if j < k)
+    found = {r.doc_id: r.class_id for r in near_duplicates.near_duplicates(docs).collect()}
+    assert all(found[i] == i // 100 * 100 for i in vectors) and all(found[i] == i for i, _ in texts[168:])
+
+
 def test_samples_agree_as_often_as_weighted_jaccard():
     draw = np.random.default_rng(3)
     keys = np.sort(draw.integers(0, 2**63, 300).astype(np.uint64))

@@ -243,6 +243,40 @@ def test_near_duplicates_of_a_hub_in_the_middle_are_one_class(spark):
     assert all(found[i] == i // 100 * 100 for i in vectors) and all(found[i] == i for i, _ in texts[168:])
 
 
+def filled_in(n, pairs, seed):
+    """``n`` texts of one template, some 0.7 like each other, and near copies of the first ``pairs`` of them, under any ids."""
+    draw = random.Random(seed)
+    template = [f"w{draw.randrange(10**9)}" for _ in range(400)]
+    own = [replaced(template, 8, draw) for _ in range(n)]
+    own += [replaced(words, 7, draw) for words in own[:pairs]]
+    ids = draw.sample(range(10**6), len(own))
+    return list(zip(ids, map(" ".join, own))), {frozenset((ids[k], ids[n + k])) for k in range(pairs)}
+
+
+def all_links(vectors):
+    return {frozenset((a, b)) for a in vectors for b in vectors if a < b and near_duplicates.jaccard(*vectors[a], *vectors[b]) >= 0.8}
+
+
+def test_near_copies_among_texts_of_a_template_are_found(spark):
+    texts, planted = filled_in(100, 20, 2)
+    docs = docs_of(spark, texts + [(10**6 + i, f"a{i} b{i} c{i}") for i in range(6500)])
+    idf = near_duplicates.inverse_frequencies(*near_duplicates.document_frequencies(docs))
+    assert all_links({i: near_duplicates.weighted([t], idf)[1:] for i, t in texts}) == planted
+    found = {r.doc_id: r.class_id for r in near_duplicates.near_duplicates(docs).collect()}
+    assert {frozenset((i, c)) for i, c in found.items() if i != c} == planted
+
+
+def test_blocks_of_a_bucket_are_joined_exactly(spark, monkeypatch):
+    texts, planted = filled_in(60, 10, 3)
+    idf = np.full((near_duplicates.DEPTH, near_duplicates.BUCKETS), 1.0, np.float32)
+    assert all_links({i: near_duplicates.weighted([t], idf)[1:] for i, t in texts}) == planted
+    monkeypatch.setattr(near_duplicates, "BLOCK", 9)
+    members = spark.createDataFrame([(1, i, i) for i, _ in texts], "bucket bigint, doc_id bigint, class_id bigint")
+    bodies = spark.createDataFrame(texts, "doc_id bigint, text string")
+    rows = near_duplicates.within(members, bodies, spark.sparkContext.broadcast(idf), 0.8).collect()
+    assert sorted((r.a, r.b) for r in rows) == sorted(tuple(sorted(p)) for p in planted) and all(0.8 <= r.similarity < 1 for r in rows)
+
+
 def test_samples_agree_as_often_as_weighted_jaccard():
     draw = np.random.default_rng(3)
     keys = np.sort(draw.integers(0, 2**63, 300).astype(np.uint64))

@@ -39,6 +39,7 @@ _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _SKIPPED = frozenset("head script style noscript template svg iframe object select textarea title".split())
+_HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
 _RAW = frozenset(("script", "style", "textarea", "title"))
 
 
@@ -78,6 +79,8 @@ def blocks(page: str) -> list[Block]:
     while at < len(page):
         found = _TAG.search(page, at)
         piece = page[at: found.start()] if found else page[at:]
+        if stack and stack[-1][0] == "head" and piece.strip():  # the end tag of a head may be left out
+            leave("head")
         if piece and not skipped:
             parts.append(piece)
             linked += len(piece) if links else 0
@@ -92,6 +95,8 @@ def blocks(page: str) -> list[Block]:
         if found[1]:
             leave(name)
             continue
+        if stack and stack[-1][0] == "head" and name not in _HEAD:
+            leave("head")
         if name == "p":
             leave("p") if any(n == "p" for n, _ in stack[-3:]) else None
         if name in _VOID or found[3].endswith("/"):

@@ -153,6 +153,14 @@ def test_blocks_decode_and_skip():
     assert found[0].linked == 4 and found[1].path == ("html", "body", "p x y")
 
 
+def test_a_head_ends_without_its_end_tag():
+    for start in ("<body>", "<body class='x'><div>", "<p>", "<a href='/'>", "", "<img src='i'>", "<svg><path/></svg>"):
+        page = f"<html><head><meta charset='u'><title>no</title><style>no</style><noscript><img src='i'>no</noscript>\n{start}Text <p>More</p></html>"
+        assert [b.text for b in html_blocks.blocks(page)] == ["Text", "More"], start
+    page = "<head><title>no</title><noscript><div>no</div></noscript><link rel='x'></head><p>Text"
+    assert [b.text for b in html_blocks.blocks(page)] == ["Text"]
+
+
 def test_main_text_of_known_layouts(spark, labeller):
     main = " ".join(prose(12, s).capitalize() + "." for s in range(3))
     layouts = [

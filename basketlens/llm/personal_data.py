@@ -4,14 +4,14 @@ Everything is DataFrame functions. The base kinds (email, ip, card, phone) are f
 possessive where that changes no match, so that long runs neither backtrack nor recurse; places come from the lengths
 of the stretches between matches.
 
-A protected entity is a base value. Words near an entity are candidate terms; one context (the same words around) counts
-once, so that copies of a text are no evidence. With p(e|t), the share of the texts holding term t that hold entity e, a
+A protected entity is a base value. All words of its documents are candidate terms; one context (the same words around the
+entity) counts once, so that copies of a text are no evidence. With p(e|t), the share of the documents holding term t that hold entity e, a
 term discloses 1 + log p(e|t) / IC(e) of the information content IC(e) = -log p(e): 1 if it occurs with e only, 0 if it
 says nothing. At ``GENERALISED`` and more a term becomes a span of kind ``term`` wherever it stands in a text with the entity;
 :func:`sanitised` writes the kind in its place, and removes it at ``REMOVED`` and more.
 
 Defined results: a null text is empty and has no spans. Rows of one doc_id are one document for the terms; rows without a
-doc_id keep their base spans and get no term spans. Equal rows get equal results; an empty table gives no rows. Columns that
+doc_id keep their base spans, get no term spans and are not counted. Equal rows get equal results; an empty table gives no rows. Columns that
 are named like a kind or ``removed_terms`` are replaced, all others stay.
 """
 
@@ -26,9 +26,9 @@ from basketlens.llm.common import bounded
 from basketlens.session import settle
 
 KINDS = ("email", "ip", "card", "phone")
-#: Words on either side of an entity that are candidates, the characters in which they are looked for, least letters.
+#: Words on either side of an entity that are its context, the characters in which they are looked for, least letters of a term.
 CONTEXT_WORDS, CONTEXT_CHARS, LEAST_LETTERS = 3, 80, 3
-#: Different contexts in which a term must stand near an entity, and the disclosure thresholds.
+#: Different contexts of an entity in whose documents a term must stand, and the disclosure thresholds.
 LEAST_CONTEXTS, GENERALISED, REMOVED = 2, 0.8, 0.95
 
 # A local part starts where no other could have started before: after a foreign character or the match before (\G).
@@ -138,26 +138,43 @@ def disclosures(found: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 
     ``found`` has the spans of :func:`with_base_spans`.
     """
-    near = settle(_entities(found, doc_id, text))
-    holders = near.groupBy("entity").agg(F.count_distinct("doc").alias("n_entity"))
-    contexts = near.select("entity", "doc", F.xxhash64("terms").alias("context"), F.explode("terms").alias("term"))
-    # a term stands in at least the texts in which it is near any entity, which already rules out the common words
-    beside = contexts.groupBy("term").agg(F.count_distinct("doc").alias("n_beside"))
-    pairs = contexts.groupBy("entity", "term").agg(
-        F.count_distinct("context").alias("n_contexts"), F.count_distinct("doc").alias("n_both")).where(F.col("n_contexts") >= LEAST_CONTEXTS)
-    total = found.select(F.count("*").alias("n")).scalar()
-    possible = settle(pairs.join(holders, "entity").join(beside, "term").withColumn("n", total).where(_disclosed("n_beside") >= GENERALISED))
-    words = F.array_distinct(F.transform(F.split(F.coalesce(F.col(f"`{text}`"), F.lit("")), r"[\s]+"), _term))
-    wanted = bounded(settle(possible.select("term").distinct()))
-    held = found.select(F.explode(words).alias("term")).join(wanted, "term").groupBy("term").agg(F.count("*").alias("n_term"))
-    revealing = possible.join(held, "term").select("entity", "term", _disclosed("n_term").alias("disclosure")).where(F.col("disclosure") >= GENERALISED)
+    near = settle(_entities(found, doc_id, text).select("doc", "entity", F.xxhash64("terms").alias("context")).distinct())
+    entities = settle(near.groupBy("entity").agg(F.count_distinct("doc").alias("n_entity"), F.count_distinct("context").alias("n_contexts")).where(
+        F.col("n_contexts") >= LEAST_CONTEXTS).drop("n_contexts"))
+    holders = settle(near.join(entities, "entity"))
+    own = F.array_distinct(F.transform(F.split(F.coalesce(F.col(f"`{text}`"), F.lit("")), r"[\s]+"), _term))
+    docs = found.where(F.col(f"`{doc_id}`").isNotNull()).select(F.col(f"`{doc_id}`").alias("doc"), F.filter(own, lambda w: F.length(w) >= LEAST_LETTERS).alias("words"))
+    ids = settle(docs.groupBy("doc").agg(F.count("*").alias("rows")))
+    n = ids.count()
+    # a term of more documents discloses too little of any entity, even if it stands in all of the entity's documents
+    largest = entities.agg(F.max("n_entity")).first()[0] or 0
+    most = largest ** GENERALISED * n ** (1 - GENERALISED) * (1 + 1e-6)
+    held = settle(_frequencies(docs, ids.where("rows > 1").select("doc")).where(F.col("n_term") <= most))
+    wanted = bounded(settle(holders.select("doc").distinct()))
+    terms = settle(docs.join(wanted, "doc").select("doc", F.explode("words").alias("term")).join(bounded(held), "term").distinct())
+    pairs = holders.join(terms, "doc").withColumn("n", F.lit(n)).where(_disclosed("n_entity") >= GENERALISED).groupBy(
+        "entity", "term", "n_entity", "n_term", "n").agg(F.count_distinct("context").alias("n_contexts"), F.count_distinct("doc").alias("n_both"))
+    revealing = pairs.where(F.col("n_contexts") >= LEAST_CONTEXTS).select("entity", "term", _disclosed("n_both").alias("disclosure")).where(
+        F.col("disclosure") >= GENERALISED)
     return near.select("doc", "entity").distinct().join(revealing, "entity").groupBy("doc", "term").agg(F.max("disclosure").alias("disclosure"))
 
 
-def _disclosed(n_term: str) -> Column:
-    """The share of an entity's information that a term in ``n_term`` texts discloses (``n_both``, ``n_entity``, ``n`` beside)."""
+def _frequencies(docs: DataFrame, repeated: DataFrame) -> DataFrame:
+    """``term`` and ``n_term``, the distinct documents that hold it. ``repeated`` has the ids of several rows."""
+    words = F.explode("words").alias("term")
+    again = settle(repeated)
+    if again.isEmpty():
+        return docs.select(words).groupBy("term").agg(F.count("*").alias("n_term"))
+    again = bounded(again)
+    once = docs.join(again, "doc", "left_anti").select(words)
+    more = docs.join(again, "doc", "left_semi").select("doc", words).distinct().select("term")
+    return once.union(more).groupBy("term").agg(F.count("*").alias("n_term"))
+
+
+def _disclosed(n_both: str) -> Column:
+    """The share of an entity's information that a term in ``n_term`` documents discloses (``n_entity``, ``n`` beside)."""
     information = -F.log(F.col("n_entity") / F.col("n"))
-    given = F.log(F.least(F.col("n_both") / F.col(n_term), F.lit(1.0)))
+    given = F.log(F.least(F.col(n_both) / F.col("n_term"), F.lit(1.0)))
     return F.when(information > 0, 1 + given / information).otherwise(0.0)
 
 

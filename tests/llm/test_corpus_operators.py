@@ -178,6 +178,16 @@ def test_terms_that_reveal_an_entity_are_found_and_copies_are_no_evidence(spark)
     assert "[EMAIL]" in texts[0] and "Quillfeather" not in texts[0] and texts[100] == others[0][1]
 
 
+def test_terms_are_looked_for_in_the_whole_text_and_counted_in_documents(spark):
+    secret = "jane.doe@mail.example"
+    far = [(i, f"Quillfeather {prose(30, i)} {secret} writes {prose(20, 50 + i)}") for i in range(7)]
+    beside = [(10 + i, f"{prose(30, 20 + i)} Quillfeather {secret} writes {prose(20, 70 + i)}") for i in range(3)]
+    others = [(100 + i, prose(60, 300 + i) + " writes") for i in range(60)]
+    for rows in ([*far, *beside, *others], [*far, *beside, *others, *far, *beside, *far]):
+        found = personal_data.personal_data(docs_of(spark, rows)).collect()
+        assert all([r.text[s.start: s.end] for s in r.term] == ["Quillfeather"] * (r.doc_id < 100) for r in found)
+
+
 def test_personal_data_is_native_and_takes_odd_rows(spark):
     found = personal_data.personal_data(odd_docs(spark))
     assert found.count() == len(odd_texts()) and personal_data.personal_data(empty_docs(spark)).count() == 0

@@ -7,8 +7,8 @@ are sorted as strings of phrases by the difference-cover algorithm:
 
 1. triples of phrases at two of three places are sorted and named in their order; equal strings are only sure to share
    ``DEPTH`` phrases, which a triple and two merged phrases hold, so the names need no further recursion;
-2. the suffixes at the remaining places are merged with the sampled ones: each is a phrase or two followed by a sampled suffix;
-3. neighbours are compared: an anchor whose first phrases are no other anchor's has no repeated string before it;
+2. the suffixes at the remaining places get keys of a phrase or two and the name of a sampled suffix;
+3. equal keys are grouped, the order of the names is not used: an anchor whose first phrases are no other anchor's has no repeated string before it;
 4. the suffixes at the bytes before the other anchors are compared exactly in their first ``LENGTH`` bytes: first all those of
    an anchor at once, then one by one those that this leaves open, and those that may equal them.
 

@@ -12,6 +12,7 @@ from basketlens.llm import (
     decontamination,
     html_blocks,
     importance,
+    lexical_search,
     near_duplicates,
     personal_data,
     piece_encoding,
@@ -20,6 +21,7 @@ from basketlens.llm import (
     toxicity,
 )
 from basketlens.llm.common import digest, table
+from basketlens.session import settle
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -157,3 +159,24 @@ def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = (F.size(F.col(k)).cast("bigint").alias(f"n_{k}") for k in personal_data.KINDS)
     return found.select("doc_id", *counts, F.sha2(personal_data.written(personal_data.KINDS).cast("binary"), 256).alias("base_sha256"),
                         personal_data.written((*personal_data.KINDS, "term")).alias("spans"), F.size("term").cast("bigint").alias("n_term"))
+
+
+@query
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = settle(lexical_search.build_index(table(spark, sf_dir, "documents")))
+    items = lexical_search.query_terms(table(spark, sf_dir, "benchmark"))
+    return lexical_search.search(index, items).select(F.col("query_id").alias("item_id"), "rank", "doc_id", "score")
+
+
+SQL["op11_lexical_search"] = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ws FROM documents),
+sizes AS (SELECT r, doc_id, CAST(len(ws) AS BIGINT) AS n FROM d WHERE len(ws) > 0),
+totals AS (SELECT count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_words FROM sizes),
+lengths AS (SELECT r, doc_id, 50 + (50 * n * n_docs) // n_words AS m FROM sizes, totals),
+q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+tf AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(ws) AS term FROM d) SEMI JOIN q USING (term) GROUP BY r, term),
+w AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * n_docs + 2 AS DOUBLE) / CAST(2 * df + 1 AS DOUBLE))) AS BIGINT) AS w FROM (SELECT term, count(*) AS df FROM tf GROUP BY term), totals),
+scores AS (SELECT item_id, r, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m))) AS BIGINT) AS score FROM q JOIN w USING (term) JOIN tf USING (term) JOIN lengths USING (r) GROUP BY item_id, r, doc_id),
+ranked AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS FIRST) AS INTEGER) AS rank, doc_id, score FROM scores WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 50
+"""

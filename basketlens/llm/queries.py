@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from basketlens.llm import (
     chunk_dedup,
+    collocations,
     decontamination,
     html_blocks,
     importance,
@@ -180,3 +181,27 @@ scores AS (SELECT item_id, r, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 *
 ranked AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS FIRST) AS INTEGER) AS rank, doc_id, score FROM scores WHERE score > 0)
 SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 50
 """
+
+
+@query
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, totals = collocations.phrases(table(spark, sf_dir, "documents"))
+    return collocations.ranked(found, totals).select("lang", F.col("rank").cast("bigint").alias("rank"), "phrase", "a", "l", "r", "n", "score")
+
+
+SQL["op12_collocations"] = r"""
+WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+ws AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM pieces),
+totals AS (SELECT lang, CAST(sum(len(ws)) AS BIGINT) AS n FROM ws GROUP BY lang),
+grams AS (SELECT lang, k, ws[i:i + k - 1] AS g FROM (SELECT lang, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM ws, (SELECT unnest(range(1, 6)) AS k))),
+f AS (SELECT lang, k, g, count(*) AS f FROM grams GROUP BY lang, k, g HAVING count(*) >= 100),
+inner_parts AS (SELECT lang, f AS longer, unnest([g[1:k - 1], g[2:k]]) AS g FROM f WHERE k > 2),
+covered AS (SELECT lang, g, max(longer) AS longer FROM inner_parts GROUP BY lang, g),
+kept AS (SELECT f.lang, f.k, f.g, f.f FROM f LEFT JOIN covered USING (lang, g) WHERE f.k > 1 AND (longer IS NULL OR 100 * longer < 100 * f.f)),
+cuts AS (SELECT kept.lang, kept.g, kept.f AS a, j, l.f AS l, r.f AS r, n, CAST(1000::HUGEINT * kept.f * n // (l.f::HUGEINT * r.f) AS BIGINT) AS score
+    FROM (SELECT *, unnest(range(1, k)) AS j FROM kept) AS kept JOIN totals USING (lang)
+    JOIN f AS l ON l.lang = kept.lang AND l.g = kept.g[1:j] JOIN f AS r ON r.lang = kept.lang AND r.g = kept.g[j + 1:kept.k]),
+weakest AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, j) = 1),
+ranked AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(g, ' ')) AS rank, array_to_string(g, ' ') AS phrase, a, l, r, n, score FROM weakest)
+SELECT * FROM ranked WHERE rank <= 2000
+"""

@@ -19,6 +19,7 @@ from basketlens.llm import (
     piece_encoding,
     quality_rules,
     suffix_dedup,
+    token_files,
     toxicity,
 )
 from basketlens.llm.common import digest, table
@@ -48,6 +49,13 @@ def piece_model() -> str:
     return str(public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def byte_model() -> str:
+    """The public tokenizer that the token files' contract names."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path("byte_bpe_50k.json"))
+
+
 @query
 def op1_html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
@@ -205,3 +213,9 @@ weakest AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, g O
 ranked AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(g, ' ')) AS rank, array_to_string(g, ' ') AS phrase, a, l, r, n, score FROM weakest)
 SELECT * FROM ranked WHERE rank <= 2000
 """
+
+
+@query
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    written = settle(token_files.shards(table(spark, sf_dir, "documents"), byte_model()))
+    return token_files.documents(written)

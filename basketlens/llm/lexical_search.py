@@ -148,6 +148,8 @@ def search(index: DataFrame, queries: DataFrame, k: int = TOP, part_bytes: int =
     found = []
     for part in _parts(queries, part_bytes):
         rows = part.select("query", "terms").orderBy("query").collect()
+        if not rows:
+            continue
         terms = sorted({t for r in rows for t in r.terms})
         number = {t: i for i, t in enumerate(terms)}
         shared = context.broadcast(terms)

@@ -32,6 +32,19 @@ def frequency_of_counts(df: DataFrame, key: str, size_as: str, count_as: str) ->
     return distribution(distribution(df, key, count_as=size_as), size_as, count_as=count_as)
 
 
+def value_counts_by_level(df: DataFrame, by: str, value: str) -> DataFrame:
+    """Rows per value in each group of ``by`` and over all rows, from one pass: (level, ``by``, ``value``, n).
+
+    Grouping sets: ``level`` is 0 for a group and 1 for all rows, whose ``by`` is empty. Rows without a value are left out,
+    rows without a group count over all rows only. The counts are combined map-side, so what follows is as small as the
+    distinct values; every reader of the result shares its one exchange.
+    """
+    counted = df.where(known(value)).select(by, value).groupingSets([[by, value], [value]], by, value).agg(
+        F.grouping(by).cast("int").alias("level"), F.count(F.lit(1)).alias("n"))
+    # the filter on values repeats that of the readers: a filter of its own would keep a reader from the shared exchange
+    return counted.where(((F.col("level") == 1) | known(by)) & known(value)).select("level", F.coalesce(by, F.lit("")).alias(by), value, "n")
+
+
 def top_n(df: DataFrame, n: int, by: str, key: str) -> DataFrame:
     """The n rows with the largest ``by``; equal values are taken in ``key`` order."""
     return df.orderBy(F.desc(by), F.asc(key)).limit(n)
@@ -170,17 +183,20 @@ def describe_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def histogram(
-    df: DataFrame, value: str, bins: int = 10, by: Sequence[str] = (), few_groups: bool = False
+    df: DataFrame, value: str, bins: int = 10, by: Sequence[str] = (), few_groups: bool = False, weight: str | None = None
 ) -> DataFrame:
     """Equal-width histogram between the least and the largest value, empty bins included.
 
     Bins are closed on the left, the last one on both sides. A column with one distinct value gets a range of width 1
-    around it. Columns: bin (from 0), bin_low, bin_high, frequency. ``few_groups`` as in :func:`quantiles`.
+    around it. Columns: bin (from 0), bin_low, bin_high, frequency. ``few_groups`` and ``weight`` as in :func:`quantiles`.
     """
     by = list(by)
-    data = df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_value"))
-    span = data.groupBy(*by).agg(F.min("_value").alias("_low"), F.max("_value").alias("_high")).where(
-        F.col("_low").isNotNull()
+    data = df.where(F.col(value).isNotNull()).select(
+        *by, F.col(value).cast("double").alias("_value"), (F.lit(1) if weight is None else F.col(weight)).alias("_n")
+    )
+    # a sum of weights that nothing else reads keeps the rows those of the counts below, so that both share an exchange
+    span = data.groupBy(*by).agg(F.min("_value").alias("_low"), F.max("_value").alias("_high"), F.sum("_n").alias("_total")).where(
+        F.col("_low").isNotNull() & (F.col("_total") > 0)
     )
     flat = F.col("_low") == F.col("_high")
     span = span.select(
@@ -197,7 +213,7 @@ def histogram(
         spread = data.join(F.broadcast(span) if few_groups else span, by)
     else:
         packed = span.select(F.struct("_low", "_high").alias("s")).scalar()
-        spread = data.withColumn("_span", packed).select("_value", "_span._low", "_span._high")
+        spread = data.withColumn("_span", packed).select("_value", "_n", "_span._low", "_span._high")
     guess = F.least(
         F.floor((F.col("_value") - F.col("_low")) / (F.col("_high") - F.col("_low")) * bins), F.lit(bins - 1)
     )
@@ -208,7 +224,7 @@ def histogram(
         .when((F.col("_guess") < bins - 1) & (F.col("_value") >= edge(F.col("_guess") + 1)), F.col("_guess") + 1)
         .otherwise(F.col("_guess")),
     )
-    counts = placed.groupBy(*by, "bin").agg(F.count(F.lit(1)).alias("frequency"))
+    counts = placed.groupBy(*by, "bin").agg(F.sum("_n").cast("bigint").alias("frequency"))
     grid = span.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1)))).select(
         *by, "bin", edge(F.col("bin")).alias("bin_low"), edge(F.col("bin") + 1).alias("bin_high")
     )

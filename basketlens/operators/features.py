@@ -18,7 +18,7 @@ from basketlens.functions.columns import (
     share_percent,
     year_month,
 )
-from basketlens.operators.lines import customer_lookup, invoice_facts, invoice_sizes, priced_lines, sold_lines
+from basketlens.operators.lines import customer_lookup, invoice_sizes, priced_lines
 from basketlens.operators.rfm import snapshot_date
 
 NUMERIC_FEATURES = (
@@ -54,44 +54,80 @@ def favorite_mall(retail: Retail) -> DataFrame:
     return best.select("customer_id", F.col("_b.shopping_mall").alias("favorite_mall"))
 
 
-def _spending(facts: DataFrame, snapshot: Column, months: int | None) -> DataFrame:
-    """Invoice-level features per customer, and the recent spending when ``months`` is given, in one aggregate.
+def _line_sums(retail: Retail) -> DataFrame:
+    """Per invoice a row of its totals (no product), and a row for each of its products: one pass over the lines.
 
-    Two steps: customer and month first, which gives the monthly sums the deviation needs, then customer.
+    Grouping sets over the priced lines, combined map-side, so an invoice with very many lines reaches the shuffle as its
+    distinct products.
     """
-    recent = F.lit(False) if months is None else F.col("invoice_date") > months_before(snapshot, months)
-    monthly = (
-        facts.withColumn("_month", year_month(F.col("invoice_date")))
-        .groupBy("customer_id", "_month")
-        .agg(
-            F.min("invoice_date").alias("_first"),
-            F.max("invoice_date").alias("_last"),
-            F.count("invoice_no").alias("_invoices"),
-            F.sum(F.greatest("product_count", F.lit(1))).alias("_rows"),
-            F.sum("revenue").alias("_revenue"),
-            F.sum(F.when(recent, F.col("revenue"))).alias("_recent"),
-        )
+    return priced_lines(retail.lines, retail.products).groupingSets(
+        [["invoice_no"], ["invoice_no", "product_id", "category"]], "invoice_no", "product_id", "category"
+    ).agg(F.grouping("product_id").alias("_whole"), F.count("product_id").alias("_items"), F.sum("price").alias("_revenue"))
+
+
+def customer_profiles(retail: Retail, target_months: int | None = None, as_of_months: int = 0) -> DataFrame:
+    """Recency, frequency, money and all other features of a customer that need no segment, and ``future_ltv`` with
+    ``target_months``: one row per customer with invoices, from one pass over the lines.
+
+    Every invoice gives facets of its customer: its month (with money, items, dates), its mall, and each of its products and
+    categories. One aggregate per (customer, facet, value) adds up the months and makes the others distinct; a second one
+    per customer reads all features off. Both combine map-side, so neither a hot invoice nor a hot customer is gathered.
+    """
+    invoices = retail.invoices.where(known("customer_id"))
+    last = snapshot_date(invoices)
+    snapshot = months_before(last, as_of_months) if as_of_months else last
+    past = F.col("invoice_date") <= snapshot
+    recent = F.lit(False) if target_months is None else F.col("invoice_date") > months_before(last, target_months)
+    # the totals of an invoice, or the invoice alone when it has no lines, stand for it; other rows are its products
+    rows = invoices.join(_line_sums(retail), "invoice_no", "left").withColumns(
+        {"_past": past, "_recent": recent, "_whole": F.coalesce("_whole", F.lit(1).cast("tinyint")) == 1}
     )
-    return monthly.groupBy("customer_id").agg(
-        days_between(F.max("_last"), snapshot).alias("recency"),
-        F.sum("_invoices").alias("frequency"),
-        money(F.sum("_revenue")).alias("monetary"),
-        days_between(F.min("_first"), F.max("_last")).alias("tenure_days"),
-        F.sum("_rows").alias("_rows"),
-        F.coalesce(F.stddev_samp(F.col("_revenue").cast("double")), F.lit(0.0)).alias("purchase_consistency"),
-        money(F.sum("_recent")).alias("future_ltv"),
+
+    def facet(kind: str, value: Column, when: Column) -> Column:
+        return F.when(when, F.struct(F.lit(kind).alias("facet"), value.cast("string").alias("value")))
+
+    sold = ~F.col("_whole") & F.col("_past")
+    kinds = F.array_compact(F.array(
+        facet("month", year_month(F.col("invoice_date")), F.col("_whole") & (F.col("_past") | F.col("_recent"))),
+        facet("mall", F.col("shopping_mall"), F.col("_whole") & F.col("_past") & known("shopping_mall")),
+        facet("product", F.col("product_id"), sold & known("product_id")),
+        facet("category", F.col("category"), sold & known("category")),
+    ))
+    spent = F.when(F.col("facet") == "month", F.coalesce("_revenue", F.lit(0).cast("decimal(22,2)")))
+    facets = rows.withColumn("_kind", F.explode(kinds)).select("*", "_kind.*").groupBy("customer_id", "facet", "value").agg(
+        F.min(F.when(F.col("_past"), F.col("invoice_date"))).alias("_first"),
+        F.max(F.when(F.col("_past"), F.col("invoice_date"))).alias("_last"),
+        F.count_if("_past").alias("_invoices"),
+        F.sum(F.when(F.col("_past"), F.greatest(F.coalesce("_items", F.lit(0)), F.lit(1)))).alias("_rows"),
+        F.sum(F.when(F.col("_past"), spent)).alias("_spent"),
+        F.sum(F.when(F.col("_recent"), spent)).alias("_spent_recently"),
     )
+    month = F.col("facet") == "month"
+    profiles = facets.groupBy("customer_id").agg(
+        days_between(F.max(F.when(month, F.col("_last"))), snapshot).alias("recency"),
+        F.sum(F.when(month, F.col("_invoices"))).alias("frequency"),
+        money(F.sum("_spent")).alias("monetary"),
+        days_between(F.min(F.when(month, F.col("_first"))), F.max(F.when(month, F.col("_last")))).alias("tenure_days"),
+        F.sum(F.when(month, F.col("_rows"))).alias("_rows"),
+        F.coalesce(F.stddev_samp(F.when(month & (F.col("_invoices") > 0), F.col("_spent").cast("double"))), F.lit(0.0)).alias("purchase_consistency"),
+        *(F.count_if(F.col("facet") == kind).alias(name) for kind, name in (
+            ("product", "unique_products"), ("category", "product_categories"), ("mall", "unique_malls"))),
+        money(F.sum("_spent_recently")).alias("future_ltv"),
+    ).where(F.col("frequency") > 0)
+    ratios = {
+        "avg_order_value": safe_ratio(F.col("monetary"), F.col("frequency")),
+        "avg_days_between_orders": safe_ratio(F.col("tenure_days"), F.col("frequency") - 1),
+        "avg_products_per_order": safe_ratio(F.col("_rows"), F.col("frequency")),
+    }
+    profiles = profiles.withColumns(ratios).drop("_rows")
+    return profiles.drop("future_ltv") if target_months is None else profiles
 
 
-def _variety(retail: Retail) -> DataFrame:
-    """Distinct products, categories and malls per customer."""
-    bought = sold_lines(retail).select("customer_id", "product_id").distinct()
-    products = bought.join(retail.products.select("product_id", "category"), "product_id", "left")
-    goods = products.groupBy("customer_id").agg(
-        F.count("product_id").alias("unique_products"), F.count_distinct("category").alias("product_categories")
-    )
-    malls = retail.invoices.groupBy("customer_id").agg(F.count_distinct("shopping_mall").alias("unique_malls"))
-    return malls.join(goods, "customer_id", "left").fillna(0, subset=["unique_products", "product_categories"])
+def with_segments(profiles: DataFrame, customers: DataFrame, segments: DataFrame) -> DataFrame:
+    """The 15 features in order, and ``future_ltv`` if it is there, from profiles, demographics and segments."""
+    target = [c for c in profiles.columns if c == "future_ltv"]
+    joined = profiles.join(customer_lookup(customers), "customer_id", "left").join(segments.select("customer_id", "segment"), "customer_id", "left")
+    return joined.select("customer_id", *NUMERIC_FEATURES, *CATEGORICAL_FEATURES, *target)
 
 
 def customer_features(
@@ -102,36 +138,17 @@ def customer_features(
     The target covers the last months of the same data the features see, so by default it leaks into them.
     ``as_of_months`` computes the features only from invoices before that window; the target is unaffected.
     """
-    whole = Retail(
-        retail.customers, retail.products, retail.invoices.where(known("customer_id")), retail.lines
-    )
-    snapshot = snapshot_date(whole.invoices)
-    past = whole
-    if as_of_months:
-        snapshot = months_before(snapshot, as_of_months)
-        past = Retail(
-            whole.customers, whole.products, whole.invoices.where(F.col("invoice_date") <= snapshot), whole.lines
-        )
-    # with a cut-off the target must come from the later invoices, in a pass of its own
-    window = None if as_of_months else target_months
-    base = _spending(invoice_facts(past), snapshot, window).join(_variety(past), "customer_id", "left")
-    ratios = {
-        "avg_order_value": safe_ratio(F.col("monetary"), F.col("frequency")),
-        "avg_days_between_orders": safe_ratio(F.col("tenure_days"), F.col("frequency") - 1),
-        "avg_products_per_order": safe_ratio(F.col("_rows"), F.col("frequency")),
-    }
-    features = (
-        base.withColumns(ratios)
-        .drop("_rows")
-        .join(customer_lookup(retail.customers), "customer_id", "left")
-        .join(segments.select("customer_id", "segment"), "customer_id", "left")
+    return with_segments(customer_profiles(retail, target_months, as_of_months), retail.customers, segments)
+
+
+def scores_with_target(facts: DataFrame, invoices: DataFrame, months: int = 6) -> DataFrame:
+    """Recency, frequency, money and the recent spending of every customer with invoices, in one aggregate over the facts."""
+    last = snapshot_date(invoices)
+    recent = F.col("invoice_date") > months_before(last, months)
+    return facts.where(known("customer_id")).groupBy("customer_id").agg(
+        days_between(F.max("invoice_date"), last).alias("recency"), F.count("invoice_no").alias("frequency"),
+        money(F.sum("revenue")).alias("monetary"), money(F.sum(F.when(recent, F.col("revenue")))).alias("future_ltv"),
     )
-    columns = ["customer_id", *NUMERIC_FEATURES, *CATEGORICAL_FEATURES]
-    if target_months is None:
-        return features.select(*columns)
-    if as_of_months:
-        features = features_with_target(features.drop("future_ltv"), future_ltv_target(retail, target_months))
-    return features.select(*columns, "future_ltv")
 
 
 def future_ltv_target(retail: Retail, months: int = 6) -> DataFrame:

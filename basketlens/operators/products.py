@@ -128,6 +128,54 @@ def price_frequency_table(
     )
 
 
+def price_frequency_levels(products: DataFrame, bins: int = 10) -> DataFrame:
+    """:func:`price_frequency_table` over all products (level 1, no category) and for every category (level 0).
+
+    One pass over the products: spans and bins of both levels come from the counts of the distinct prices.
+    """
+    counts = stats.value_counts_by_level(products, "category", "price")
+    by = ["level", "category"]
+    table = stats.histogram(counts, "price", bins, by, few_groups=True, weight="n")
+    cumulative = F.sum("frequency").over(W.partitionBy(*by).orderBy("bin").rowsBetween(W.unboundedPreceding, 0))
+    total = F.sum("frequency").over(W.partitionBy(*by))
+    return table.select(
+        "level", _level_category(),
+        "bin",
+        F.format_string("$%.2f - $%.2f", "bin_low", "bin_high").alias("price_range"),
+        "frequency",
+        (F.col("frequency") / total).alias("relative_frequency"),
+        cumulative.alias("cumulative_frequency"),
+        (cumulative / total).alias("cumulative_relative_frequency"),
+    )
+
+
+def descriptive_levels(products: DataFrame) -> DataFrame:
+    """:func:`descriptive_stats` over all products (level 1, no category) and for every category (level 0).
+
+    One pass over the products: moments and ranks of both levels come from the counts of the distinct prices. Sums of
+    prices and of their squares are decimals, exact whatever the order of rows.
+    """
+    counts = stats.value_counts_by_level(products, "category", "price")
+    by = ["level", "category"]
+    price, n = F.col("price").cast("decimal(12,2)"), F.col("n").cast("decimal(12,0)")
+    sums = counts.groupBy(*by).agg(
+        F.sum("n").alias("count"), F.sum(price * n).alias("_sum"), F.sum((price * price).cast("decimal(24,4)") * n).alias("_squares"),
+        F.min("price").alias("_min"), F.max("price").alias("_max"),
+    )
+    mean = F.col("_sum").cast("double") / F.col("count")
+    spread = F.greatest(F.col("_squares").cast("double") - F.col("_sum").cast("double") * mean, F.lit(0.0))
+    variance = F.when(F.col("count") > 1, spread / (F.col("count") - 1))
+    medians = stats.quantiles(counts, "price", {"median": 0.5}, by, weight="n", few_groups=True)
+    return sums.join(F.broadcast(medians), by).select(  # a row per category
+        "level", _level_category(), "count", mean.alias("mean"), "median", F.sqrt(variance).alias("std"), variance.alias("variance"),
+        F.col("_min").cast("double").alias("min"), F.col("_max").cast("double").alias("max"), (F.col("_max") - F.col("_min")).cast("double").alias("range"),
+    )
+
+
+def _level_category():
+    return F.when(F.col("level") == 0, F.col("category")).alias("category")
+
+
 def descriptive_stats(products: DataFrame, category: str | None = None, by_category: bool = False) -> DataFrame:
     """Count, mean, median, sample deviation and variance, minimum, maximum and range; no row without prices.
 

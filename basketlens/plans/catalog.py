@@ -529,6 +529,28 @@ query("descriptive_stats_category", _STATS_SQL + f"WHERE category = '{CATEGORY}'
     lambda v: rounded(products.descriptive_stats(v.retail.products, CATEGORY), 4, "mean", "median", "std", "variance")
 )
 
+query("descriptive_stats_levels", _STATS_SQL.replace("SELECT", "SELECT grouping(category) AS level, category,", 1)
+      + "GROUP BY GROUPING SETS ((category), ())")(
+    lambda v: rounded(products.descriptive_levels(v.retail.products), 4, "mean", "median", "std", "variance")
+)
+
+query("price_frequency_levels", """
+SELECT level, category, bin, format('${:.2f} - ${:.2f}', bin_low, bin_high) AS price_range, frequency,
+       round(frequency / sum(frequency) OVER every, 6) AS relative_frequency,
+       CAST(sum(frequency) OVER upto AS BIGINT) AS cumulative_frequency,
+       round(sum(frequency) OVER upto / sum(frequency) OVER every, 6) AS cumulative_relative_frequency
+FROM (WITH leveled AS (SELECT 0 AS level, category, CAST(price AS DOUBLE) AS p FROM products
+                 UNION ALL SELECT 1, NULL, CAST(price AS DOUBLE) FROM products),
+edges AS (SELECT level, category, CASE WHEN min(p) = max(p) THEN min(p) - 0.5 ELSE min(p) END AS lo,
+                 CASE WHEN min(p) = max(p) THEN max(p) + 0.5 ELSE max(p) END AS hi FROM leveled GROUP BY level, category),
+bins AS (SELECT level, category, b AS bin, lo + b * ((hi - lo) / 10) AS bin_low,
+                CASE WHEN b = 9 THEN hi ELSE lo + (b + 1) * ((hi - lo) / 10) END AS bin_high FROM edges, range(10) r(b)),
+histogram AS (SELECT b.level, b.category, bin, any_value(bin_low) AS bin_low, any_value(bin_high) AS bin_high, count(p) AS frequency
+              FROM bins b LEFT JOIN leveled l ON b.level = l.level AND b.category IS NOT DISTINCT FROM l.category
+                   AND p >= bin_low AND (p < bin_high OR (bin = 9 AND p = bin_high)) GROUP BY b.level, b.category, bin)
+ SELECT * FROM histogram) WINDOW every AS (PARTITION BY level, category), upto AS (PARTITION BY level, category ORDER BY bin)
+""")(lambda v: rounded(products.price_frequency_levels(v.retail.products), 6, "relative_frequency", "cumulative_relative_frequency"))
+
 _INDEXED_SQL = """
 (SELECT CAST(p.price AS DOUBLE) AS y, CAST(i.category_id AS DOUBLE) AS x FROM products p JOIN
   (SELECT category, row_number() OVER (ORDER BY min(product_id)) - 1 AS category_id FROM products GROUP BY category) i

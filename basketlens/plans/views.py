@@ -61,9 +61,8 @@ class Views:
 
     @cached_property
     def targets(self) -> DataFrame:
-        """Every customer with invoices and the recent spending, without the other features."""
-        buyers = self.scores.select("customer_id", "recency", "monetary")
-        return features.features_with_target(buyers, features.future_ltv_target(self.retail, TARGET_MONTHS))
+        """Every customer with invoices and the recent spending, without the other features; one pass over the lines."""
+        return features.scores_with_target(self.facts, self.retail.invoices, TARGET_MONTHS).drop("frequency")
 
     @cached_property
     def target_table(self) -> DataFrame:
@@ -76,7 +75,11 @@ class Views:
 
     @cached_property
     def features(self) -> DataFrame:
-        return features.customer_features(self.retail, self.segments, TARGET_MONTHS)
+        """All features and the target. The segments come from the scores among them, so the lines are read once."""
+        profiles = settle(features.customer_profiles(self.retail, TARGET_MONTHS))
+        scores = profiles.select("customer_id", *rfm.METRICS)
+        segments = rfm.segment_rules(settle(rfm.quartile_groups(scores)))
+        return features.with_segments(profiles, self.retail.customers, segments)
 
     @cached_property
     def labelled(self) -> DataFrame:

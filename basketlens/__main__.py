@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 
 from basketlens.plans.stages import NAMED, run_all, run_ltv, run_patterns, run_profile, run_segmentation
 from basketlens.session import build_session, scratch
-from basketlens.sources import files
+from basketlens.sources import files, handoff
 
 
 def show(report: object, out: str) -> None:
@@ -34,7 +34,8 @@ def main() -> None:
     options = parser.parse_args()
 
     spark = build_session(master=options.master)
-    retail = files.read_retail(spark, options.customers, options.products, options.sales)
+    retail, shapes = handoff.hand_off_retail(spark, options.customers, options.products, options.sales, options.out)
+    files.write_report(shapes, f"{options.out}/reports/dataset_shapes")
     tables = f"{options.out}/tables"
     with scratch(spark):
         if options.stage == "all":

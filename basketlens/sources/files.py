@@ -26,6 +26,10 @@ def read_table(spark: SparkSession, path: str, fields: tuple) -> DataFrame:
     return raw.select(*(F.col(f"`{header}`").cast(kind).alias(name) for header, name, kind in fields))
 
 
+#: Lines that one task reads in seconds, whatever their share of the table.
+ROWS_OF_A_TASK = 1_000_000
+
+
 def read_customers(spark: SparkSession, path: str) -> DataFrame:
     return read_table(spark, path, schemas.CUSTOMERS)
 
@@ -57,7 +61,9 @@ def invoices_of(sales: DataFrame) -> DataFrame:
     checked = F.when(F.col("_least").eqNullSafe(F.col("_most")), F.col("_least")).otherwise(
         F.raise_error(message).cast(single.schema["_least"].dataType)
     )
-    return single.select("invoice_no", checked.alias("_row")).select("invoice_no", "_row.*")
+    # the number hangs on the check too, so that a report of invoice numbers alone does not prune it away
+    number = F.when(checked.isNotNull(), F.col("invoice_no"))
+    return single.select(number.alias("invoice_no"), checked.alias("_row")).select("invoice_no", "_row.*")
 
 
 def read_segmentation(spark: SparkSession, path: str) -> DataFrame:

@@ -1,15 +1,19 @@
 import csv
 import datetime as dt
+import re
+import shutil
 from dataclasses import fields
+from pathlib import Path
 
 import pytest
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from basketlens.dataset import Retail
 from basketlens.operators import lines, patterns, rfm
 from basketlens.plans import stages
-from basketlens.sources import files, schemas
+from basketlens.sources import files, handoff, schemas
 from tests.fixtures import one, rows
 
 
@@ -140,6 +144,50 @@ def test_stages_hand_over_through_tables(spark, shop_files, tmp_path):
         assert getattr(sales, name).count() > 0
 
 
+def executed(df):
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+
+
+def test_handed_off_tables_meet_without_a_shuffle(spark, shop_files, tmp_path):
+    plain = files.read_retail(spark, *shop_files)
+    retail, shapes = handoff.hand_off_retail(spark, *shop_files, str(tmp_path / "out"), buckets=3)
+    assert rows(shapes, "table_name", "rows", "columns") == rows(lines.dataset_shapes(plain), "table_name", "rows", "columns")
+    by_invoice = r"Exchange hashpartitioning\(invoice_no"
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10k")  # products are broadcast, invoices and lines are not
+    try:
+        for report in (lambda r: patterns.category_performance(lines.category_facts(r)), lines.lines_with_products, lines.invoice_facts):
+            text = executed(report(retail))
+            assert not re.search(by_invoice, text) and "Bucketed: true" in text
+            assert sorted(map(str, report(retail).collect())) == sorted(map(str, report(plain).collect()))
+        assert re.search(by_invoice, executed(lines.invoice_facts(plain)))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    again = Retail(retail.customers, retail.products, *(handoff.read_bucketed(spark, f"{tmp_path}/out/tables/{t}", 3) for t in ("invoices", "lines")))
+    text = executed(lines.invoice_facts(again))
+    assert not re.search(by_invoice, text) and again.lines.count() == retail.lines.count()
+
+
+def test_lines_of_a_hot_invoice_stay_splittable(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(files, "ROWS_OF_A_TASK", 10)
+    people = write(tmp_path / "c.csv", [h for h, *_ in schemas.CUSTOMERS], [("C1", "F", 30, "Cash")])
+    goods = write(tmp_path / "p.csv", [h for h, *_ in schemas.PRODUCTS], [("P1", "Toys", "10.00")])
+    sold = [("I1", "C1", ",".join(["P1"] * 200), "1/2/2024", "North")] + [(f"I{i}", "C1", "P1", "1/2/2024", "North") for i in range(2, 9)] + [("I9", "C1", "", "1/2/2024", "North")]
+    retail, shapes = handoff.hand_off_retail(spark, people, goods, sales_file(tmp_path, sold), str(tmp_path / "out"), buckets=8)
+    assert "Bucketed: true" not in executed(retail.lines.groupBy("invoice_no").count())
+    assert rows(shapes, "table_name", "rows") >= {("sales", 9), ("merged", 208)}
+
+
+def test_a_run_scans_each_input_once(spark, shop_files, tmp_path):
+    """The inputs are gone after the hand-off, and every report of the profile still comes out."""
+    copies = [shutil.copy(path, tmp_path / f"{i}.csv") for i, path in enumerate(shop_files)]
+    retail, _ = handoff.hand_off_retail(spark, *map(str, copies), str(tmp_path / "out"), buckets=2)
+    for path in copies:
+        Path(path).unlink()
+    profile = stages.run_profile(retail, str(tmp_path / "out"))
+    assert profile.overview.count() > 0 and profile.mall_growth.count() > 0
+
+
 def test_command_line_runs_one_stage_after_the_other(spark, shop_files, tmp_path, monkeypatch, capsys):
     import sys
 

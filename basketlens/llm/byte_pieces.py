@@ -2,7 +2,7 @@
 
 A byte-level BPE first divides a text into pieces by a fixed pattern and then encodes every piece alone. Here the pieces of
 a whole batch are found at once from the classes of its characters (letter, number, white space, other), the distinct ones
-are numbered, and the library encodes those it has not met yet. The class of a character is asked of the library too, so
+are numbered, and the library's model encodes those it has not met yet. The class of a character is asked of the library too, so
 that both agree on every character. Texts that hold an added token, and tokenizers of another make, go to the library whole.
 """
 
@@ -12,24 +12,45 @@ import json
 import os
 import re
 from collections.abc import Iterator
-from itertools import chain
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from basketlens.llm.shingles import powers
 from basketlens.llm.wordstream import string_array, text_bytes
 
 #: Bytes of text worked on at a time.
 SLICE = 8 << 20
 #: Pieces, and bytes of them, that are remembered before all are forgotten.
 MEMO_PIECES, MEMO_BYTES = 1 << 20, 32 << 20
+#: The letter that stands for each byte in a byte-level vocabulary: its own character where that is printed, else one of 256 on.
+_PRINTED = {*range(33, 127), *range(161, 173), *range(174, 256)}
+BYTE_LETTERS = {b: 256 + n for n, b in enumerate(b for b in range(256) if b not in _PRINTED)}
 
 _UNKNOWN, _LETTER, _NUMBER, _OTHER, _SPACE = range(5)
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+_INVERSE = np.uint64(pow(int(_BASE), -1, 2**64))
 _CUT = re.compile(rb"(?<=[a-z]) (?=[a-z])")
 _QUOTE, _BLANK = ord("'"), ord(" ")
 
 
+def _hashes(words: pa.Array) -> np.ndarray:
+    """A 64-bit polynomial of the bytes of each word."""
+    starts = np.frombuffer(words.buffers()[1], np.int32)[words.offset: words.offset + len(words) + 1]
+    data = np.frombuffer(words.buffers()[2] or b"", np.uint8)[starts[0]: starts[-1]] if len(words) else np.zeros(0, np.uint8)
+    terms = (data.astype(np.uint64) + np.uint64(1)) * powers(_BASE, len(data))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(terms, dtype=np.uint64)])[starts - starts[0]]
+    return np.diff(sums) * powers(_INVERSE, len(data) + 1)[starts[:-1] - starts[0]]
+
+
+@cache
+def encoder(path: str) -> Encoder:
+    """One encoder a worker process, so that later tasks know the pieces of earlier ones."""
+    return Encoder(path)
+
+
 class Encoder:
     """Ids as ``encode(text, add_special_tokens=False)`` gives them."""
 
@@ -48,10 +69,12 @@ class Encoder:
         self.added = [t.content.encode() for t in added]
         self.vocabulary = self.library.get_vocab_size()
         self.classes = np.zeros(0x110000, np.uint8)
+        self.model = self.library.model
         self._forget()
 
     def _forget(self) -> None:
         self.known = pa.array([], pa.string())
+        self.hashes, self.order = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.flat, self.first, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def encode(self, column: pa.Array) -> Iterator[np.ndarray]:
@@ -91,19 +114,45 @@ class Encoder:
         """Which of the known pieces each piece is; the library encodes those not met before."""
         if len(self.known) > MEMO_PIECES or self.known.nbytes > MEMO_BYTES:
             self._forget()
-        found = pc.index_in(pieces, value_set=self.known)
-        if found.null_count:
-            new = pieces.filter(found.is_null())
-            made = [e.ids for e in self.library.encode_batch_fast(new.to_pylist(), add_special_tokens=False)]
-            size = np.fromiter(map(len, made), np.int64, len(made))
+        numbers, hashes = self._looked_up(pieces)
+        missing = numbers < 0
+        if missing.any():
+            new = pieces.filter(pa.array(missing))
+            ids, size = self._encoded(new)
             self.first = np.concatenate([self.first, len(self.flat) + np.cumsum(size) - size])
-            self.size = np.concatenate([self.size, size])
-            self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(made), np.uint32, int(size.sum()))])
-            numbers = found.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
-            numbers[numbers < 0] = np.arange(len(self.known), len(self.known) + len(new))
+            self.size, self.flat = np.concatenate([self.size, size]), np.concatenate([self.flat, ids])
+            numbers[missing] = np.arange(len(self.known), len(self.known) + len(new))
             self.known = pa.concat_arrays([self.known, new])
-            return numbers
-        return found.to_numpy(zero_copy_only=False)
+            every = np.concatenate([self.hashes, hashes[missing]])
+            order = np.argsort(every, kind="stable")
+            self.hashes, self.order = every[order], np.concatenate([self.order, numbers[missing]])[order]
+        return numbers
+
+    def _looked_up(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The number of each known piece, else -1, and the hash of each. Hashes only lead to a piece; texts are compared."""
+        hashes = _hashes(pieces)
+        numbers = np.full(len(pieces), -1)
+        if len(self.known):
+            ascending = np.argsort(hashes)
+            at = np.empty(len(pieces), np.int64)
+            at[ascending] = np.searchsorted(self.hashes, hashes[ascending])
+            at = np.minimum(at, len(self.hashes) - 1)
+            same = np.flatnonzero(self.hashes[at] == hashes)
+            numbers[same] = self.order[at[same]]
+            if not pc.all(pc.equal(pieces.take(pa.array(same)), self.known.take(pa.array(numbers[same])))).as_py():
+                numbers = pc.index_in(pieces, value_set=self.known).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        return numbers, hashes
+
+    def _encoded(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces by the library's model, one after the other, and how many each has."""
+        raw, starts = text_bytes(pieces)
+        letters = raw.decode("latin-1").translate(BYTE_LETTERS)
+        ids, size = [], []
+        for a, b in zip(starts.tolist(), starts[1:].tolist()):
+            found = self.model.tokenize(letters[a:b])
+            size.append(len(found))
+            ids += [token.id for token in found]
+        return np.array(ids, np.uint32), np.array(size, np.int64)
 
     def _classified(self, points: np.ndarray) -> np.ndarray:
         found = self.classes[points]

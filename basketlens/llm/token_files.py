@@ -39,12 +39,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from basketlens.llm.byte_pieces import SLICE, Encoder
+from basketlens.llm.byte_pieces import SLICE, encoder
 from basketlens.llm.common import arrow_rows
 
 END = 0
 #: Ids of one shard, the count at which a pair is frequent, and the span of counts replaced in one round.
-SHARD_IDS, LEAST, CLASS = 1 << 20, 8, 16
+SHARD_IDS, LEAST, CLASS = 1 << 20, 32, 64
 
 MAGIC = b"REPAIR01"
 HEADER = struct.Struct("<8sIIIIQI")
@@ -204,16 +204,16 @@ def shards(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str =
     schema = to_arrow_schema(_parse_datatype_string(SHARDS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer)
+        ids_of = encoder(tokenizer)
         part, number, before = TaskContext.get().partitionId(), 0, 0
         names, documents, size = [], [], 0
 
         def flush() -> pa.RecordBatch:
             return arrow_rows(schema, {"part": [part], "shard": [number], "before": [before], "n_ids": [size], "doc_ids": [names],
-                                       "payload": [pack(documents, encoder.vocabulary)]})
+                                       "payload": [pack(documents, ids_of.vocabulary)]})
 
         for names_read, texts_read in _large(batches):
-            for name, ids in zip(names_read, encoder.encode(texts_read)):
+            for name, ids in zip(names_read, ids_of.encode(texts_read)):
                 if size and size + len(ids) + 1 > shard_ids:
                     yield flush()
                     number, before = number + 1, before + size

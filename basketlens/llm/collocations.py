@@ -32,8 +32,8 @@ from basketlens.llm.wordstream import byte_classes, numbered, split
 from basketlens.session import settle
 
 LEAST, LONGEST, TOP = 100, 5, 2000
-#: Words of one block (a longer text is a block of its own).
-BLOCK_WORDS = 1 << 20
+#: Words of one block of a language (a longer text is a block of its own), and of all blocks that a task has open.
+BLOCK_WORDS, OPEN_WORDS = 1 << 20, 1 << 21
 
 #: Words are divided by space and tab, pieces by `[.,;:!?\x0A-\x0D]`.
 CLASSES = byte_classes(b" \t", b".,;:!?\n\x0b\x0c\r")
@@ -63,29 +63,30 @@ def word_streams(docs: DataFrame, text: str = "text", lang: str = "lang", block_
     schema = _schema(STREAM)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        open_blocks: dict[str, list] = {}
-        size = 0
+        blocks: dict[str, list] = {}
         for batch in batches:
             coded = batch.column("lang").dictionary_encode()
             for number, name in enumerate(coded.dictionary.to_pylist()):
                 rows = np.flatnonzero(np.asarray(coded.indices) == number)
                 # a block is named by its first row, so no other block has the number
-                values, pieces, _ = open_blocks.setdefault(name, ([], [], batch.column("block")[int(rows[0])].as_py()))
-                base = pieces[-1][-1] + 1 if pieces else 0
+                block = blocks.setdefault(name, [batch.column("block")[int(rows[0])].as_py(), [], [], 0])
+                base = int(block[2][-1][-1]) + 1 if block[2] else 0
                 for words in split(batch.column("text").take(pa.array(rows)), CLASSES):
-                    values.append(words.values)
-                    pieces.append(words.piece + base)
-                    size += len(words.values)
-            if size >= block_words:
-                yield from _streams(schema, open_blocks)
-                open_blocks, size = {}, 0
-        yield from _streams(schema, open_blocks)
+                    block[1].append(words.values)
+                    block[2].append((words.piece + base).astype(np.int32))
+                    block[3] += len(words.values)
+                if block[3] >= block_words:
+                    yield from _streams(schema, {name: blocks.pop(name)})
+            if sum(block[3] for block in blocks.values()) >= max(OPEN_WORDS, block_words):
+                yield from _streams(schema, blocks)
+                blocks = {}
+        yield from _streams(schema, blocks)
 
     return source.mapInArrow(run, STREAM)
 
 
 def _streams(schema: pa.Schema, blocks: dict[str, list]) -> Iterator[pa.RecordBatch]:
-    for lang, (values, pieces, block) in blocks.items():
+    for lang, (block, values, pieces, _) in blocks.items():
         if not values:
             continue
         codes, words = numbered(values)
@@ -97,7 +98,7 @@ def _streams(schema: pa.Schema, blocks: dict[str, list]) -> Iterator[pa.RecordBa
 
 
 def _unnested_words(streams: DataFrame) -> DataFrame:
-    schema = _schema("block bigint, lang string, item bigint, word string, n bigint")
+    schema = _schema("block bigint, lang string, item int, word string, n int")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -106,16 +107,16 @@ def _unnested_words(streams: DataFrame) -> DataFrame:
                 yield _rows(schema, np.full(len(words), batch.column("block")[row].as_py()), pa.array([batch.column("lang")[row].as_py()] * len(words), pa.string()),
                             np.arange(len(words)), words, batch.column("times")[row].values)
 
-    return streams.select("block", "lang", "words", "times").mapInArrow(run, "block bigint, lang string, item bigint, word string, n bigint")
+    return streams.select("block", "lang", "words", "times").mapInArrow(run, "block bigint, lang string, item int, word string, n int")
 
 
 def _frequent(counted: DataFrame, keys: list[str], least: int) -> DataFrame:
     """The rows of frequent groups with the group's count ``f`` and its number ``id``; the row of that number is ``named``.
 
-    One shuffle by the keys; the number is that of one of the group's rows.
+    One shuffle by the keys; the number is that of one of the group's rows where they meet, settled at once.
     """
     group = Window.partitionBy(*keys)
-    rows = counted.withColumn("row", F.monotonically_increasing_id())
+    rows = counted.repartition(*keys).withColumn("row", F.monotonically_increasing_id())
     rows = rows.withColumn("f", F.sum("n").over(group)).withColumn("id", F.min("row").over(group)).where(F.col("f") >= least)
     return settle(rows.withColumn("named", F.col("row") == F.col("id")).drop("row", "n"))
 
@@ -125,20 +126,29 @@ def _first_relation(streams: DataFrame, frequent: DataFrame) -> DataFrame:
 
     def merge(blocks: pa.Table, names: pa.Table) -> pa.Table:
         out = []
-        kept, ids = np.asarray(names.column("item").combine_chunks()), _lists(names.column("id").combine_chunks())
+        kept, ids = (np.asarray(names.column(c).combine_chunks()) for c in ("item", "id"))
+        order = np.argsort(ids)
         for batch in blocks.to_batches():
             for row in range(batch.num_rows):
                 stream = np.asarray(batch.column("stream")[row].values)
                 lookup = np.full(int(stream.max(initial=0)) + 2, -1, np.int32)  # the last place answers -1
-                lookup[kept] = np.arange(len(kept))
+                lookup[kept[order]] = np.arange(len(kept))
                 items = lookup[stream]
                 places = np.flatnonzero(items >= 0)
-                out.append(_rows(schema, batch.column("block").slice(row, 1), _lists(places.astype(np.int32)), _lists(items[places]), ids))
+                out.append(_relation(schema, batch.column("block").slice(row, 1), places, items[places], ids[order]))
         return pa.Table.from_batches(out, schema)
 
     return _by_block(streams.select("block", "stream"), frequent.select("block", "item", "id"), merge)
 
 
+def _relation(schema: pa.Schema, block: pa.Array, places: np.ndarray, items: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
+    """A block of a relation without the places that have no neighbour, which no longer phrase can begin or end at."""
+    beside = np.zeros(len(places) + 1, bool)
+    beside[1:-1] = places[1:] == places[:-1] + 1
+    kept = beside[1:] | beside[:-1]
+    return _rows(schema, block, _lists(places[kept].astype(np.int32)), _lists(items[kept].astype(np.int32)), _lists(ids))
+
+
 def _by_block(blocks: DataFrame, names: DataFrame, merge) -> DataFrame:
     return settle(blocks.groupBy("block").cogroup(names.groupBy("block")).applyInArrow(merge, RELATION))
 
@@ -150,7 +160,7 @@ def _joined(places: np.ndarray, items: np.ndarray, n: int) -> tuple[np.ndarray,
 
 
 def _counted_pairs(relation: DataFrame) -> DataFrame:
-    ddl = "block bigint, pair bigint, left bigint, right bigint, n bigint"
+    ddl = "block bigint, left bigint, right bigint, n int"
     schema = _schema(ddl)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,7 +173,7 @@ def _counted_pairs(relation: DataFrame) -> DataFrame:
                 pairs.sort()
                 first = np.flatnonzero(np.concatenate([[True], pairs[1:] != pairs[:-1]]))
                 pair, n = pairs[first], np.diff(np.append(first, len(pairs)))
-                yield _rows(schema, np.full(len(pair), batch.column("block")[row].as_py()), pair, ids[pair // len(ids)], ids[pair % len(ids)], n)
+                yield _rows(schema, np.full(len(pair), batch.column("block")[row].as_py()), ids[pair // len(ids)], ids[pair % len(ids)], n)
 
     return relation.mapInArrow(run, ddl)
 
@@ -173,19 +183,21 @@ def _next_relation(relation: DataFrame, frequent: DataFrame) -> DataFrame:
 
     def merge(blocks: pa.Table, names: pa.Table) -> pa.Table:
         out = []
-        kept, ids = (np.asarray(names.column(c).combine_chunks()) for c in ("pair", "id"))
-        order = np.argsort(kept)
-        kept, ids = kept[order], ids[order]
+        left, right, ids = (np.asarray(names.column(c).combine_chunks()) for c in ("left", "right", "id"))
+        number = np.argsort(np.argsort(ids))
         for batch in blocks.to_batches():
-            for row in range(batch.num_rows if len(kept) else 0):
+            for row in range(batch.num_rows if len(ids) else 0):
+                # the ids of a block ascend, so a name's parts are found in them
                 places, items, own = (np.asarray(batch.column(c)[row].values) for c in ("places", "items", "ids"))
+                kept = np.searchsorted(own, left) * len(own) + np.searchsorted(own, right)
+                order = np.argsort(kept)
                 at, pairs = _joined(places, items, len(own))
-                found = np.minimum(np.searchsorted(kept, pairs), len(kept) - 1)
-                same = kept[found] == pairs
-                out.append(_rows(schema, batch.column("block").slice(row, 1), _lists(places[at[same]]), _lists(found[same].astype(np.int32)), _lists(ids)))
+                found = np.minimum(np.searchsorted(kept[order], pairs), len(kept) - 1)
+                same = kept[order][found] == pairs
+                out.append(_relation(schema, batch.column("block").slice(row, 1), places[at[same]], number[order][found[same]], np.sort(ids)))
         return pa.Table.from_batches(out, schema)
 
-    return _by_block(relation, frequent.select("block", "pair", "id"), merge)
+    return _by_block(relation, frequent.select("block", "left", "right", "id"), merge)
 
 
 def phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, text: str = "text", lang: str = "lang",

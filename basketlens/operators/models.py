@@ -3,17 +3,14 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from multiprocessing.pool import ThreadPool
 
-from pyspark import inheritable_thread_target
+import numpy as np
 from pyspark.ml.classification import (
     LogisticRegression,
     LogisticRegressionModel,
     RandomForestClassificationModel,
     RandomForestClassifier,
 )
-from pyspark.ml.clustering import KMeans, KMeansModel
-from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import RandomForestRegressionModel, RandomForestRegressor
@@ -22,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
 from basketlens.functions.columns import safe_ratio, zscore
+from basketlens.operators import kmeans
 from basketlens.operators.features import (
     CATEGORICAL_FEATURES,
     NUMERIC_FEATURES,
@@ -29,73 +27,48 @@ from basketlens.operators.features import (
     encode_label,
 )
 from basketlens.operators.rfm import METRICS, with_scaled_rfm
+from basketlens.session import settle
 
 SEED = 42
 # Partitions in which the forests see the customers; part of what determines them, like the seed.
 FOREST_PARTITIONS = 32
-RESTARTS = 10
-PARALLEL_FITS = 5
-TOLERANCE = 1e-4
+RESTARTS = kmeans.RESTARTS
 
 
 def _vectors(df: DataFrame, columns: list[str]) -> DataFrame:
     return VectorAssembler(inputCols=columns, outputCol="features").transform(df)
 
 
-def best_kmeans(vectors: DataFrame, k: int, restarts: int = RESTARTS, seed: int = SEED) -> KMeansModel:
-    """The cheapest of several k-means fits with consecutive seeds. ``vectors`` should be persisted.
-
-    A fit ends when the squared moves of all centres sum to under TOLERANCE on data of unit variance; Spark bounds the
-    move of each centre, hence the root. A fit is a chain of short jobs, so several run side by side, as the tuning
-    classes of Spark ML do.
-    """
-    def fit(i: int) -> KMeansModel:
-        return KMeans(k=k, seed=seed + i, maxIter=300, tol=(TOLERANCE / k) ** 0.5).fit(vectors)
-
-    with ThreadPool(min(PARALLEL_FITS, restarts)) as pool:
-        fits = pool.map(inheritable_thread_target(vectors.sparkSession)(fit), range(restarts))
-    return min(fits, key=lambda model: model.summary.trainingCost)
-
-
 def kmeans_price(products: DataFrame, k: int = 3) -> tuple[DataFrame, DataFrame]:
     """Products with a price cluster, and the cluster centres in ascending order (cluster 0 is the cheapest)."""
     priced = products.where(F.col("price").isNotNull())
     # one scale for all prices changes no cluster and gives the tolerance its meaning
     unit = priced.agg(F.stddev_pop(F.col("price").cast("double"))).first()[0] or 1.0
-    scaled = _vectors(priced.withColumn("_scaled", F.col("price").cast("double") / unit), ["_scaled"])
-    vectors = scaled.select("features").persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        model = best_kmeans(vectors, k)
-    finally:
-        vectors.unpersist()
-    centres = sorted((float(centre[0]) * unit, i) for i, centre in enumerate(model.clusterCenters()))
-    rank = F.element_at(_int_map({old: new for new, (_, old) in enumerate(centres)}), F.col("prediction"))
-    assigned = model.transform(scaled).withColumn("cluster", rank)
-    spark = products.sparkSession
-    table = spark.createDataFrame([(i, price) for i, (price, _) in enumerate(centres)], "cluster int, center double")
-    return assigned.select("product_id", "price", "cluster"), table
+    points = kmeans.settled_points(priced.withColumn("_scaled", F.col("price").cast("double") / unit), "product_id", "_scaled")
+    centres, _ = kmeans.fit(points, [k]).get(k, (np.zeros((0, 1)), 0.0))
+    centres = np.sort(centres, axis=0)
+    table = products.sparkSession.createDataFrame([(i, float(c[0]) * unit) for i, c in enumerate(centres)], "cluster int, center double")
+    cluster = kmeans.nearest(F.array(F.col("price").cast("double") / unit), centres) if len(centres) else F.lit(None).cast("int")
+    return priced.select("product_id", "price", cluster.alias("cluster")), table
 
 
 def _int_map(pairs: dict[int, int]):
     return F.create_map(*(F.lit(x) for pair in pairs.items() for x in pair))
 
 
-def _rfm_vectors(scores: DataFrame) -> DataFrame:
-    return _vectors(with_scaled_rfm(scores), [f"{m}_scaled" for m in METRICS])
+SCALED = tuple(f"{m}_scaled" for m in METRICS)
 
 
 def k_scan(scores: DataFrame, max_k: int = 10, restarts: int = RESTARTS) -> DataFrame:
     """Per k from 2 to ``max_k``: within-cluster sum of squares and mean silhouette (squared Euclidean)."""
-    vectors = _rfm_vectors(scores).select("features").persist(StorageLevel.MEMORY_AND_DISK)
-    evaluator = ClusteringEvaluator()
-    try:
-        rows = []
-        for k in range(2, max_k + 1):
-            model = best_kmeans(vectors, k, restarts)
-            rows.append((k, model.summary.trainingCost, evaluator.evaluate(model.summary.predictions)))
-    finally:
-        vectors.unpersist()
-    return scores.sparkSession.createDataFrame(rows, "k int, wcss double, silhouette_sq_euclidean double")
+    points = kmeans.settled_points(with_scaled_rfm(scores), "customer_id", *SCALED)
+    fits = kmeans.fit(points, range(2, max_k + 1), restarts)
+    costs = scores.sparkSession.createDataFrame([(k, cost) for k, (_, cost) in fits.items()], "k int, wcss double")
+    if not fits:
+        return costs.withColumn("silhouette_sq_euclidean", F.lit(None).cast("double"))
+    each = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), kmeans.nearest(F.col("x"), c).alias("cluster")) for k, (c, _) in fits.items())))
+    assigned = points.withColumn("_fit", each).select("x", "_fit.*")
+    return costs.join(kmeans.silhouettes(assigned), "k")  # a row per k
 
 
 def kmeans_segments(scores: DataFrame, k: int = 4, restarts: int = RESTARTS) -> tuple[DataFrame, float]:
@@ -103,19 +76,16 @@ def kmeans_segments(scores: DataFrame, k: int = 4, restarts: int = RESTARTS) ->
 
     Cluster ids are ordered by mean money spent, so equal fits give equal ids.
     """
-    scaled = _rfm_vectors(scores)
-    vectors = scaled.select("monetary", "features").persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        model = best_kmeans(vectors, k, restarts)
-        fitted = model.transform(vectors)
-        silhouette = ClusteringEvaluator().evaluate(fitted)
-        means = fitted.groupBy("prediction").agg(F.avg("monetary").alias("m"))
-        order = [row["prediction"] for row in means.orderBy("m", "prediction").collect()]  # k rows
-    finally:
-        vectors.unpersist()
-    ranks = _int_map({prediction: rank for rank, prediction in enumerate(order)})
-    clustered = model.transform(scaled).withColumn("cluster", F.element_at(ranks, F.col("prediction")))
-    return clustered.select(*scores.columns, "cluster"), silhouette
+    scaled = settle(with_scaled_rfm(scores))
+    points = kmeans.settled_points(scaled, "customer_id", *SCALED)
+    centres, _ = kmeans.fit(points, [k], restarts).get(k, (np.zeros((1, len(SCALED))), 0.0))
+    fitted = scaled.withColumn("x", F.array(*SCALED)).withColumn("_fit", kmeans.nearest(F.col("x"), centres))
+    means = fitted.groupBy("_fit").agg(F.avg("monetary").alias("m"))
+    order = [row["_fit"] for row in means.orderBy("m", "_fit").collect()] or [0]  # k rows
+    ranks = _int_map({number: rank for rank, number in enumerate(order)})
+    clustered = fitted.withColumn("cluster", F.element_at(ranks, F.col("_fit")))
+    silhouette = kmeans.silhouettes(clustered.select(F.lit(k).alias("k"), "cluster", "x")).first()
+    return clustered.select(*scores.columns, "cluster"), silhouette["silhouette_sq_euclidean"] if silhouette else float("nan")
 
 
 def logistic_category_on_price(products: DataFrame, category: str) -> LogisticRegressionModel | None:

@@ -17,6 +17,7 @@ from basketlens.functions import columns as C
 from basketlens.functions import stats
 from basketlens.operators import baskets, customers, features, lines, models, patterns, products, rfm, sales
 from basketlens.plans.base_sql import BASE
+from basketlens.plans import kmeans_sql
 from basketlens.plans.views import Views
 from basketlens.session import settle
 from basketlens.sources import schemas
@@ -1100,14 +1101,46 @@ def _logistic(v: Views):
 
 query("logistic_category_on_price")(lambda v: models.logistic_report(v.retail.products, CATEGORY, _logistic(v)))
 query("logistic_curve")(lambda v: models.logistic_curve(v.retail.products, _logistic(v)))
-query("kmeans_price")(lambda v: _price_clusters(v)[0])
-query("kmeans_price_centers")(lambda v: _price_clusters(v)[1])
-query("k_scan")(lambda v: models.k_scan(v.score_table))
-query("kmeans_segments")(lambda v: rfm.segment_rules(_clusters(v)[0]))
+_PRICE_FIT = kmeans_sql.fitted(
+    "SELECT product_id AS id, CAST(price AS DOUBLE) / (SELECT stddev_pop(CAST(price AS DOUBLE)) FROM products) AS x0 FROM products", 1, [3])
+_SEGMENT_FIT = kmeans_sql.fitted(kmeans_sql.SCALED_SCORES, 3, [4])
+
+query("kmeans_price", f"""
+SELECT p.product_id, CAST(p.price AS DOUBLE) AS price, cluster FROM products p JOIN (WITH {_PRICE_FIT}
+  SELECT id, min({{'d': round((p.x0 - l.x0) * (p.x0 - l.x0), 9), 'c': cluster}}).c AS cluster
+  FROM (SELECT row_number() OVER (ORDER BY x0) - 1 AS cluster, x0 FROM centres) l, points p GROUP BY id) a ON a.id = p.product_id
+""")(lambda v: _price_clusters(v)[0])
+
+query("kmeans_price_centers", f"""
+SELECT cluster, round(x0 * (SELECT stddev_pop(CAST(price AS DOUBLE)) FROM products), 4) AS center
+FROM (WITH {_PRICE_FIT} SELECT row_number() OVER (ORDER BY x0) - 1 AS cluster, x0 FROM centres)
+""")(lambda v: rounded(_price_clusters(v)[1], 4, "center"))
+
+query("k_scan", f"""
+SELECT k, round(cost, 4) AS wcss, round(s, 6) AS silhouette_sq_euclidean
+FROM (WITH {kmeans_sql.fitted(kmeans_sql.SCALED_SCORES, 3, range(2, 11))}, {kmeans_sql.silhouettes(3)} SELECT * FROM costs JOIN silhouettes USING (k))
+""")(lambda v: rounded(rounded(models.k_scan(v.score_table), 4, "wcss"), 6, "silhouette_sq_euclidean"))
+
+#: ``clustered`` as the base expressions have it, by quartiles, and by k-means with clusters in the order of money spent.
+_QUARTILES = BASE[BASE.index("clustered AS ("):BASE.index("cluster_means AS (")]
+_BY_KMEANS = f"""clustered AS (
+  SELECT r.*, cluster FROM rfm r JOIN (SELECT id, dense_rank() OVER (ORDER BY spent, c) - 1 AS cluster FROM (
+    WITH {_SEGMENT_FIT} SELECT id, c, avg(monetary) OVER (PARTITION BY c) AS spent FROM assigned JOIN rfm ON customer_id = id)) a ON a.id = r.customer_id),
+"""
+
+query("kmeans_segments", "SELECT customer_id, recency, frequency, monetary, cluster, segment FROM segmented")(
+    lambda v: rfm.segment_rules(_clusters(v)[0]))
 query("kmeans_cluster_profile")(lambda v: rfm.cluster_profile(_clusters(v)[0]))
 query("kmeans_segment_summary")(lambda v: rfm.segment_summary(rfm.segment_rules(_clusters(v)[0])))
-query("silhouette")(lambda v: _clusters(v)[0].groupBy().agg(F.count(F.lit(1)).alias("customers")).withColumn(
-    "silhouette_sq_euclidean", F.lit(float(_clusters(v)[1]))
+_SQL["kmeans_cluster_profile"], _SQL["kmeans_segment_summary"] = _SQL["cluster_profile"], _SQL["segment_summary"]
+for _name in ("kmeans_segments", "kmeans_cluster_profile", "kmeans_segment_summary"):
+    _SQL[_name] = _SQL[_name].replace(_QUARTILES, _BY_KMEANS)
+
+query("silhouette", f"""
+SELECT count(*) AS customers, round(any_value(s), 6) AS silhouette_sq_euclidean
+FROM (WITH {_SEGMENT_FIT}, {kmeans_sql.silhouettes(3)} SELECT id, s FROM assigned JOIN silhouettes USING (k))
+""")(lambda v: _clusters(v)[0].groupBy().agg(F.count(F.lit(1)).alias("customers")).withColumn(
+    "silhouette_sq_euclidean", F.round(F.lit(float(_clusters(v)[1])), 6)
 ))
 query("split_train_test", """
 SELECT customer_id, CASE WHEN CAST('0x' || substr(md5('42:' || customer_id), 1, 6) AS BIGINT) / 16777216 < 0.2 THEN 'test' ELSE 'train' END AS side

@@ -122,3 +122,48 @@ def test_report_of_known_confusion(spark):
     assert found["macro avg"][0] == pytest.approx(0.7) and found["weighted avg"][0] == pytest.approx(0.72)
     never = models.classification_report(frame.withColumn("p", F.lit("Low")), "a", "p")
     assert {r["label"]: r["precision"] for r in never.collect()}["High"] == 0.0
+
+
+def test_kmeans_takes_ties_repeats_and_few_points(spark):
+    from basketlens.operators import kmeans
+    from basketlens.session import settle
+
+    def points(values):
+        return settle(spark.createDataFrame([(f"p{i}", [float(v)]) for i, v in enumerate(values)], "id string, x array<double>"))
+
+    fits = kmeans.fit(points([1, 1, 1, 5, 5, 9]), [2, 3])
+    assert fits[3][1] == 0 and sorted(c[0] for c in fits[3][0]) == [1, 5, 9]
+    assert fits[2][1] == pytest.approx(min(((np.array(a) - np.mean(a)) ** 2).sum() + ((np.array(b) - np.mean(b)) ** 2).sum() for a, b in (([1, 1, 1], [5, 5, 9]), ([1, 1, 1, 5, 5], [9]))))
+    few = kmeans.fit(points([1, 2]), [4])
+    assert len(few[4][0]) == 2 and few[4][1] == 0
+    assert kmeans.fit(points([7, 7, 7]), [2])[2][1] == 0  # a centre without points stays
+    assert kmeans.fit(points([]), [2]) == {}
+    tied = spark.range(3).select(F.array(F.col("id").cast("double")).alias("x"))
+    assert [r[0] for r in tied.select(kmeans.nearest(F.col("x"), np.array([[2.0], [0.0]]))).collect()] == [1, 0, 0]
+
+
+def test_fits_do_not_depend_on_partitions(spark):
+    from basketlens.operators import kmeans
+    from basketlens.session import settle
+
+    frame = spark.createDataFrame([(i, [float(i * i % 97), float(i % 13)]) for i in range(300)], "id int, x array<double>")
+    one, many = (kmeans.fit(settle(frame.repartition(n)), [3, 5], restarts=4) for n in (1, 16))
+    for k in (3, 5):
+        assert one[k][1] == pytest.approx(many[k][1]) and np.allclose(one[k][0], many[k][0])
+
+
+def test_silhouettes_equal_all_pairs(spark):
+    from basketlens.operators import kmeans
+
+    rng = np.random.default_rng(3)
+    x, cluster = rng.normal(size=(60, 2)), rng.integers(0, 4, 60)
+    cluster[0] = 9  # alone
+    frame = spark.createDataFrame([(1, int(c), p.tolist()) for c, p in zip(cluster, x)], "k int, cluster int, x array<double>")
+    distance = ((x[:, None] - x[None]) ** 2).sum(2)
+    values = []
+    for i, c in enumerate(cluster):
+        own = (cluster == c).sum()
+        a = distance[i][cluster == c].sum() / max(own - 1, 1)
+        b = min(distance[i][cluster == o].mean() for o in set(cluster) - {c})
+        values.append(0 if own == 1 else (b - a) / max(a, b))
+    assert kmeans.silhouettes(frame).first()["silhouette_sq_euclidean"] == pytest.approx(np.mean(values))

@@ -112,3 +112,28 @@ def test_settled_table_lies_in_the_checkpoint_folder_until_its_scope_ends(spark)
         assert folder.split(":", 1)[-1].lstrip("/") in stored
         assert os.path.exists(re.sub("^/+", "/", stored))
     assert not os.path.exists(re.sub("^/+", "/", stored))
+
+
+def scans_when_run(df, column):
+    """Scans that read a column in the plan as it was executed; readers of a shared exchange do not scan."""
+    df.collect()
+    scans, skipped = 0, None
+    for line in df._jdf.queryExecution().executedPlan().toString().splitlines():
+        place = len(line) - len(line.lstrip(" :+-"))
+        if skipped is not None and place >= skipped:
+            continue  # inside a plan as it was before it ran, of the query or of a subquery
+        skipped = place if "== Initial Plan ==" in line else None
+        scans += "FileScan parquet" in line and column in line
+    return scans
+
+
+@pytest.mark.parametrize("name", ["descriptive_stats_levels", "price_frequency_levels"])
+def test_both_levels_come_from_one_scan(spark, sf, name):
+    assert scans_when_run(catalog.queries()[name](spark, sf), "p_retailprice") == 1
+
+
+def test_features_and_targets_read_the_lines_once(spark, sf):
+    retail = load_retail(spark, sf)
+    assert scans_when_run(features.customer_profiles(retail, 6), "l_orderkey") == 1
+    assert scans_when_run(features.customer_profiles(retail, 6, as_of_months=6), "l_orderkey") == 1
+    assert scans_when_run(features.scores_with_target(lines.invoice_facts(retail), retail.invoices), "l_orderkey") == 1

@@ -18,8 +18,7 @@ def test_query_equals_sql(spark, sf, connection, name):
     assert compare(spark, connection, name, QUERIES[name], SQL[name], sf) is None
 
 
-# k_scan fits ninety models; its parts are tested in test_models
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL) - {"k_scan"}))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_model_query_runs(spark, sf, name):
     assert QUERIES[name](spark, sf).count() > 0
 

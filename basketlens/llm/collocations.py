@@ -33,7 +33,7 @@ from basketlens.session import settle
 
 LEAST, LONGEST, TOP = 100, 5, 2000
 #: Words of one block of a language (a longer text is a block of its own), and of all blocks that a task has open.
-BLOCK_WORDS, OPEN_WORDS = 1 << 20, 1 << 21
+BLOCK_WORDS, OPEN_WORDS = 1 << 18, 1 << 20
 
 #: Words are divided by space and tab, pieces by `[.,;:!?\x0A-\x0D]`.
 CLASSES = byte_classes(b" \t", b".,;:!?\n\x0b\x0c\r")

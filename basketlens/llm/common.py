@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from basketlens.session import settle
+
 #: Bytes of one Arrow batch handed to Python. With it the memory of a task follows the longest text, not the row count.
 BATCH_BYTES = 8 << 20
 BATCH_ROWS = 500
@@ -38,6 +40,11 @@ def prepare(spark: SparkSession) -> None:
             context.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [home, known]))
 
 
+def numbered(df: DataFrame, name: str = "_row") -> DataFrame:
+    """``df``, stored, with a number of its own for each row; it lasts as long as the stored table, whatever is lost."""
+    return settle(df.withColumn(name, F.monotonically_increasing_id()))
+
+
 def texts(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     """Texts of a batch, null as empty."""
     return [t or "" for t in batch.column(column).to_pylist()]

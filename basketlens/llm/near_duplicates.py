@@ -11,9 +11,14 @@
 4. A compared pair is a link if its weighted Jaccard similarity, worked out on the whole texts, is at least ``threshold``.
    Classes are the connected components of links, named by their least ``doc_id``.
 
+Equal texts are one member, numbered when they are first grouped. From then on members, links and classes go by these
+numbers (``doc_id`` in the frames between), so that rows of one id with different texts are told apart.
+
 Defined results: null and empty texts and texts of white space have no shingles and each is a class of its own; fewer
-words than a shingle make one shingle. Equal texts are of one class. Rows of one doc_id are taken as one document. A null
-doc_id is in the class of an equal text's least id, else in class null. An empty table gives no rows.
+words than a shingle make one shingle. Equal texts are of one class. Rows are told apart by their texts, whatever their ids: rows of
+one doc_id may be of several classes. A row without a doc_id is in the class of the least id it is linked with, and its
+class_id is null only if no row of the class has an id. Other columns, of whatever name, are not read. Ties between
+equal rows are broken arbitrarily; no result depends on it. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -36,8 +41,6 @@ BANDS, ROWS = 8, 3
 #: Of the count-min sketch: rows and buckets a row. Shingles in a smaller share of texts than RARE weigh the same.
 DEPTH, BUCKETS, RARE = 2, 1 << 16, 0.02
 SEGMENT, SALTS = 8192, 64
-#: Pairs that agree in no more samples are not verified: at similarity 0.8 fewer than one pair in 10,000 does.
-FEWEST_EQUAL = 10
 #: Rounds of leaders before the exact join; members and bytes of text of its blocks, on average.
 LEADERS, BLOCK, BLOCK_BYTES = 3, 512, 2 << 20
 _TABLE = 1 << 14
@@ -163,22 +166,21 @@ def signatures(docs: DataFrame, idf: Broadcast, doc_id: str = "doc_id", text: st
 # ---------------------------------------------------------- pairs and links
 
 def banded(distinct: DataFrame) -> DataFrame:
-    """A row for each text and band; ``bucket`` names band and samples. ``distinct``: ``doc_id``, ``sample``."""
+    """``doc_id``, ``band`` and ``bucket``, which names band and samples, of each text. ``distinct``: ``doc_id``, ``sample``."""
     keys = [F.xxhash64(F.lit(b), *(F.col("sample")[b * ROWS + r] for r in range(ROWS))) for b in range(BANDS)]
-    return distinct.select("doc_id", "sample", F.posexplode(F.array(*keys)).alias("band", "bucket"))
+    return distinct.select("doc_id", F.posexplode(F.array(*keys)).alias("band", "bucket"))
 
 
 def _leaders(members: DataFrame) -> DataFrame:
     """``bucket`` and ``leader``: the least of the members that have joined a class, else the least member."""
-    cell = F.struct((F.col("class_id") == F.col("doc_id")).alias("alone"), "doc_id", "sample", "class_id")
+    cell = F.struct((F.col("class_id") == F.col("doc_id")).alias("alone"), "doc_id", "class_id")
     return members.groupBy("bucket").agg(F.min(cell).alias("leader"))
 
 
 def _star(members: DataFrame, leaders: DataFrame) -> DataFrame:
     """Pairs of each member with the leader of its bucket, if they are not of one class yet."""
     return members.join(leaders, "bucket").where("class_id != leader.class_id").select(
-        F.least("doc_id", "leader.doc_id").alias("a"), F.greatest("doc_id", "leader.doc_id").alias("b"),
-        F.size(F.filter(F.zip_with("sample", "leader.sample", lambda x, y: x == y), lambda e: e)).alias("equal"))
+        F.least("doc_id", "leader.doc_id").alias("a"), F.greatest("doc_id", "leader.doc_id").alias("b")).distinct()
 
 
 def _open(members: DataFrame, leaders: DataFrame) -> DataFrame:
@@ -309,54 +311,75 @@ def components(links: DataFrame) -> DataFrame:
             return labels.select(F.col("u").alias("doc_id"), F.col("label").alias("class_id"))
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD,
-                    width: int = WIDTH) -> DataFrame:
-    """A row per document: ``doc_id``, ``class_id`` (least id of its class), ``n_equal`` (documents of equal text)."""
+def _key(text: str) -> F.Column:
+    return F.unhex(F.md5(F.col(f"`{text}`").cast("binary")))
+
+
+def classed_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD,
+                  width: int = WIDTH) -> tuple[DataFrame, DataFrame]:
+    """The rows as ``doc_id``, ``key`` (digest of the text; null without shingles), and a row per ``key``: ``first_id``
+    (least id), ``n_first`` (rows of that id), ``n_equal`` (rows), ``number``, ``group`` (least number of the class)."""
     context = docs.sparkSession.sparkContext
     idf = context.broadcast(inverse_frequencies(*document_frequencies(docs, text, width)))  # of fixed size: half a MB
     signed = settle(signatures(docs, idf, doc_id, text, width))
-    equal = settle(signed.where("key IS NOT NULL").groupBy("key").agg(
-        F.min("doc_id").alias("first_id"), F.count("*").alias("n_equal"), F.first("sample").alias("sample")))
-    distinct = equal.where("first_id IS NOT NULL").groupBy(F.col("first_id").alias("doc_id")).agg(F.first("sample").alias("sample"))
-    buckets = banded(distinct)
+    per_id = signed.where("key IS NOT NULL").groupBy("key", "doc_id").agg(F.count("*").alias("n"), F.first("sample").alias("sample"))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "n"))
+    equal = settle(per_id.groupBy("key").agg(least.alias("first"), F.sum("n").alias("n_equal"), F.first("sample").alias("sample")).select(
+        F.monotonically_increasing_id().alias("number"), "key", F.col("first.doc_id").alias("first_id"), F.col("first.n").alias("n_first"),
+        "n_equal", "sample"))
+    buckets = banded(equal.select(F.col("number").alias("doc_id"), "sample"))
     shared = buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-    members = settle(buckets.join(shared, "bucket").select("bucket", "doc_id", "sample"))
-    wanted = bounded(settle(members.select("doc_id").distinct()), BROADCAST_IDS)
-    own = docs.select(F.col(f"`{doc_id}`").cast("bigint").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    bodies = settle(own.join(wanted, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")))
+    members = settle(buckets.join(shared, "bucket").select("bucket", "doc_id"))
+    wanted = equal.join(members.select(F.col("doc_id").alias("number")).distinct(), "number", "left_semi")
+    wanted = bounded(settle(wanted.select("number", F.col("key").alias("wanted"), "first_id")), BROADCAST_IDS)
+    own = docs.select(F.col(f"`{doc_id}`").cast("bigint").alias("doc_id"), F.col(f"`{text}`").alias("text"), _key(text).alias("key"))
+    one_row = (F.col("key") == F.col("wanted")) & F.col("doc_id").eqNullSafe(F.col("first_id"))
+    bodies = settle(own.join(wanted, one_row).groupBy(F.col("number").alias("doc_id")).agg(F.first("text").alias("text")))
 
     left = members.withColumn("class_id", F.col("doc_id"))
     links = None
     for step in range(LEADERS):
         leaders = settle(_leaders(left))
-        pairs = _star(left, leaders).where(F.col("equal") > FEWEST_EQUAL).select("a", "b").distinct()
-        new = settle(linked(pairs, bodies, idf, threshold, width))
+        new = settle(linked(_star(left, leaders), bodies, idf, threshold, width))
         if step == 0 or not new.isEmpty():
             links = new if links is None else settle(links.union(new))
             classes = settle(components(links))
             left = _named(left, classes)
-        left = settle(_open(left, leaders).select("bucket", "doc_id", "sample", "class_id"))
+        left = settle(_open(left, leaders).select("bucket", "doc_id", "class_id"))
         if left.isEmpty():
             break
     else:
         new = settle(within(left, bodies, idf, threshold, width))
         if not new.isEmpty():
             classes = settle(components(links.union(new)))
-    copies = signed.select("doc_id", "key").join(equal.select("key", "first_id", "n_equal"), "key")
-    alone = signed.where("key IS NULL").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("bigint").alias("n_equal"))
-    named = classes.select(F.col("doc_id").alias("first_id"), "class_id")
-    return copies.join(named, "first_id", "left").select(
-        "doc_id", F.coalesce("class_id", "first_id").alias("class_id"), "n_equal").union(alone)
+    named = classes.select(F.col("doc_id").alias("number"), F.col("class_id").alias("group"))
+    texts_ = equal.drop("sample").join(named, "number", "left").withColumn("group", F.coalesce("group", "number"))
+    return signed.select("doc_id", "key"), settle(texts_)
+
+
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD,
+                    width: int = WIDTH) -> DataFrame:
+    """A row per document: ``doc_id``, ``class_id`` (least id of its class), ``n_equal`` (documents of equal text)."""
+    rows, found = classed_texts(docs, doc_id, text, threshold, width)
+    names = found.groupBy("group").agg(F.min("first_id").alias("class_id"), F.count("*").alias("n")).where("n > 1")
+    named = found.join(names, "group", "left").select("key", "n_equal", F.when(F.col("n").isNull(), F.col("first_id")).otherwise(F.col("class_id")).alias("class_id"))
+    copies = rows.join(named, "key").select("doc_id", "class_id", "n_equal")
+    return copies.union(rows.where("key IS NULL").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("bigint").alias("n_equal")))
 
 
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` with one row of each class: that of the least id. Rows without an id or shingles all stay, for nothing is
-    known to be equal to them; of rows with one id one stays."""
-    classes = settle(near_duplicates(docs, doc_id, text, threshold))
-    gone = settle(classes.where("doc_id != class_id").select(F.col("doc_id").alias("_gone_id")).distinct())
-    kept = docs.join(bounded(gone, BROADCAST_IDS), F.col(f"`{doc_id}`").cast("bigint") == F.col("_gone_id"), "left_anti")
-    repeated = settle(classes.where("doc_id = class_id").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("_again_id")))
-    if repeated.isEmpty():
-        return kept
-    again = F.col(f"`{doc_id}`").cast("bigint") == F.col("_again_id")
-    return kept.join(repeated, again, "left_anti").unionByName(kept.join(repeated, again, "left_semi").dropDuplicates([doc_id]))
+    """``docs`` with one row of each class: that of the least id (rows with an id before others; of one id and several texts,
+    one of them). Each row without shingles is a class of its own and stays."""
+    _, found = classed_texts(docs, doc_id, text, threshold)
+    several = found.groupBy("group").agg(F.min(F.struct(F.col("first_id").isNull().alias("unnamed"), "first_id", "number")).alias("stays"), F.count("*").alias("n")).where("n > 1")
+    judged = found.join(several, "group", "left").withColumn("stays", F.coalesce(F.col("stays.number") == F.col("number"), F.lit(True)))
+    touched = settle(judged.where("n_equal > 1 OR NOT stays").select(
+        F.col("key").alias("_near_key"), F.col("first_id").alias("_near_id"), F.col("stays").alias("_near_stays"), (F.col("n_first") > 1).alias("_near_again")))
+    same = _key(text) == F.col("_near_key")
+    kept = docs.join(bounded(touched, BROADCAST_IDS), same, "left").where(
+        F.col("_near_key").isNull() | F.col("_near_stays") & F.col(f"`{doc_id}`").cast("bigint").eqNullSafe(F.col("_near_id")))
+    own = [docs[f"`{c}`"] for c in docs.columns]
+    if touched.where("_near_stays AND _near_again").isEmpty():
+        return kept.select(*own)
+    again = F.coalesce("_near_again", F.lit(False))
+    return kept.where(~again).select(*own).unionByName(kept.where(again).dropDuplicates(["_near_key"]).select(*own))

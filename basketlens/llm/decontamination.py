@@ -11,7 +11,8 @@ part runs against all blocks, and the hits of all parts are united.
 
 Defined results: null texts and items have no words and match nothing; an item of fewer words than a window is one
 window; equal items or texts count by row. Very long texts stay whole in one block. With an empty benchmark every text is
-clean. Matches never cross texts.
+clean. Matches never cross texts. An item without an item_id marks words as hit and has no name in ``items``; a row without
+a doc_id is searched like any other. Ids must be integers. Other columns, of whatever name, are not read.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basketlens.llm.common import map_arrow, texts
+from basketlens.llm.common import BROADCAST_IDS, bounded, map_arrow, numbered, texts
 from basketlens.session import settle
 
 WINDOW = 10
@@ -244,8 +245,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
                                                 ).withColumn("near_items", F.array_except("near_items", "items"))
 
 
-def uncontaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` without the rows whose id belongs to a text with a benchmark phrase; rows without an id are kept."""
-    found = decontaminate(docs, benchmark, doc_id, text)
-    hit = settle(found.where("size(hit_words) > 0 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_hit_id")).distinct())
-    return docs.join(hit, F.col(f"`{doc_id}`").cast("bigint") == F.col("_hit_id"), "left_anti")
+def uncontaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
+    """``docs`` without the rows whose text holds a benchmark phrase. Each row is judged by its own text, whatever its id."""
+    rows = numbered(docs, "_hit_row")
+    found = decontaminate(rows, benchmark, "_hit_row", text)
+    hit = settle(found.where("size(hit_words) > 0").select(F.col("doc_id").alias("_hit_row")))
+    return rows.join(bounded(hit, BROADCAST_IDS), "_hit_row", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))

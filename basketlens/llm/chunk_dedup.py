@@ -5,8 +5,10 @@ wherever a passage stands and an insertion changes only the chunks around it. Ch
 a digest; of all chunks with one digest the first (least ``doc_id``, then place) stays. A later chunk is removed if it and
 its removed neighbours make a run of at least ``min_run`` bytes, so that a short phrase met by chance is left alone.
 
-Defined results: null texts are empty and have no chunks. Rows of one doc_id are one document; rows without a doc_id
-take no part and lose nothing. Texts of any length are chunked whole; an empty table gives no rows.
+Defined results: null texts are empty and have no chunks. Rows are told apart by id and text: rows of one doc_id with
+different texts are different documents, rows equal in both are one document and all keep the same bytes. Rows without a
+doc_id take part and come after all others. Texts of any length are chunked whole; an empty table gives no rows. Ids must
+be integers. Other columns, of whatever name, are not read and stay as they are.
 """
 
 from __future__ import annotations
@@ -53,31 +55,37 @@ def borders(raw: bytes) -> np.ndarray:
     return ends
 
 
+def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
+    """The number that, beside the id, tells rows of one id apart."""
+    return F.xxhash64(F.col(f"`{doc_id}`").cast("bigint"), F.col(f"`{text}`"))
+
+
 def chunks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``digest``, ``doc_id``, ``start`` and ``n`` (bytes) of every chunk."""
+    """``digest``, ``doc_id``, ``row`` (see :func:`row_key`), ``start`` and ``n`` (bytes) of every chunk."""
     def make():
         def work(batch: pa.RecordBatch) -> dict:
-            ids, digests, starts, sizes = [], [], [], []
-            for doc, t in zip(batch.column("doc_id").to_pylist(), texts(batch)):
+            digests, starts, sizes, counts = [], [], [], []
+            for t in texts(batch):
                 raw = t.encode("utf-8", "surrogatepass")
                 ends = borders(raw)
                 first = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
-                ids.append(np.full(len(ends), doc))
+                counts.append(len(ends))
                 starts.append(first)
                 sizes.append(ends - first)
                 digests += [hashlib.blake2b(raw[a:b], digest_size=DIGEST_BYTES).digest() for a, b in zip(first.tolist(), ends.tolist())]
             join = lambda parts: np.concatenate(parts).astype(np.int64)
-            return {"digest": digests, "doc_id": join(ids), "start": join(starts).astype(np.int32), "n": join(sizes).astype(np.int32)}
+            owner = pa.array(np.repeat(np.arange(batch.num_rows), counts))
+            return {"digest": digests, "doc_id": batch.column("doc_id").take(owner), "row": batch.column("row").take(owner), "start": join(starts).astype(np.int32), "n": join(sizes).astype(np.int32)}
 
         return work
 
-    source = docs.where(F.col(f"`{doc_id}`").isNotNull()).select(F.col(f"`{doc_id}`").cast("bigint").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    return map_arrow(source, make, "digest binary, doc_id bigint, start int, n int")
+    source = docs.select(F.col(f"`{doc_id}`").cast("bigint").alias("doc_id"), F.col(f"`{text}`").alias("text"), row_key(doc_id, text).alias("row"))
+    return map_arrow(source, make, "digest binary, doc_id bigint, row bigint, start int, n int")
 
 
 def repeated(found: DataFrame) -> DataFrame:
     """Digests that occur more than once: where first, and in which document last. Counts combine before the shuffle."""
-    place = F.struct("doc_id", "start")
+    place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row", "start")
     return found.groupBy("digest").agg(F.count("*").alias("times"), F.min(place).alias("first"), F.max("doc_id").alias("last_doc")).where("times > 1")
 
 
@@ -107,15 +115,17 @@ def joined(cells: list[tuple[int, int]], min_run: int) -> list[tuple[int, int]]:
 
 
 def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_run: int = MIN_RUN) -> DataFrame:
-    """Documents with repeated chunks: ``doc_id``, ``removed`` (byte spans), ``n_repeated`` (bytes in runs of repeated
+    """Documents with repeated chunks: ``doc_id``, ``row``, ``removed`` (byte spans), ``n_repeated`` (bytes in runs of repeated
     chunks, those that stay included) and ``partner_ids`` (documents that hold the first or last copy of a chunk)."""
     found = chunks(docs, doc_id, text)
     both = found.join(repeated(found), "digest")
-    cell = F.struct("start", "n", ((F.col("doc_id") == F.col("first.doc_id")) & (F.col("start") == F.col("first.start"))).alias("is_first"))
-    partners = F.array_distinct(F.flatten(F.collect_set(F.array("first.doc_id", "last_doc"))))
-    per_doc = both.groupBy("doc_id").agg(F.collect_list(cell).alias("cells"), partners.alias("partners"))
-    spans = per_doc.select("doc_id", _runs(F.col("cells"), min_run).alias("runs"), F.array_sort(F.filter("partners", lambda p: p != F.col("doc_id"))).alias("partner_ids"))
-    return spans.select("doc_id", "runs.removed", "runs.n_repeated", "partner_ids").where("n_repeated > 0")
+    is_first = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("row") == F.col("first.row")) & (F.col("start") == F.col("first.start"))
+    cell = F.struct("start", "n", is_first.alias("is_first"))
+    partners = F.array_compact(F.array_distinct(F.flatten(F.collect_set(F.array("first.doc_id", "last_doc")))))
+    per_doc = both.groupBy("doc_id", "row").agg(F.collect_list(cell).alias("cells"), partners.alias("partners"))
+    others = F.filter("partners", lambda p: ~p.eqNullSafe(F.col("doc_id")))
+    spans = per_doc.select("doc_id", "row", _runs(F.col("cells"), min_run).alias("runs"), F.array_sort(others).alias("partner_ids"))
+    return spans.select("doc_id", "row", "runs.removed", "runs.n_repeated", "partner_ids").where("n_repeated > 0")
 
 
 def without(docs: DataFrame, found: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -131,6 +141,7 @@ def without(docs: DataFrame, found: DataFrame, doc_id: str = "doc_id", text: str
             out.append(None if t is None else b"".join([*kept, raw[at:]]).decode("utf-8", "ignore"))
         return pa.array(out, pa.string())
 
-    spans = found.select(F.col("doc_id").alias("_repeat_doc_id"), F.col("removed").alias("_repeat_spans"))
-    joined_ = docs.join(spans, docs[doc_id] == F.col("_repeat_doc_id"), "left")
-    return joined_.select(*(cut(docs[c], F.col("_repeat_spans")).alias(c) if c == text else docs[c] for c in docs.columns))
+    spans = found.select(F.col("doc_id").alias("_repeat_doc_id"), F.col("row").alias("_repeat_row"), F.col("removed").alias("_repeat_spans"))
+    same = F.col(f"`{doc_id}`").cast("bigint").eqNullSafe(F.col("_repeat_doc_id")) & (row_key(doc_id, text) == F.col("_repeat_row"))
+    joined_ = docs.join(spans, same, "left")
+    return joined_.select(*(cut(docs[f"`{c}`"], F.col("_repeat_spans")).alias(c) if c == text else docs[f"`{c}`"] for c in docs.columns))

@@ -4,8 +4,8 @@ Everything is DataFrame functions. The base kinds (email, ip, card, phone) are f
 possessive where that changes no match, so that long runs neither backtrack nor recurse; places come from the lengths
 of the stretches between matches.
 
-A protected entity is a base value. All words of its documents are candidate terms; one context (the same words around the
-entity) counts once, so that copies of a text are no evidence. With p(e|t), the share of the documents holding term t that hold entity e, a
+A protected entity is a base value. All words of its documents are candidate terms; an entity or a term counts from
+``LEAST_TEXTS`` different texts, so that copies of a text are no evidence and nothing is told of a single document's words. With p(e|t), the share of the documents holding term t that hold entity e, a
 term discloses 1 + log p(e|t) / IC(e) of the information content IC(e) = -log p(e): 1 if it occurs with e only, 0 if it
 says nothing. At ``GENERALISED`` and more a term becomes a span of kind ``term`` wherever it stands in a text with the entity;
 :func:`sanitised` writes the kind in its place, and removes it at ``REMOVED`` and more.
@@ -26,10 +26,10 @@ from basketlens.llm.common import bounded
 from basketlens.session import settle
 
 KINDS = ("email", "ip", "card", "phone")
-#: Words on either side of an entity that are its context, the characters in which they are looked for, least letters of a term.
-CONTEXT_WORDS, CONTEXT_CHARS, LEAST_LETTERS = 3, 80, 3
-#: Different contexts of an entity in whose documents a term must stand, and the disclosure thresholds.
-LEAST_CONTEXTS, GENERALISED, REMOVED = 2, 0.8, 0.95
+#: Different texts with the entity in which a term must stand, and the disclosure thresholds.
+LEAST_TEXTS, GENERALISED, REMOVED = 2, 0.8, 0.95
+#: A term: a stretch without blanks, of at least three letters, all else at its ends.
+_TERM = r"(?<!\S)[^\p{L}\s]*+(\p{L}{3,}+)[^\p{L}\s]*+(?!\S)"
 
 # A local part starts where no other could have started before: after a foreign character or the match before (\G).
 _EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
@@ -109,28 +109,20 @@ def spans_of(text: Column, matches: Column, pattern: Column) -> Column:
 
 
 def _entities(found: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """``doc``, ``entity`` and the words around, for every base span."""
+    """``doc``, ``entity`` and ``signature`` (a hash of the whole text) for every base span."""
     def of_kind(kind: str) -> Column:
         return F.transform(F.col(kind), lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value")))
 
     each = F.concat(*(of_kind(k) for k in KINDS))
     rows = found.where(f"`{doc_id}` IS NOT NULL AND " + "(" + " OR ".join(f"size({k}) > 0" for k in KINDS) + ")").select(
-        F.col(f"`{doc_id}`").alias("doc"), F.col(f"`{text}`").alias("text"), F.explode(each).alias("s"))
+        F.col(f"`{doc_id}`").alias("doc"), F.xxhash64(F.col(f"`{text}`")).alias("signature"), F.explode(each).alias("s"))
     plain = F.when(F.col("s.kind") == "email", F.lower("s.value")).otherwise(F.regexp_replace("s.value", r"[^0-9.]", ""))
-    begin = F.greatest(F.col("s.start") - CONTEXT_CHARS, F.lit(0))
-    left = F.split(F.substring(F.col("text"), (begin + 1).cast("int"), (F.col("s.start") - begin).cast("int")), r"[\s]+")
-    right = F.split(F.substring(F.col("text"), (F.col("s.end") + 1).cast("int"), F.lit(CONTEXT_CHARS)), r"[\s]+")
-    # a word that the stretch cuts in two is the outermost and does not count
-    near_left = F.slice(F.reverse(F.slice(left, 2, F.greatest(F.size(left) - 1, F.lit(0)))), 1, CONTEXT_WORDS + 1)
-    near_right = F.slice(F.slice(right, 1, F.greatest(F.size(right) - 1, F.lit(0))), 1, CONTEXT_WORDS + 1)
-    words = lambda w: F.filter(F.transform(w, _term), lambda x: F.length(x) >= LEAST_LETTERS)
-    return rows.select("doc", F.concat_ws(":", "s.kind", plain).alias("entity"), F.array_distinct(F.concat(words(near_left), words(near_right))).alias("terms"))
+    return rows.select("doc", "signature", F.concat_ws(":", "s.kind", plain).alias("entity"))
 
 
-def _term(word: Column) -> Column:
-    """A word in lower case without what is not a letter at its ends; empty if something else is inside."""
-    bare = F.regexp_replace(F.lower(word), r"^[^\p{L}]+|[^\p{L}]+$", "")
-    return F.when(bare.rlike(r"^\p{L}+$"), bare).otherwise("")
+def _terms(text: str) -> Column:
+    """The different terms of a text, in lower case."""
+    return F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(F.col(f"`{text}`"), F.lit(""))), F.lit(_TERM), F.lit(1)))
 
 
 def disclosures(found: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -138,12 +130,12 @@ def disclosures(found: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 
     ``found`` has the spans of :func:`with_base_spans`.
     """
-    near = settle(_entities(found, doc_id, text).select("doc", "entity", F.xxhash64("terms").alias("context")).distinct())
-    entities = settle(near.groupBy("entity").agg(F.count_distinct("doc").alias("n_entity"), F.count_distinct("context").alias("n_contexts")).where(
-        F.col("n_contexts") >= LEAST_CONTEXTS).drop("n_contexts"))
+    near = settle(_entities(found, doc_id, text).distinct())
+    entities = settle(near.groupBy("entity").agg(F.count_distinct("doc").alias("n_entity"), F.count_distinct("signature").alias("n_texts")).where(
+        F.col("n_texts") >= LEAST_TEXTS).drop("n_texts"))
     holders = settle(near.join(entities, "entity"))
-    own = F.array_distinct(F.transform(F.split(F.coalesce(F.col(f"`{text}`"), F.lit("")), r"[\s]+"), _term))
-    docs = found.where(F.col(f"`{doc_id}`").isNotNull()).select(F.col(f"`{doc_id}`").alias("doc"), F.filter(own, lambda w: F.length(w) >= LEAST_LETTERS).alias("words"))
+    named = found.where(F.col(f"`{doc_id}`").isNotNull()).select(F.col(f"`{doc_id}`").alias("doc"), F.col(f"`{text}`").alias("text"))
+    docs = named.select("doc", _terms("text").alias("words"))
     ids = settle(docs.groupBy("doc").agg(F.count("*").alias("rows")))
     n = ids.count()
     # a term of more documents discloses too little of any entity, even if it stands in all of the entity's documents
@@ -151,10 +143,11 @@ def disclosures(found: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     most = largest ** GENERALISED * n ** (1 - GENERALISED) * (1 + 1e-6)
     held = settle(_frequencies(docs, ids.where("rows > 1").select("doc")).where(F.col("n_term") <= most))
     wanted = bounded(settle(holders.select("doc").distinct()))
-    terms = settle(docs.join(wanted, "doc").select("doc", F.explode("words").alias("term")).join(bounded(held), "term").distinct())
+    own = named.join(wanted, "doc").select("doc", F.explode(_terms("text")).alias("term"))  # words of holders only
+    terms = settle(own.join(bounded(held), "term").distinct())
     pairs = holders.join(terms, "doc").withColumn("n", F.lit(n)).where(_disclosed("n_entity") >= GENERALISED).groupBy(
-        "entity", "term", "n_entity", "n_term", "n").agg(F.count_distinct("context").alias("n_contexts"), F.count_distinct("doc").alias("n_both"))
-    revealing = pairs.where(F.col("n_contexts") >= LEAST_CONTEXTS).select("entity", "term", _disclosed("n_both").alias("disclosure")).where(
+        "entity", "term", "n_entity", "n_term", "n").agg(F.count_distinct("signature").alias("n_texts"), F.count_distinct("doc").alias("n_both"))
+    revealing = pairs.where(F.col("n_texts") >= LEAST_TEXTS).select("entity", "term", _disclosed("n_both").alias("disclosure")).where(
         F.col("disclosure") >= GENERALISED)
     return near.select("doc", "entity").distinct().join(revealing, "entity").groupBy("doc", "term").agg(F.max("disclosure").alias("disclosure"))
 

@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 
 MARK = "▁"
 #: Entries of a worker's memo of encoded words; when full it becomes the older one, which is asked second. Checked token
-#: pairs are forgotten at as many.
-MEMO = 200_000
+#: pairs are forgotten at as many. Longer words than MEMO_LETTERS are not remembered, which bounds the memo's bytes.
+MEMO, MEMO_LETTERS = 200_000, 48
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
 
@@ -217,9 +217,10 @@ class PieceEncoder:
                 if row is None:
                     ids = self._encode_word(word)
                     row = len(ids), ",".join([self.decimal[i] for i in ids]), self._decode_inner(ids)
-                if len(memo) >= MEMO:
-                    self.older, self.memo = memo, (memo := {})
-                memo[word] = row
+                if len(word) <= MEMO_LETTERS:
+                    if len(memo) >= MEMO:
+                        self.older, self.memo = memo, (memo := {})
+                    memo[word] = row
             rows.append(row)
         counts, ids, texts = zip(*rows)
         text = "".join(texts)

@@ -92,7 +92,36 @@ def test_chunk_dedup_finds_shared_passages_and_keeps_the_first(spark):
     cut = {r.doc_id: r.text for r in chunk_dedup.without(docs, chunk_dedup.repeats(docs)).collect()}
     assert passage in cut[0] and passage not in cut[1] and cut[50] == prose(150, 50)
     assert chunk_dedup.repeats(empty_docs(spark)).count() == 0
-    assert len(queries.QUERIES) == 10
+    assert len(queries.QUERIES) == 13
+
+
+def plain_chunk_cut(rows):
+    """Kept texts by a plain walk: chunks in order of (id, row key), the first of each digest stays."""
+    units = sorted({(i is None, i or 0, key, t or "") for i, key, t in rows})
+    cut = [(u, [(a, b) for a, b in zip([0, *e[:-1]], e)]) for u in units for e in [chunk_dedup.borders(u[3].encode()).tolist()]]
+    seen, out = set(), {}
+    for u, spans in cut:
+        raw, gone = u[3].encode(), []
+        for a, b in spans:
+            (gone.append((a, b - a)) if raw[a:b] in seen else seen.add(raw[a:b]))
+        at, kept = 0, []
+        for a, b in chunk_dedup.joined(gone, chunk_dedup.MIN_RUN):
+            kept.append(raw[at:a])
+            at = b
+        out[u[:3]] = b"".join([*kept, raw[at:]]).decode("utf-8", "ignore")
+    return sorted(out[(i is None, i or 0, key)] for i, key, _ in rows)
+
+
+def test_chunk_dedup_equals_a_plain_walk_over_repeated_and_null_ids(spark):
+    a, passage = prose(80, 81), prose(70, 82)
+    texts = [(1, a + " " + passage), (2, prose(40, 83) + " " + passage), (2, prose(90, 84)), (None, passage), (None, a + " " + prose(30, 85)), (3, None), (4, ""),
+             (5, prose(60, 86)), (5, prose(60, 86)), (6, prose(200, 87) + " " + passage + " " + passage)]
+    docs = docs_of(spark, texts)
+    kept = chunk_dedup.without(docs, chunk_dedup.repeats(docs))
+    assert kept.columns == docs.columns
+    keyed = [(r.doc_id, r.k, r.text) for r in docs.select("doc_id", chunk_dedup.row_key().alias("k"), "text").collect()]
+    assert sorted(r.text or "" for r in kept.collect()) == plain_chunk_cut(keyed)
+    assert sum(r.text == prose(60, 86) for r in kept.collect()) == 2 and prose(90, 84) in {r.text for r in kept.collect()}
 
 
 # -------------------------------------------------------------- decontamination
@@ -188,6 +217,34 @@ def test_terms_are_looked_for_in_the_whole_text_and_counted_in_documents(spark):
         assert all([r.text[s.start: s.end] for s in r.term] == ["Quillfeather"] * (r.doc_id < 100) for r in found)
 
 
+def plain_disclosing(texts):
+    """(doc, term) that disclose an e-mail address at GENERALISED or more, counted plainly."""
+    words = {i: {m for w in re.findall(r"\S+", t.lower()) if (m := re.fullmatch(r"[^\W\d_]*", w.strip("0123456789.,@!_%+-")) and w.strip("0123456789.,@!_%+-")) and len(m) >= 3} for i, t in texts}
+    mails = {i: set(re.findall(r"[a-z0-9._]+@[a-z0-9-]+(?:\.[a-z0-9-]+)+", t.lower())) for i, t in texts}
+    own, n, out = dict(texts), len(texts), set()
+    for mail in set().union(*mails.values()):
+        holders = [i for i in mails if mail in mails[i]]
+        information = -np.log(len(holders) / n)
+        if len({own[i] for i in holders}) < personal_data.LEAST_TEXTS:
+            continue
+        for term in set().union(*(words[i] for i in holders)):
+            both = [i for i in holders if term in words[i]]
+            given = np.log(len(both) / sum(term in w for w in words.values()))
+            if len({own[i] for i in both}) >= personal_data.LEAST_TEXTS and information > 0 and 1 + given / information >= personal_data.GENERALISED:
+                out |= {(i, term) for i in both}
+    return out
+
+
+def test_disclosure_equals_plain_counts_and_a_shared_phrase_is_no_copy(spark):
+    texts = [(i, f"{prose(25, 300 + i)} Quillfeather please write to jane.doe@example.org for more details {prose(20, 400 + i)}") for i in range(12)]
+    texts += [(20 + i, f"{prose(30, 500 + i)} Marlowe ask bob@example.com, {prose(10, 600 + i)}" if i % 3 else prose(40, 500 + i)) for i in range(30)]
+    texts += [(60 + i, prose(50, 700) + " Pemberton copy@example.net") for i in range(5)]
+    found = personal_data.personal_data(docs_of(spark, texts))
+    rows = found.select("doc_id", F.explode("term.value").alias("term")).collect()
+    assert {(r.doc_id, r.term.lower()) for r in rows} == plain_disclosing(texts)
+    assert {r.doc_id for r in rows if r.term == "Quillfeather"} == set(range(12)) and not any(r.doc_id >= 60 for r in rows)
+
+
 def test_personal_data_is_native_and_takes_odd_rows(spark):
     found = personal_data.personal_data(odd_docs(spark))
     assert found.count() == len(odd_texts()) and personal_data.personal_data(empty_docs(spark)).count() == 0
@@ -300,6 +357,27 @@ def test_components_of_chains(spark):
     assert {r.doc_id: r.class_id for r in near_duplicates.components(links).collect()} == {i: 0 for i in range(41)} | {100: 100, 101: 100}
 
 
+def test_rows_of_one_id_are_told_apart_by_their_texts(spark):
+    x, y = prose(200, 61), prose(200, 62)
+    docs = docs_of(spark, [(5, x), (5, y), (6, edited(x, 199, 1)), (None, edited(y, 199, 2)), (None, prose(90, 63)), (None, prose(90, 63)), (7, y)])
+    rows = near_duplicates.near_duplicates(docs).collect()
+    found = sorted(((r.doc_id is None, r.doc_id or 0), (r.class_id is None, r.class_id or 0), r.n_equal) for r in rows)
+    of = lambda i: (i is None, i or 0)
+    assert found == sorted([(of(5), of(5), 1), (of(5), of(5), 2), (of(6), of(5), 1), (of(None), of(5), 1), (of(None), of(None), 2), (of(None), of(None), 2), (of(7), of(5), 2)])
+    kept = near_duplicates.one_of_each(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id or 0, r.text) for r in kept.select("doc_id", "text").collect()) == sorted([(5, x), (5, y), (0, prose(90, 63))])
+
+
+def test_contaminated_rows_go_whatever_their_id(spark):
+    phrase = prose(15, 70)
+    docs = docs_of(spark, [(1, prose(20, 71) + " " + phrase), (1, prose(30, 72)), (None, phrase), (None, prose(30, 73)), (2, None), (2, None)])
+    bench = spark.createDataFrame([(None, phrase)], "item_id bigint, text string")
+    kept = decontamination.uncontaminated(docs, bench)
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id or 0, r.text or "") for r in kept.select("doc_id", "text").collect()) == sorted([(1, prose(30, 72)), (0, prose(30, 73)), (2, ""), (2, "")])
+
+
 def test_one_of_each_class_stays(spark):
     docs = docs_of(spark, [(3, prose(80, 1)), (1, prose(80, 1)), (1, prose(80, 1)), (2, prose(80, 2)), (4, None), (5, "")])
     assert sorted(r.doc_id for r in near_duplicates.one_of_each(docs).collect()) == [1, 2, 4, 5]

@@ -95,7 +95,7 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail
 
 
 def held_out(doc_id: str = "doc_id") -> F.Column:
-    return F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(4)) == 2
+    return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
 @query
@@ -116,10 +116,10 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = chunk_dedup.repeats(docs)
-    sizes = docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint").alias("n_bytes"))
+    sizes = docs.select(F.col("doc_id").alias("id"), chunk_dedup.row_key().alias("key"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint").alias("n_bytes"))
     cut = F.aggregate("removed", F.lit(0).cast("bigint"), lambda n, s: n + s["end"] - s["start"])
-    return sizes.join(found, "doc_id", "left").select(
-        "doc_id", "n_bytes", F.coalesce(cut, F.lit(0)).alias("n_removed"), F.coalesce("n_repeated", F.lit(0)).alias("n_repeated"),
+    return sizes.join(found, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("key") == F.col("row")), "left").select(
+        F.col("id").alias("doc_id"), "n_bytes", F.coalesce(cut, F.lit(0)).alias("n_removed"), F.coalesce("n_repeated", F.lit(0)).alias("n_repeated"),
         F.coalesce("n_repeated", F.lit(0)).__gt__(0).alias("has_repeat"), "removed", "partner_ids")
 
 

@@ -38,26 +38,36 @@ SECOND_PERSON = frozenset(
     "you your yours yourself u ur du dich dir dein deine deinen deiner euch euer sie ihr tu te toi ton ta tes vous votre vos "
     "tú ti tuyo tuya usted ustedes vosotros vuestro vuestra".split())
 _WORD = re.compile(r"[^\W\d_]+")
+#: Signs at the ends of a stretch without blanks that no masked word starts or ends with.
+_ENDS = ".,;:!?-*_()'\"…"
 _MASKED = re.compile(r"(?=\w*[^\W\d_])[^\W_]+(?:[0-9@$*!._\-][^\W_]+)+|[^\W\d_]+[0-9@$][^\W_]*")
 _UNMASK = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", ".": None, "-": None, "_": None, "*": None})
 
 
+def masked_words(low: str) -> list[str]:
+    """All matches of ``_MASKED``. They hold no blanks, and none lies in a stretch of letters only."""
+    stretches = (s.strip(_ENDS) for s in low.split() if not s.isalpha())
+    return [m for s in stretches if not s.isalpha() for m in _MASKED.findall(s)]
+
+
 def features(text: str, lexicon: dict[str, float]) -> list[float]:
     """The dense features of one text, in the order of ``FEATURES``."""
-    words = _WORD.findall(text.lower())
+    low = text.lower()
+    words = _WORD.findall(low)
     n = len(words)
     if not n:
         return [0.0] * len(FEATURES)
-    hits = [(i, lexicon[w]) for i, w in enumerate(words) if w in lexicon]
+    told = [(i, w) for i, w in enumerate(words) if w in lexicon or w in SECOND_PERSON]
+    hits = [(i, lexicon[w]) for i, w in told if w in lexicon]
     strong = [i for i, s in hits if s >= STRONG_LOG_ODDS]
-    you = [i for i, w in enumerate(words) if w in SECOND_PERSON]
+    you = [i for i, w in told if w in SECOND_PERSON]
     near = 0
     if strong and you:
         at = np.searchsorted(you, strong)
         places = np.array([-10**9, *you, 10**9])
         near = int((np.minimum(np.array(strong) - places[at], places[at + 1] - np.array(strong)) <= NEAR).sum())
-    masked = _MASKED.findall(text.lower())
-    letters = sum(map(len, words))
+    masked = masked_words(low)
+    letters = len("".join(words))
     plain = len(text) - text.count(" ") - letters
     raw = text.encode("utf-8", "surrogatepass")
     capitals = len(raw) - len(raw.translate(None, b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"))
@@ -131,7 +141,8 @@ def train_model(docs: DataFrame, labels: DataFrame, allowed: Column, doc_id: str
     own = docs.select(F.col(f"`{doc_id}`").cast("bigint").alias("labelled_id"), F.col(f"`{text}`").alias("text"))
     train = settle(own.join(F.broadcast(sample), "labelled_id").select("text", "toxic", "fold"))  # at most ``rows`` ids
     known = {r.toxic: r.n for r in train.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    lexicon = context.broadcast(learned_lexicon(train) if len(known) == 2 else {})
+    # the rows of the calibration are kept out of the lexicon too, or their features would flatter
+    lexicon = context.broadcast(learned_lexicon(train.where("fold > 0")) if len(known) == 2 else {})
     ready = settle(with_features(train, lexicon).select("features", F.col("toxic").cast("double").alias("toxic"), "fold").coalesce(8))
     parts = ready.where("fold > 0"), ready.where("fold = 0")
     if len(known) < 2 or any(part.select("toxic").distinct().count() < 2 for part in parts):

@@ -133,6 +133,12 @@ def test_toxicity_without_two_classes_is_constant(spark):
     assert {r.score for r in toxicity.train_model(docs, one, F.lit(True)).score(docs).collect()} == {1.0}
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="abzé019@$*!._- ,;()\n²½\u00a0", max_size=60))
+def test_masked_words_are_all_matches_of_the_pattern(text):
+    assert toxicity.masked_words(text) == toxicity._MASKED.findall(text)
+
+
 def test_features_see_obfuscation_and_nearness():
     near = dict(zip(toxicity.FEATURES, toxicity.features("You are an idiot, 1d10t and m.o.r.o.n!", {"idiot": 3.0, "moron": 3.0})))
     assert near["near_you"] > 0 and near["masked_hits"] == 2 and near["obfuscation"] > 0

@@ -5,16 +5,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.ml.classification import (
-    LogisticRegression,
-    LogisticRegressionModel,
-    RandomForestClassificationModel,
-    RandomForestClassifier,
-)
+from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import RandomForestRegressionModel, RandomForestRegressor
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
@@ -88,46 +83,73 @@ def kmeans_segments(scores: DataFrame, k: int = 4, restarts: int = RESTARTS) ->
     return clustered.select(*scores.columns, "cluster"), silhouette["silhouette_sq_euclidean"] if silhouette else float("nan")
 
 
-def logistic_category_on_price(products: DataFrame, category: str) -> LogisticRegressionModel | None:
+@dataclass(frozen=True)
+class LogisticFit:
+    """A logistic curve over one number."""
+
+    intercept: float
+    coefficients: tuple[float]
+
+    def log_odds(self, column: Column) -> Column:
+        return F.lit(self.intercept) + F.lit(self.coefficients[0]) * column
+
+    def probability(self, column: Column) -> Column:
+        return 1 / (1 + F.exp(-self.log_odds(column)))
+
+
+def logistic_category_on_price(products: DataFrame, category: str, steps: int = 50, tolerance: float = 1e-12) -> LogisticFit | None:
     """Logistic model of "is of this category" on the price; None when only one class is present.
 
-    The penalty is half the squared coefficient against the summed loss, the intercept is free. Spark averages the
-    loss over the rows, so the penalty is divided by their number.
+    The penalty is half the squared coefficient against the summed loss, the intercept is free. Rows are first counted by
+    (price, label); each Newton step is one aggregate of five sums over these counts. Prices are centred and scaled for the
+    steps. A step that raises the loss is halved; the fit ends when a step lowers it by less than ``tolerance`` of itself.
     """
-    labelled = _category_labels(products, category).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        n, positives = labelled.agg(F.count(F.lit(1)), F.sum("label")).first()
-        if not n or positives in (0, n):
-            return None
-        learner = LogisticRegression(regParam=1.0 / n, elasticNetParam=0.0, standardization=False, maxIter=1000, tol=1e-10)
-        return learner.fit(labelled)
-    finally:
-        labelled.unpersist()
+    labelled = _category_labels(products, category)
+    counts = settle(labelled.groupBy("price", "label").agg(F.count(F.lit(1)).cast("double").alias("n")))
+    price, n = F.col("price"), F.col("n")
+    rows, positives, mean = counts.agg(F.sum("n"), F.sum(n * F.col("label")), F.sum(n * price) / F.sum("n")).first()
+    if not rows or positives in (0, rows):
+        return None
+    spread = counts.agg(F.sum(n * (price - mean) * (price - mean)) / rows).first()[0]
+    scale = spread**0.5 or 1.0
+    penalty = 1.0 / scale**2
+    z = (price - mean) / scale
+    at, move, before = np.zeros(2), np.zeros(2), None
+    for _ in range(steps):
+        t = F.lit(float(at[0])) + F.lit(float(at[1])) * z
+        p = 1 / (1 + F.exp(-t))
+        off, curve = n * (p - F.col("label")), n * p * (1 - p)
+        loss = n * (F.greatest(t, F.lit(0.0)) - F.col("label") * t + F.log1p(F.exp(-F.abs(t))))
+        total, g0, g1, h00, h01, h11 = counts.agg(*map(F.sum, (loss, off, off * z, curve, curve * z, curve * z * z))).first()
+        total += penalty * at[1] ** 2 / 2
+        if before is not None and total > before * (1 + tolerance):
+            move /= 2
+            at = at - move
+            continue
+        if before is not None and before - total <= tolerance * before:
+            break
+        before = total
+        move = -np.linalg.solve([[h00, h01], [h01, h11 + penalty]], [g0, g1 + penalty * at[1]])
+        at = at + move
+    slope = float(at[1] / scale)
+    return LogisticFit(float(at[0] - slope * mean), (slope,))
 
 
 def _category_labels(products: DataFrame, category: str) -> DataFrame:
-    priced = products.where(F.col("price").isNotNull() & F.col("category").isNotNull()).select(
-        "product_id",
-        F.col("price").cast("double").alias("price"),
-        (F.col("category") == category).cast("double").alias("label"),
-    )
-    return _vectors(priced, ["price"])
+    return products.where(F.col("price").isNotNull() & F.col("category").isNotNull()).select(
+        F.col("price").cast("double").alias("price"), (F.col("category") == category).cast("double").alias("label"))
 
 
-def logistic_report(products: DataFrame, category: str, model: LogisticRegressionModel | None) -> DataFrame:
+def logistic_report(products: DataFrame, category: str, model: LogisticFit | None) -> DataFrame:
     """Accuracy on the data, coefficient and intercept; no row without a model."""
     if model is None:
         return products.sparkSession.createDataFrame([], "category string, accuracy double, coefficient double, intercept double")
-    scored = model.transform(_category_labels(products, category))
-    return scored.agg(F.avg((F.col("prediction") == F.col("label")).cast("double")).alias("accuracy")).select(
-        F.lit(category).alias("category"),
-        "accuracy",
-        F.lit(float(model.coefficients[0])).alias("coefficient"),
-        F.lit(float(model.intercept)).alias("intercept"),
-    )
+    right = (model.log_odds(F.col("price")) > 0).cast("double") == F.col("label")
+    return _category_labels(products, category).agg(F.avg(right.cast("double")).alias("accuracy")).select(
+        F.lit(category).alias("category"), "accuracy", F.lit(model.coefficients[0]).alias("coefficient"), F.lit(model.intercept).alias("intercept"))
 
 
-def logistic_curve(products: DataFrame, model: LogisticRegressionModel | None, points: int = 300) -> DataFrame:
+def logistic_curve(products: DataFrame, model: LogisticFit | None, points: int = 300) -> DataFrame:
     """The fitted probability on evenly spaced prices between the least and the largest; no row without a model."""
     if model is None:
         return products.sparkSession.createDataFrame([], "point int, price double, probability double")
@@ -136,8 +158,7 @@ def logistic_curve(products: DataFrame, model: LogisticRegressionModel | None, p
     grid = span.select(
         F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("point"), "low", "high"
     ).select("point", (F.col("low") + F.col("point") * (F.col("high") - F.col("low")) / (points - 1)).alias("price"))
-    scored = model.transform(_vectors(grid, ["price"]))
-    return scored.select("point", "price", vector_to_array("probability")[1].alias("probability"))
+    return grid.select("point", "price", model.probability(F.col("price")).alias("probability"))
 
 
 @dataclass(frozen=True)

@@ -15,7 +15,7 @@ from basketlens.fixed_values import (
 )
 from basketlens.functions import columns as C
 from basketlens.functions import stats
-from basketlens.operators import baskets, customers, features, lines, models, patterns, products, rfm, sales
+from basketlens.operators import baskets, customers, features, lines, models, patterns, products, rfm, sales, sketches
 from basketlens.plans.base_sql import BASE
 from basketlens.plans import kmeans_sql
 from basketlens.plans.views import Views
@@ -964,6 +964,25 @@ SELECT CAST(year(invoice_date) AS BIGINT) AS year, CAST(month(invoice_date) AS B
 FROM order_lines GROUP BY year(invoice_date), month(invoice_date)
 """
 
+@query("customers_by_sketch", """
+SELECT year, category, count(DISTINCT customer_id) AS customers, TRUE AS within_error
+FROM (SELECT CAST(extract(year FROM invoice_date) AS BIGINT) AS year, category, customer_id FROM order_lines WHERE category IS NOT NULL AND customer_id IS NOT NULL)
+GROUP BY GROUPING SETS ((year, category), ())
+""")
+def _customers_by_sketch(v: Views) -> DataFrame:
+    """The merged sketches of days against exact counts: within four standard errors (and one customer)."""
+    days = settle(sketches.customer_sketches(v.category_facts))
+    year = F.year("invoice_date").alias("year")
+    estimated = sketches.period_customers(days, year, "category")
+    exact = v.category_facts.where("invoice_date IS NOT NULL AND category IS NOT NULL AND customer_id IS NOT NULL").select(year, "category", "customer_id").distinct()
+    counted = exact.groupBy("year", "category").agg(F.count("*").alias("customers")).unionByName(
+        exact.agg(F.count_distinct("customer_id").alias("customers")).select(F.lit(None).cast("int").alias("year"), F.lit(None).cast("string").alias("category"), "customers"))
+    same = counted["year"].eqNullSafe(estimated["year"]) & counted["category"].eqNullSafe(estimated["category"])
+    bound = 1 + 4 * sketches.STANDARD_ERROR * F.col("customers")
+    return counted.join(estimated, same).select(
+        counted["year"], counted["category"], "customers", (F.abs(F.col("approx_customers") - F.col("customers")) <= bound).alias("within_error"))
+
+
 query("seasonal_patterns", _SEASON_SQL)(lambda v: patterns.seasonal_patterns(v.facts))
 
 query("seasonal_average", f"""
@@ -1099,8 +1118,28 @@ def _logistic(v: Views):
     return _fitted(v, "logistic", lambda: models.logistic_category_on_price(v.retail.products, CATEGORY))
 
 
-query("logistic_category_on_price")(lambda v: models.logistic_report(v.retail.products, CATEGORY, _logistic(v)))
-query("logistic_curve")(lambda v: models.logistic_curve(v.retail.products, _logistic(v)))
+_NEWTON = f"""WITH RECURSIVE moments AS (SELECT avg(CAST(price AS DOUBLE)) AS mean, stddev_pop(CAST(price AS DOUBLE)) AS scale FROM products),
+points AS MATERIALIZED (SELECT (CAST(price AS DOUBLE) - mean) / scale AS z, CASE WHEN category = '{CATEGORY}' THEN 1.0 ELSE 0.0 END AS y,
+  1 / (scale * scale) AS penalty, CAST(count(*) AS DOUBLE) AS n FROM products, moments GROUP BY ALL),
+steps AS (SELECT 0 AS step, CAST(0 AS DOUBLE) AS a, CAST(0 AS DOUBLE) AS b
+  UNION ALL
+  SELECT step + 1, a - (h11 * g0 - h01 * g1) / (h00 * h11 - h01 * h01), b - (h00 * g1 - h01 * g0) / (h00 * h11 - h01 * h01) FROM (
+    SELECT step, a, b, sum(n * (p - y)) AS g0, sum(n * (p - y) * z) + any_value(penalty) * b AS g1, sum(n * p * (1 - p)) AS h00,
+      sum(n * p * (1 - p) * z) AS h01, sum(n * p * (1 - p) * z * z) + any_value(penalty) AS h11
+    FROM (SELECT *, 1 / (1 + exp(-(a + b * z))) AS p FROM steps, points WHERE step < 30) GROUP BY step, a, b)),
+fit AS (SELECT b / scale AS coefficient, a - b * mean / scale AS intercept FROM steps, moments WHERE step = 30)"""
+
+query("logistic_category_on_price", f"""
+SELECT * FROM ({_NEWTON}
+  SELECT '{CATEGORY}' AS category, round(avg(CASE WHEN (intercept + coefficient * CAST(price AS DOUBLE) > 0) = (category = '{CATEGORY}') THEN 1.0 ELSE 0.0 END), 6) AS accuracy,
+    round(any_value(coefficient), 6) AS coefficient, round(any_value(intercept), 6) AS intercept FROM products, fit)
+""")(lambda v: rounded(models.logistic_report(v.retail.products, CATEGORY, _logistic(v)), 6, "accuracy", "coefficient", "intercept"))
+
+query("logistic_curve", f"""
+SELECT * FROM ({_NEWTON}, span AS (SELECT CAST(min(price) AS DOUBLE) AS low, CAST(max(price) AS DOUBLE) AS high FROM products),
+  grid AS (SELECT point, low + point * (high - low) / 299 AS price FROM span, (SELECT unnest(range(300)) AS point))
+  SELECT point, round(price, 6) AS price, round(1 / (1 + exp(-(intercept + coefficient * price))), 6) AS probability FROM grid, fit)
+""")(lambda v: rounded(models.logistic_curve(v.retail.products, _logistic(v)), 6, "price", "probability"))
 _PRICE_FIT = kmeans_sql.fitted(
     "SELECT product_id AS id, CAST(price AS DOUBLE) / (SELECT stddev_pop(CAST(price AS DOUBLE)) FROM products) AS x0 FROM products", 1, [3])
 _SEGMENT_FIT = kmeans_sql.fitted(kmeans_sql.SCALED_SCORES, 3, [4])

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 
 from basketlens.dataset import Retail
 from basketlens.functions import stats
-from basketlens.operators import baskets, customers, features, lines, models, patterns, products, rfm, sales
+from basketlens.operators import baskets, customers, features, lines, models, patterns, products, rfm, sales, sketches
 from basketlens.sources import files
 
 CLUSTERS = 4
@@ -203,9 +203,11 @@ def run_ltv(retail: Retail, segments: DataFrame, out: str, months: int = TARGET_
 
 
 def run_patterns(retail: Retail, segments: DataFrame, predictions: DataFrame, out: str) -> SalesPatterns:
-    """Category, segment, trend and basket analysis. The two fact tables are written once and shared by all reports."""
+    """Category, segment, trend and basket analysis. The two fact tables are written once and shared by all reports;
+    ``tables/customer_sketches`` answers for customers of any period without them."""
     facts = files.hand_off(lines.invoice_facts(retail), f"{out}/tables/invoice_facts")
     by_category = files.hand_off(lines.category_facts(retail), f"{out}/tables/category_facts")
+    files.hand_off(sketches.customer_sketches(by_category), f"{out}/tables/customer_sketches")
     performance = patterns.category_performance(by_category)
     preferences = patterns.top_categories_by_segment(by_category, segments)
     trends = patterns.monthly_trends(facts)

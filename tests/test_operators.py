@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from basketlens.dataset import Retail
-from basketlens.operators import baskets, customers, features, lines, patterns, products, rfm, sales
+from basketlens.operators import baskets, customers, features, lines, patterns, products, rfm, sales, sketches
 from tests import fixtures
 from tests.fixtures import one, rows, small_retail
 
@@ -306,3 +306,18 @@ def test_empty_dataset(spark):
     assert rfm.rfm(facts, empty.invoices).count() == 0
     assert patterns.monthly_trends(facts).count() == 0
     assert one(sales.sales_overview(empty))["orders"] == 0
+
+
+def test_sketches_of_days_merge_into_any_period(spark):
+    days = [dt.date(2023, 1, 1) + dt.timedelta(d) for d in range(30)]
+    rows = [(day, f"c{c}", k) for i, day in enumerate(days) for c in range(3) for k in range(i * 100, i * 100 + 400 * (c + 1))]
+    facts = spark.createDataFrame(rows + [(None, "c0", 1), (days[0], None, 2), (days[0], "c0", None)], "invoice_date date, category string, customer_id bigint")
+    table = sketches.customer_sketches(facts)
+    assert table.count() == 90
+    for first, last in ((0, 30), (5, 12), (29, 30)):
+        inside = table.where(F.col("invoice_date").between(days[first], days[last - 1]))
+        found = {r["category"]: r["approx_customers"] for r in sketches.period_customers(inside, "category").collect()}
+        for c in (0, 1, 2, None):
+            exact = len({k for day, name, k in rows if days[first] <= day <= days[last - 1] and name == (f"c{c}" if c is not None else name)})
+            assert abs(found[f"c{c}" if c is not None else None] - exact) <= 4 * sketches.STANDARD_ERROR * exact + 1
+    assert sketches.period_customers(table.limit(0), "category").where("category IS NOT NULL").count() == 0

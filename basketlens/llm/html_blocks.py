@@ -9,7 +9,10 @@ text unless a nested element says otherwise, and on pages laid out at random fro
 other layouts. Training runs on the driver and takes seconds; labelling runs in the tasks, batch by batch.
 
 Defined results: a null or empty page has no text. Markup that is cut off at the end of a page is dropped, text is kept.
-Pages of any length are read whole. Without a page to learn from, no block is main text. Equal rows give equal results.
+White space is what Unicode
+calls so, no-break spaces included. End tags that HTML lets a page leave out are implied; a quote that does not close ends with its tag.
+Pages of any length are read whole, deep ones in linear time.  Without a page to learn from, no block is main text. Equal rows give equal results;
+``text`` replaces a column of that name.
 """
 
 from __future__ import annotations
@@ -18,6 +21,7 @@ import html
 import random
 import re
 import zlib
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -34,13 +38,22 @@ PATH_DIM, WORD_DIM, DENSE_DIM, HIDDEN = 64, 16, 6, 16
 INPUT = PATH_DIM + WORD_DIM + DENSE_DIM
 EPOCHS, PAGES_A_STEP, RATE, SEED = 14, 24, 0.01, 7
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)", re.S)
+#: A quote counts after an equals sign only, and if it is closed; else the tag ends at the next bracket.
+_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*+(?:\"[^\"]*\"|'[^']*')|[^>])*+)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)", re.S)
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_SKIPPED = frozenset("head script style noscript template svg iframe object select textarea title".split())
+_SKIPPED = frozenset("head script style template svg iframe select textarea title".split())
+_FOREIGN = frozenset(("math", "svg"))
+#: Elements that the start of others closes, and the elements that an open one is looked for in.
+_CLOSES = {"li": ("li", "ul ol menu"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "option": ("option", "select datalist"), "optgroup": ("option optgroup", "select"),
+           "td": ("td th", "tr table"), "th": ("td th", "tr table"), "tr": ("tr", "table"), "tbody": ("thead tbody", "table"), "tfoot": ("thead tbody", "table")}
+_CLOSES = {name: (frozenset(closed.split()), frozenset(inside.split())) for name, (closed, inside) in _CLOSES.items()}
+_ENDS_P = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
+#: Steps of a path that a block keeps, the nearest ones: what the labeller is told, and a bound for deep pages.
+PATH_STEPS = 48
 _HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
-_RAW = frozenset(("script", "style", "textarea", "title"))
+_RAW = frozenset(("iframe", "script", "style", "textarea", "title"))
 
 
 @dataclass
@@ -56,31 +69,41 @@ def blocks(page: str) -> list[Block]:
     """Leaf blocks of a page in order. Text in skipped elements and markup goes, character references are decoded."""
     out: list[Block] = []
     stack: list[tuple[str, str]] = []
+    steps: list[str] = []  # of the stack, without inline elements
+    opened: Counter[str] = Counter()
     parts: list[str] = []
     linked = skipped = links = at = 0
 
     def flush() -> None:
         nonlocal linked
         if parts and (text := " ".join(html.unescape("".join(parts)).split())):
-            out.append(Block(text, tuple(step for _, step in stack if step), linked))
+            out.append(Block(text, tuple(steps[-PATH_STEPS:]), linked))
         parts.clear()
         linked = 0
 
-    def leave(name: str) -> None:
+    def leave(names: frozenset[str] | tuple[str, ...], inside: frozenset[str] = frozenset()) -> None:
+        """Closes the nearest open element of these names and all in it, if no element of ``inside`` stands before it."""
         nonlocal skipped, links
+        if not any(opened[name] for name in names):
+            return
         for i in range(len(stack) - 1, -1, -1):
-            if stack[i][0] == name:
-                for closed, _ in stack[i:]:
+            if stack[i][0] in names:
+                for closed, step in stack[i:]:
+                    opened[closed] -= 1
                     skipped -= closed in _SKIPPED
                     links -= closed == "a"
+                    if step:
+                        steps.pop()
                 del stack[i:]
                 return
+            if stack[i][0] in inside:
+                return
 
     while at < len(page):
         found = _TAG.search(page, at)
         piece = page[at: found.start()] if found else page[at:]
         if stack and stack[-1][0] == "head" and piece.strip():  # the end tag of a head may be left out
-            leave("head")
+            leave(("head",))
         if piece and not skipped:
             parts.append(piece)
             linked += len(piece) if links else 0
@@ -93,16 +116,21 @@ def blocks(page: str) -> list[Block]:
         if name not in _INLINE:
             flush()
         if found[1]:
-            leave(name)
+            leave((name,))
             continue
         if stack and stack[-1][0] == "head" and name not in _HEAD:
-            leave("head")
-        if name == "p":
-            leave("p") if any(n == "p" for n, _ in stack[-3:]) else None
-        if name in _VOID or found[3].endswith("/"):
+            leave(("head",))
+        if name in _ENDS_P and any(n == "p" for n, _ in stack[-3:]):
+            leave(("p",))
+        if name in _CLOSES:
+            leave(*_CLOSES[name])
+        if name in _VOID or found[3].endswith("/") and (name in _FOREIGN or any(opened[f] for f in _FOREIGN)):
             continue
         step = "" if name in _INLINE else " ".join([name, *_marks(found[3])])
         stack.append((name, step))
+        opened[name] += 1
+        if step:
+            steps.append(step)
         skipped += name in _SKIPPED
         links += name == "a"
         if name in _RAW:  # its content is no markup

@@ -5,20 +5,21 @@ a text is the ratio of its likelihoods under both. Adding Gumbel noise to the lo
 texts without replacement in proportion to their weights.
 
 Defined results: a null or empty text has no n-grams and log weight 0. Noise comes from the doc_id and the seed, so repeated
-rows tie and are told apart by an arbitrary but complete order; exactly ``floor(share * rows)`` rows are selected. Without
+rows and rows without a doc_id may tie and are told apart by numbers given to the stored rows, in no single task; exactly ``floor(share * rows)`` rows are selected. Without
 target rows both models are equal and the choice is uniform. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from basketlens.llm.common import map_arrow, mix64, texts
+from basketlens.llm.common import map_arrow, mix64, numbered, texts
 from basketlens.llm.shingles import hashed_words
 from basketlens.session import settle
 
@@ -126,35 +127,47 @@ def noisy(scored: DataFrame, seed: int = 0) -> DataFrame:
     return scored.withColumn("key", F.col("log_weight") - F.log(-F.log(u)))
 
 
-def top_k(scored: DataFrame, k: int, bins: int = 4096, enough: int = 10_000) -> DataFrame:
-    """``scored`` with ``selected``: whether ``key`` is among the k greatest.
-
-    Counts by bin narrow down where the k-th key lies until few rows (or equal keys) are left; only those are ranked.
-    ``scored`` should be a stored table, as it is read a few times.
-    """
-    low, high, n = scored.agg(F.min("key"), F.max("key"), F.count("*")).first()
-    if k >= n or not n:
-        return scored.withColumn("selected", F.lit(bool(n)))
-    above = 0  # rows with greater keys than ``high``
-    while True:
-        inside = F.col("key").between(low, high)
-        if high <= low or n <= enough:
-            break
+def _narrowed(rows: DataFrame, by: Column, k: int, bins: int, enough: int) -> tuple[float, float, int, int]:
+    """Bounds of ``by`` around its k-th greatest value, the rows to take between them, and the rows there: at most ``enough``,
+    or all equal. Counts by bin narrow the bounds down round by round; nothing is gathered."""
+    low, high, n = rows.agg(F.min(by), F.max(by), F.count("*")).first()
+    while high > low and n > enough:
         width = (high - low) / bins
-        at = F.least(F.floor((F.col("key") - low) / width), F.lit(bins - 1))
-        counts = scored.where(inside).groupBy(at.alias("bin")).agg(F.count("*").alias("n"), F.min("key").alias("low"), F.max("key").alias("high"))
+        at = F.least(F.floor((by - low) / width), F.lit(bins - 1))
+        counts = rows.where(by.between(low, high)).groupBy(at.alias("bin")).agg(F.count("*").alias("n"), F.min(by).alias("low"), F.max(by).alias("high"))
         for row in sorted(counts.collect(), key=lambda r: -r.bin):  # at most ``bins`` rows
-            if above + row.n >= k:
+            if k <= row.n:
                 break
-            above += row.n
+            k -= row.n
         if (row.low, row.high) == (low, high):
             break
         low, high, n = row.low, row.high, row.n
-    rank = F.row_number().over(Window.orderBy(F.desc("key"), "doc_id"))
-    near = scored.where(F.col("key").between(low, high)).withColumn("rank", rank)
-    ranked = near.withColumn("selected", F.col("rank") <= k - above).drop("rank")
-    rest = scored.where(~F.col("key").between(low, high)).withColumn("selected", F.col("key") > high)
-    return rest.unionByName(ranked)
+    return low, high, k, n
+
+
+def top_k(scored: DataFrame, k: int, bins: int = 4096, enough: int = 10_000) -> DataFrame:
+    """``scored`` with ``selected``: whether ``key`` is among the k greatest; equal keys go by ascending ``doc_id``, nulls first.
+
+    The bounds of the k-th key are narrowed until few rows are left, which are ranked. Of more rows that are equal in key, the
+    ids are narrowed the same way, and of more that are equal in both, numbers given to the stored rows.
+    ``scored`` should be a stored table, as it is read a few times.
+    """
+    n = scored.count()
+    if k >= n or k <= 0:
+        return scored.withColumn("selected", F.lit(k > 0 and n > 0))
+    rows, done, left = scored, [], k
+    tie = F.col("_tie").cast("double")
+    for by in (F.col("key"), -F.coalesce(F.col("doc_id").cast("double"), F.lit(-(2.0**63))), tie):
+        if by is tie:
+            rows = numbered(rows, "_tie")
+        low, high, left, n = _narrowed(rows, by, left, bins, enough)
+        done.append(rows.where(~by.between(low, high)).withColumn("selected", by > high).select(*scored.columns, "selected"))
+        rows = rows.where(by.between(low, high))
+        if n <= enough or left in (0, n):
+            break
+    ranked = rows.withColumn("_rank", F.row_number().over(Window.orderBy(F.desc("key"), "doc_id"))) if n <= enough else rows.withColumn("_rank", F.lit(0))
+    done.append(ranked.withColumn("selected", F.col("_rank") <= left).select(*scored.columns, "selected"))
+    return reduce(DataFrame.unionByName, done)
 
 
 def resample(docs: DataFrame, labels: DataFrame, share: float = SHARE, seed: int = 0, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 import pytest
 import sentencepiece
@@ -159,6 +160,33 @@ def test_blocks_decode_and_skip():
     assert found[0].linked == 4 and found[1].path == ("html", "body", "p x y")
 
 
+def test_loose_quotes_and_slashes_leave_no_markup():
+    of = lambda page: [b.text for b in html_blocks.blocks(page)]
+    assert of('<p title="x>Hello</p>') == ["Hello"]
+    assert of("<p class=a'b>World</p>") == ["World"] and of("<p don't>World</p>") == ["World"]
+    assert of("<p title='a>b' id=\"c>d\">World</p>") == ["World"] and of("<p a = 'x>y'>World</p>") == ["World"]
+    assert of('<div>a</div><script src="a.js"/>var x=1;</script><div>b</div>') == ["a", "b"]
+    assert of("<div/>one<p>two") == ["one", "two"] and of("<svg><path d='x'/><text>no</text></svg><p>yes") == ["yes"]
+    assert of("<object><p>instead</p></object><noscript>plain</noscript>") == ["instead", "plain"]
+    assert of("a&nbsp;b \n c") == ["a b c"]
+
+
+def test_end_tags_may_be_left_out():
+    of = lambda page: [(b.text, b.path) for b in html_blocks.blocks(page)]
+    assert of("<ul><li>a<li>b<ul><li>c</ul><li>d</ul>") == [("a", ("ul", "li")), ("b", ("ul", "li")), ("c", ("ul", "li", "ul", "li")), ("d", ("ul", "li"))]
+    assert of("<table><tr><td>a<td>b<tr><th>c</table>") == [("a", ("table", "tr", "td")), ("b", ("table", "tr", "td")), ("c", ("table", "tr", "th"))]
+    assert of("<dl><dt>a<dd>b<dt>c</dl>") == [("a", ("dl", "dt")), ("b", ("dl", "dd")), ("c", ("dl", "dt"))]
+    assert of("<div><p>a<div>b</div></div>") == [("a", ("div", "p")), ("b", ("div", "div"))]
+
+
+@pytest.mark.parametrize("piece", ["<li>x ", "<div>x ", "<b>x ", "<p>x", "x</i>", '<a href="', "<table><td>x"])
+def test_many_unclosed_elements_take_linear_time_and_memory(piece):
+    n = 30_000
+    begin = time.process_time()
+    found = html_blocks.blocks(piece * n)
+    assert time.process_time() - begin < 20 and sum(len(b.path) for b in found) <= html_blocks.PATH_STEPS * n
+
+
 def test_a_head_ends_without_its_end_tag():
     for start in ("<body>", "<body class='x'><div>", "<p>", "<a href='/'>", "", "<img src='i'>", "<svg><path/></svg>"):
         page = f"<html><head><meta charset='u'><title>no</title><style>no</style><noscript><img src='i'>no</noscript>\n{start}Text <p>More</p></html>"
@@ -227,6 +255,15 @@ def test_resampling_takes_odd_rows(spark):
     assert importance.resample(empty_docs(spark), labels).count() == 0
 
 
+def test_top_k_of_equal_keys_is_exact_and_ranks_few_rows(spark):
+    rows = [(i if i % 3 else None, 1.0) for i in range(900)] + [(5000, 1.0)] * 300 + [(6000 + i, 2.0) for i in range(7)] + [(7000 + i, 0.5) for i in range(50)]
+    scored = spark.createDataFrame(rows, "doc_id bigint, key double")
+    for k in (3, 7, 8, 100, 307, 500, 907, 1000, 1207, 1230):
+        chosen = [(r.key, r.doc_id) for r in importance.top_k(scored, k, bins=8, enough=5).where("selected").collect()]
+        ordered = sorted(rows, key=lambda r: (-r[1], r[0] is not None, r[0] or 0))
+        assert sorted(chosen, key=repr) == sorted([(key, i) for i, key in ordered[:k]], key=repr)
+
+
 def test_top_k_equals_sorting(spark):
     draw = random.Random(1)
     rows = [(i, float(draw.randrange(500))) for i in range(3000)]

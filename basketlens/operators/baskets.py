@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from basketlens.dataset import Retail
 from basketlens.functions import stats
 from basketlens.functions.columns import known, money, sorted_set_string
+from basketlens.operators.components import components
 from basketlens.operators.lines import priced_lines
 from basketlens.operators.sales import top_product_filter, top_products
-from basketlens.session import ensure_checkpoint_dir
 
 
 def positive_sizes(sizes: DataFrame) -> DataFrame:
@@ -90,46 +90,23 @@ def edge_labels(edges: DataFrame, min_weight: int = 5) -> DataFrame:
     return edges.where(F.col("weight") > min_weight)
 
 
-def _endpoints(edges: DataFrame) -> DataFrame:
-    return edges.select(F.explode(F.array("src", "dst")).alias("product_id")).distinct()
-
-
 def drop_isolates(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Nodes with at least one edge; an edge to itself counts."""
-    return nodes.join(_endpoints(edges), "product_id", "left_semi")
+    ends = edges.select(F.explode(F.array("src", "dst")).alias("product_id"))
+    return nodes.join(ends, "product_id", "left_semi")
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
-    """(product_id, component) with the least id of each component as its label.
-
-    Every round takes the least label among the neighbours and then the label of the label, until nothing changes.
-    Rounds are cut with checkpoints in the shared folder, so a lost executor costs one round at most.
-    """
-    ensure_checkpoint_dir(edges.sparkSession)
-    edges = edges.select("src", "dst").checkpoint()
-    links = edges.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    labels = _endpoints(edges).withColumn("component", F.col("product_id")).checkpoint()
-    while True:
-        neighbour = labels.select(F.col("product_id").alias("dst"), F.col("component").alias("near"))
-        nearest = links.join(neighbour, "dst").groupBy(F.col("src").alias("product_id")).agg(F.min("near").alias("near"))
-        stepped = labels.join(nearest, "product_id", "left").select(
-            "product_id", F.col("component").alias("before"), F.least("component", "near").alias("component")
-        )
-        parents = stepped.select(F.col("product_id").alias("component"), F.col("component").alias("parent"))
-        jumped = stepped.join(parents, "component").select(
-            "product_id", "before", F.least("component", "parent").alias("component")
-        ).checkpoint()
-        labels = jumped.select("product_id", "component")
-        if jumped.where(F.col("component") != F.col("before")).isEmpty():
-            return labels
+    """(product_id, component) with the least id of each component as its label."""
+    return components(edges).withColumnRenamed("node", "product_id")
 
 
 def largest_component(edges: DataFrame) -> DataFrame:
     """The nodes of the component with most nodes; of equal ones, that with the least label."""
-    components = connected_components(edges)
-    sizes = components.groupBy("component").agg(F.count(F.lit(1)).alias("component_size"))
+    members = connected_components(edges)
+    sizes = members.groupBy("component").agg(F.count(F.lit(1)).alias("component_size"))
     best = stats.top_n(sizes, 1, "component_size", "component")
-    return components.join(F.broadcast(best), "component")  # one row
+    return members.join(F.broadcast(best), "component")  # one row
 
 
 def copurchase_network(lines: DataFrame, top_n: int = 15, min_weight: int = 3) -> tuple[DataFrame, DataFrame]:

@@ -13,10 +13,11 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from basketlens.session import settle
@@ -28,12 +29,19 @@ DIGITS = 9
 AT_ONCE = 4096
 
 
+def drawn(points: DataFrame, most: int, restarts: int = RESTARTS, seed: int = SEED) -> DataFrame:
+    """The ``most`` points of least (hash, id) of each restart; of equal ids the least point comes first."""
+    def least(restart: int) -> DataFrame:
+        key = F.md5(F.concat_ws("|", F.lit(seed).cast("string"), F.lit(restart).cast("string"), F.col("id").cast("string")))
+        # the least of each task, then the least of those: no task sorts the points of a restart
+        return points.select("id", "x", F.lit(restart).alias("restart"), key.alias("key")).orderBy("key", "id", "x").limit(most)
+
+    return reduce(DataFrame.unionByName, map(least, range(restarts)))
+
+
 def starts(points: DataFrame, most: int, restarts: int = RESTARTS, seed: int = SEED) -> dict[int, np.ndarray]:
     """Up to ``most`` points in hash order for each restart. ``points`` has ``id`` and ``x``, an array of doubles."""
-    drawn = points.withColumn("restart", F.explode(F.sequence(F.lit(0), F.lit(restarts - 1))))
-    key = F.md5(F.concat_ws("|", F.lit(seed).cast("string"), F.col("restart").cast("string"), F.col("id").cast("string")))
-    place = F.row_number().over(Window.partitionBy("restart").orderBy(key, "id"))
-    rows = drawn.withColumn("place", place).where(F.col("place") <= most).orderBy("restart", "place").collect()  # restarts x most rows
+    rows = drawn(points, most, restarts, seed).orderBy("restart", "key", "id", "x").collect()  # restarts x most rows
     return {r: np.array([row.x for row in rows if row.restart == r], float) for r in {row.restart for row in rows}}
 
 
@@ -80,7 +88,7 @@ def _round(points: DataFrame, centres: dict[tuple[int, int], np.ndarray]) -> dic
             for a in range(0, len(every), AT_ONCE):
                 part = every[a: a + AT_ONCE]
                 for total, (_, c) in zip(sums, pairs):
-                    distance = ((part[:, None, :] - c[None, :, :]) ** 2).sum(2)
+                    distance = sum((part[:, i, None] - c[:, i]) ** 2 for i in range(width))
                     nearest = distance.round(DIGITS).argmin(1)
                     total[:, 0] += np.bincount(nearest, minlength=len(c))
                     total[:, 1] += np.bincount(nearest, distance[np.arange(len(part)), nearest], len(c))
@@ -133,4 +141,6 @@ def silhouettes(assigned: DataFrame) -> DataFrame:
 
 
 def settled_points(df: DataFrame, key: str, *columns: str) -> DataFrame:
-    return settle(df.select(F.col(key).alias("id"), F.array(*(F.col(c).cast("double") for c in columns)).alias("x")))
+    """The points, settled in a file per core: a few small files would leave every round to as few tasks."""
+    points = df.select(F.col(key).alias("id"), F.array(*(F.col(c).cast("double") for c in columns)).alias("x"))
+    return settle(points.repartition(df.sparkSession.sparkContext.defaultParallelism))

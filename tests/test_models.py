@@ -1,8 +1,10 @@
+import hashlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from basketlens.operators import models
+from basketlens.operators import kmeans, models
 from tests import fixtures
 from tests.fixtures import one
 
@@ -167,3 +169,19 @@ def test_silhouettes_equal_all_pairs(spark):
         b = min(distance[i][cluster == o].mean() for o in set(cluster) - {c})
         values.append(0 if own == 1 else (b - a) / max(a, b))
     assert kmeans.silhouettes(frame).first()["silhouette_sq_euclidean"] == pytest.approx(np.mean(values))
+
+
+def test_starts_take_the_least_of_each_task(spark):
+    rows = [(i % 50, [float(i)]) for i in range(200)]
+    points = spark.createDataFrame(rows, "id bigint, x array<double>")
+    text = kmeans.drawn(points, 3, 2)._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrderedAndProject" in text and "Window" not in text and "Exchange" not in text
+    hashes = {r: sorted((hashlib.md5(f"42|{r}|{i}".encode()).hexdigest(), i, x) for i, x in rows)[:3] for r in range(2)}
+    wanted = {r: [x for *_, x in least] for r, least in hashes.items()}
+    assert {r: x.tolist() for r, x in kmeans.starts(points, 3, 2).items()} == wanted
+    assert {r: x.tolist() for r, x in kmeans.starts(points.orderBy(F.desc("x")).coalesce(1), 3, 2).items()} == wanted
+
+
+def test_points_are_settled_over_all_cores(spark):
+    points = kmeans.settled_points(spark.range(0, 400, 1, 1).withColumn("v", F.col("id")), "id", "v")
+    assert points.count() == 400 and len(points.inputFiles()) == spark.sparkContext.defaultParallelism

@@ -227,7 +227,8 @@ def train_ltv_models(
     data = encode_label(encoder.transform(train)).select("customer_id", "features", "future_ltv", "label")
     data = data.repartition(partitions, "customer_id").sortWithinPartitions("customer_id")
     data = data.persist(StorageLevel.MEMORY_AND_DISK)
-    settings = dict(numTrees=trees, maxDepth=depth, seed=seed, maxBins=64, maxMemoryInMB=512)
+    # rows remember their node in every tree: walking down all trees again at every level costs more than the statistics
+    settings = dict(numTrees=trees, maxDepth=depth, seed=seed, maxBins=64, maxMemoryInMB=512, cacheNodeIds=True, checkpointInterval=-1)
     try:
         regressor = RandomForestRegressor(
             labelCol="future_ltv", predictionCol="predicted_ltv", featureSubsetStrategy="all", **settings
@@ -243,7 +244,9 @@ def train_ltv_models(
 
 def predict_customers(models: LtvModels, customers: DataFrame) -> DataFrame:
     """Predicted amount and class of every customer, with the actual ones beside them when the target is known."""
-    scored = models.classifier.transform(models.regressor.transform(models.encoder.transform(customers)))
+    # scoring costs far more than the rows' bytes tell, so they are dealt out instead of read as a few files
+    dealt = customers.repartition(customers.sparkSession.sparkContext.defaultParallelism)
+    scored = models.classifier.transform(models.regressor.transform(models.encoder.transform(dealt)))
     labelled = decode_label(scored, "_class", "predicted_value_class")
     columns = ["customer_id", "predicted_ltv", "predicted_value_class"]
     if "future_ltv" not in customers.columns:

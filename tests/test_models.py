@@ -185,3 +185,11 @@ def test_starts_take_the_least_of_each_task(spark):
 def test_points_are_settled_over_all_cores(spark):
     points = kmeans.settled_points(spark.range(0, 400, 1, 1).withColumn("v", F.col("id")), "id", "v")
     assert points.count() == 400 and len(points.inputFiles()) == spark.sparkContext.defaultParallelism
+
+
+def test_forests_remember_nodes_and_scoring_is_dealt_over_all_cores(spark):
+    frame = people(spark)
+    fitted = models.train_ltv_models(frame, trees=3, depth=3, partitions=4)
+    assert fitted.regressor.getCacheNodeIds() and fitted.classifier.getCacheNodeIds()
+    scored = models.predict_customers(fitted, frame.coalesce(1))
+    assert scored.count() == 300 and scored.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism

@@ -87,14 +87,16 @@ def customer_profiles(retail: Retail, target_months: int | None = None, as_of_mo
         return F.when(when, F.struct(F.lit(kind).alias("facet"), value.cast("string").alias("value")))
 
     sold = ~F.col("_whole") & F.col("_past")
-    kinds = F.array_compact(F.array(
-        facet("month", year_month(F.col("invoice_date")), F.col("_whole") & (F.col("_past") | F.col("_recent"))),
+    kinds = F.array(
+        facet("month", F.year("invoice_date") * 12 + F.month("invoice_date"), F.col("_whole") & (F.col("_past") | F.col("_recent"))),
         facet("mall", F.col("shopping_mall"), F.col("_whole") & F.col("_past") & known("shopping_mall")),
         facet("product", F.col("product_id"), sold & known("product_id")),
         facet("category", F.col("category"), sold & known("category")),
-    ))
+    )
     spent = F.when(F.col("facet") == "month", F.coalesce("_revenue", F.lit(0).cast("decimal(22,2)")))
-    facets = rows.withColumn("_kind", F.explode(kinds)).select("*", "_kind.*").groupBy("customer_id", "facet", "value").agg(
+    # built in a projection of its own: inside a generator the expressions would be interpreted row by row
+    facets = rows.withColumn("_kinds", kinds).withColumn("_kind", F.explode("_kinds")).where(
+        F.col("_kind").isNotNull()).select("*", "_kind.*").groupBy("customer_id", "facet", "value").agg(
         F.min(F.when(F.col("_past"), F.col("invoice_date"))).alias("_first"),
         F.max(F.when(F.col("_past"), F.col("invoice_date"))).alias("_last"),
         F.count_if("_past").alias("_invoices"),

@@ -137,3 +137,8 @@ def test_features_and_targets_read_the_lines_once(spark, sf):
     assert scans_when_run(features.customer_profiles(retail, 6), "l_orderkey") == 1
     assert scans_when_run(features.customer_profiles(retail, 6, as_of_months=6), "l_orderkey") == 1
     assert scans_when_run(features.scores_with_target(lines.invoice_facts(retail), retail.invoices), "l_orderkey") == 1
+
+
+def test_facets_are_built_before_they_are_exploded(spark, sf):
+    text = plan(features.customer_profiles(load_retail(spark, sf), 6))
+    assert "Generate explode(_kinds#" in text and "lambdafunction" not in text

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from basketlens.llm import chunk_dedup, decontamination, near_duplicates, personal_data, queries, suffix_dedup
+from basketlens.session import settle
 from tests.compare import compare, connect
 from tests.llm.data import docs_of, empty_docs, odd_docs, odd_texts, prose
 
@@ -58,6 +59,24 @@ def test_suffix_dedup_takes_odd_rows(spark):
     assert suffix_dedup.removed(empty_docs(spark)).count() == 0
 
 
+def test_suffix_dedup_sorts_and_compares_only_what_long_equal_stretches_leave_open(spark):
+    line, passage = prose(80, 900)[:250], prose(300, 901)
+    short = docs_of(spark, [(i, prose(90, i) + line + prose(90, 50 + i)) for i in range(12)])
+    found = settle(suffix_dedup.cores(short))
+    assert found.count() > 100 and suffix_dedup.shared_cores(found).count() == 0
+    # equal stretches but for one changed byte: their strings are compared once for all copies of a stretch, not for each copy
+    texts = [prose(20, 40 + i) + passage[:700] + passage[700:] + prose(20, 70 + i) for i in range(30)]
+    texts += [texts[0].replace(passage, passage[:700] + "#" + passage[701:])]
+    seen, made = [], suffix_dedup.marked_strings
+    suffix_dedup.marked_strings = lambda *a, **b: seen.append(settle(made(*a, **b))) or seen[-1]
+    try:
+        rows = suffix_dedup.removed(docs_of(spark, list(enumerate(texts)))).collect()
+    finally:
+        suffix_dedup.marked_strings = made
+    assert {r.doc_id: [(s.start, s.end) for s in r.removed_spans or []] for r in rows} == dict(enumerate(plain_repeats(texts, 400)))
+    assert 0 < sum(frame.count() for frame in seen) < 2 * len(texts[0])
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.text(alphabet="abc ", min_size=80, max_size=400))
 def test_anchors_depend_on_their_neighbourhood_only(text):

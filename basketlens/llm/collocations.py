@@ -8,8 +8,8 @@ k words starts. Places leave a gap between pieces, so that neighbours in place a
 2. group and count: pairs are counted in the block, then over all blocks by one shuffle of a row per block and pair;
 3. semi-join: the pairs that are frequent go back to their blocks, where only their places enter the relation of k + 1.
 
-Every relation is written before the next step reads it. A phrase is known by the two phrases of k words that it is made of,
-so shuffles carry numbers, never texts, but for the first length. As every part of a frequent phrase is frequent, counts of
+Every relation is written before the next step reads it, and removed when no step reads it any more; its shuffles go when it is
+written. A phrase is known by the two phrases of k words that it is made of, so shuffles carry numbers, never texts, but for the first length. As every part of a frequent phrase is frequent, counts of
 all its parts are at hand when phrases are scored.
 
 Hot words and phrases are counted inside a block first, so a group of the shuffle has at most a row per block.
@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from basketlens.llm.wordstream import byte_classes, numbered, split
-from basketlens.session import settle
+from basketlens.session import discard, settle_tidy
 
 LEAST, LONGEST, TOP = 100, 5, 2000
 #: Words of one block of a language (a longer text is a block of its own), and of all blocks that a task has open.
@@ -38,7 +38,8 @@ BLOCK_WORDS, OPEN_WORDS = 1 << 18, 1 << 20
 #: Words are divided by space and tab, pieces by `[.,;:!?\x0A-\x0D]`.
 CLASSES = byte_classes(b" \t", b".,;:!?\n\x0b\x0c\r")
 STREAM = "block bigint, lang string, words array<string>, times array<int>, stream array<int>, n bigint"
-RELATION = "block bigint, places array<int>, items array<int>, ids array<bigint>"
+#: Places are kept as steps from one to the next, which take less room than places.
+RELATION = "block bigint, steps array<int>, items array<int>, ids array<bigint>"
 
 
 def _schema(ddl: str) -> pa.Schema:
@@ -118,7 +119,7 @@ def _frequent(counted: DataFrame, keys: list[str], least: int) -> DataFrame:
     group = Window.partitionBy(*keys)
     rows = counted.repartition(*keys).withColumn("row", F.monotonically_increasing_id())
     rows = rows.withColumn("f", F.sum("n").over(group)).withColumn("id", F.min("row").over(group)).where(F.col("f") >= least)
-    return settle(rows.withColumn("named", F.col("row") == F.col("id")).drop("row", "n"))
+    return settle_tidy(rows.withColumn("named", F.col("row") == F.col("id")).drop("row", "n"))
 
 
 def _first_relation(streams: DataFrame, frequent: DataFrame) -> DataFrame:
@@ -146,11 +147,17 @@ def _relation(schema: pa.Schema, block: pa.Array, places: np.ndarray, items: np.
     beside = np.zeros(len(places) + 1, bool)
     beside[1:-1] = places[1:] == places[:-1] + 1
     kept = beside[1:] | beside[:-1]
-    return _rows(schema, block, _lists(places[kept].astype(np.int32)), _lists(items[kept].astype(np.int32)), _lists(ids))
+    return _rows(schema, block, _lists(np.diff(places[kept], prepend=0).astype(np.int32)), _lists(items[kept].astype(np.int32)), _lists(ids))
+
+
+def _unpacked(batch: pa.RecordBatch, row: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places, items and ids of a block of a relation."""
+    steps, items, ids = (np.asarray(batch.column(c)[row].values) for c in ("steps", "items", "ids"))
+    return np.cumsum(steps, dtype=np.int32), items, ids
 
 
 def _by_block(blocks: DataFrame, names: DataFrame, merge) -> DataFrame:
-    return settle(blocks.groupBy("block").cogroup(names.groupBy("block")).applyInArrow(merge, RELATION))
+    return settle_tidy(blocks.groupBy("block").cogroup(names.groupBy("block")).applyInArrow(merge, RELATION))
 
 
 def _joined(places: np.ndarray, items: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -166,7 +173,7 @@ def _counted_pairs(relation: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                places, items, ids = (np.asarray(batch.column(c)[row].values) for c in ("places", "items", "ids"))
+                places, items, ids = _unpacked(batch, row)
                 pairs = _joined(places, items, len(ids))[1]
                 if not len(pairs):
                     continue
@@ -188,7 +195,7 @@ def _next_relation(relation: DataFrame, frequent: DataFrame) -> DataFrame:
         for batch in blocks.to_batches():
             for row in range(batch.num_rows if len(ids) else 0):
                 # the ids of a block ascend, so a name's parts are found in them
-                places, items, own = (np.asarray(batch.column(c)[row].values) for c in ("places", "items", "ids"))
+                places, items, own = _unpacked(batch, row)
                 kept = np.searchsorted(own, left) * len(own) + np.searchsorted(own, right)
                 order = np.argsort(kept)
                 at, pairs = _joined(places, items, len(own))
@@ -207,24 +214,27 @@ def phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, text: s
     A phrase has ``k`` words, ``f`` occurrences, ``firsts`` and ``lasts`` (occurrences of its first and of its last 1, 2 ...
     words) and ``longer``, the most occurrences of a phrase that holds it and one word more (null: none that is frequent).
     """
-    streams = settle(word_streams(docs, text, lang, block_words))
-    totals = streams.groupBy("lang").agg(F.sum("n").alias("n"))
+    streams = settle_tidy(word_streams(docs, text, lang, block_words))
+    totals = settle_tidy(streams.groupBy("lang").agg(F.sum("n").alias("n")))
     frequent = _frequent(_unnested_words(streams), ["lang", "word"], least)
     relation = _first_relation(streams, frequent)
-    level = settle(frequent.where("named").select(
+    level = settle_tidy(frequent.where("named").select(
         "id", "lang", F.lit(1).alias("k"), "f", F.array("f").alias("firsts"), F.array("f").alias("lasts"), F.col("word").alias("phrase"),
         F.col("word").alias("last_word")))
+    discard(streams, frequent)
     every = None
     for k in range(2, longest + 1):
-        frequent = _frequent(_counted_pairs(relation), ["left", "right"], least)
+        frequent, shorter = _frequent(_counted_pairs(relation), ["left", "right"], least), relation
         if k < longest:
-            relation = _next_relation(relation, frequent)
+            relation = _next_relation(shorter, frequent)
+        discard(shorter)
         pairs = frequent.where("named").select("id", "left", "right", "f")
         left, right = level.alias("a"), level.alias("b")
-        made = settle(pairs.join(left, F.col("left") == F.col("a.id")).join(right, F.col("right") == F.col("b.id")).select(
+        made = settle_tidy(pairs.join(left, F.col("left") == F.col("a.id")).join(right, F.col("right") == F.col("b.id")).select(
             pairs["id"], F.col("a.lang").alias("lang"), F.lit(k).alias("k"), pairs["f"], F.concat("a.firsts", F.array(pairs["f"])).alias("firsts"),
             F.concat("b.lasts", F.array(pairs["f"])).alias("lasts"), F.concat_ws(" ", "a.phrase", "b.last_word").alias("phrase"),
             F.col("b.last_word").alias("last_word"), "left", "right"))
+        discard(frequent)
         holders = made.select(F.col("left").alias("id"), "f").unionAll(made.select(F.col("right").alias("id"), "f")).groupBy("id").agg(F.max("f").alias("longer"))
         done = level.join(holders, "id", "left").select("lang", "k", "phrase", "f", "firsts", "lasts", "longer")
         every = done if every is None else every.unionAll(done)

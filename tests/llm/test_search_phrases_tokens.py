@@ -11,8 +11,10 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from basketlens import session
 from basketlens.llm import byte_pieces, collocations, lexical_search, queries, token_files
 from basketlens.session import settle
 from tests.compare import compare, connect
@@ -138,6 +140,26 @@ def test_phrases_take_odd_rows(spark):
     assert mined(empty_docs(spark), 2, 10, 100) == set()
 
 
+def test_relations_are_removed_when_no_step_reads_them(spark):
+    frame = spark.createDataFrame([("en", "one two three four five six")] * 3, "lang string, text string")
+    folders = lambda: set(session._SETTLED.get(spark.sparkContext.applicationId, []))
+    before = folders()
+    found, totals = collocations.phrases(frame, least=2)
+    left = [spark.read.parquet(folder).columns for folder in folders() - before]
+    assert left and not [c for columns in left for c in columns if c in ("block", "places", "steps", "stream")]
+    assert {r.phrase for r in collocations.ranked(found, totals).collect()} == {"one two three four five", "two three four five six"}
+
+
+def test_tidy_tables_leave_no_shuffles(spark):
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    tracker, before = spark._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker(), spark.conf.get(key)
+    kept = tracker.shuffleStatuses().size()
+    rows = session.settle_tidy(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count())
+    assert tracker.shuffleStatuses().size() <= kept and spark.conf.get(key) == before
+    assert rows.count() == 7
+    session.discard(rows)
+
+
 # ------------------------------------------------------------------- token files
 
 

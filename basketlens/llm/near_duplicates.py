@@ -83,7 +83,7 @@ def document_frequencies(docs: DataFrame, text: str = "text", width: int = WIDTH
     parts = docs.select(F.col(f"`{text}`").alias("text")).mapInArrow(count, kind)
     parts = parts.repartition("segment", "salt").mapInArrow(add, kind).repartition("segment").mapInArrow(add, kind)
     sketch, total = np.zeros((DEPTH * BUCKETS // SEGMENT, SEGMENT), np.int64), 0
-    for row in parts.toLocalIterator():  # of fixed size: DEPTH * BUCKETS / SEGMENT rows
+    for row in parts.collect():  # of fixed size: DEPTH * BUCKETS / SEGMENT rows; one job, not one for each partition
         sketch[row.segment] += np.frombuffer(row.counts, np.int64)
         total += row.n
     return sketch.reshape(DEPTH, BUCKETS), total
@@ -299,7 +299,7 @@ def components(links: DataFrame) -> DataFrame:
 
     Each round takes the least label around and then the label of the label, and is written to the shared folder.
     """
-    edges = settle(links.select(F.col("a").alias("u"), F.col("b").alias("v")).union(links.select("b", "a")).distinct())
+    edges = settle(links.select(F.col("a").alias("u"), F.col("b").alias("v")).union(links.select("b", "a")))  # repeated links change no least label
     labels = settle(edges.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("label")))
     while True:
         around = edges.join(labels.withColumnRenamed("u", "v"), "v").groupBy("u").agg(F.min("label").alias("near"))

@@ -10,6 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from basketlens import session
 from basketlens.llm import chunk_dedup, decontamination, near_duplicates, personal_data, queries, suffix_dedup
 from basketlens.session import settle
 from tests.compare import compare, connect
@@ -371,6 +372,22 @@ def test_samples_agree_as_often_as_weighted_jaccard():
     assert abs((both[0] == both[1]).mean() - np.minimum(one, two).sum() / np.maximum(one, two).sum()) < 0.04
 
 
+def test_the_frequencies_are_one_job_whatever_the_partitions(spark):
+    docs = docs_of(spark, [(i, prose(30, i % 5)) for i in range(20)]).select("text")
+    context, before = spark.sparkContext, {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "24")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        context.setJobGroup("frequencies", "")
+        sketch, n = near_duplicates.document_frequencies(docs)
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert n == 20 and (sketch.sum(1) == 20 * 26).all()
+    assert len(context.statusTracker().getJobIdsForGroup("frequencies")) < 8
+
+
 def test_components_of_chains(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a bigint, b bigint")
     assert {r.doc_id: r.class_id for r in near_duplicates.components(links).collect()} == {i: 0 for i in range(41)} | {100: 100, 101: 100}

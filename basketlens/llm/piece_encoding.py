@@ -6,7 +6,8 @@ side gives these two again. Where no token fits, the place is marked in a bitfie
 token gives way to its next shorter match. Adjacent pairs that all survive re-merging are the encoding of the merges.
 
 No piece has the word mark after another character, so a text is cut into words there (checked when the model is loaded;
-else it is encoded in one stretch) and equal words are encoded once per worker.
+else it is encoded in one stretch), and where characters meet that no chain of pieces connects, as letters and punctuation. Equal
+words are encoded once per worker.
 
 Defined results: a null text is empty; an empty text has no ids and decodes to an empty text. Characters without a piece
 become byte pieces. Very long texts and very long words are encoded whole. Repeated rows give repeated results.
@@ -28,6 +29,9 @@ MARK = "▁"
 #: Entries of a worker's memo of encoded words; when full it becomes the older one, which is asked second. Checked token
 #: pairs are forgotten at as many. Longer words than MEMO_LETTERS are not remembered, which bounds the memo's bytes.
 MEMO, MEMO_LETTERS = 200_000, 48
+#: Letters up to which merges look for the best neighbours by scanning all of them, not by a queue.
+SCANNED = 40
+NO_PIECE = float("-inf")
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
 
@@ -92,15 +96,40 @@ class PieceEncoder:
             self.matches.add_word(piece, len(piece))
         self.matches.make_automaton()
         crossed = any(MARK in piece.lstrip(MARK) for piece in self.tokens_of_merges)
-        self.words = None if crossed else re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
+        joined = re.escape(self._joined_letters())
+        self.words = None if crossed else re.compile(f"{MARK}*[{joined}]+|{MARK}*[^{MARK}{joined}]+|{MARK}+" if joined else f"{MARK}*[^{MARK}]+|{MARK}+")
         self.decimal = [str(i) for i in range(len(pieces))]
         self.spaced = [piece.replace(MARK, " ") for piece in self.pieces]
-        self.memo: dict[str, tuple[int, str, str]] = {}
-        self.older: dict[str, tuple[int, str, str]] = {}
+        self.memo: dict[str, str | tuple[str, str]] = {}
+        self.older: dict[str, str | tuple[str, str]] = {}
         self.pairs: dict[tuple[str, str], bool] = {}
 
+    def _joined_letters(self) -> str:
+        """The most characters that neighbours in pieces connect: beside any other character they are never merged."""
+        group: dict[str, set[str]] = {}
+        for piece in self.ids:
+            for a, b in zip(piece, piece[1:]):
+                one, two = (group.setdefault(c, {c}) for c in (a, b))
+                if MARK not in (a, b) and one is not two:
+                    one, two = sorted((one, two), key=len)
+                    two |= one
+                    group.update(dict.fromkeys(one, two))
+        return "".join(sorted(max(group.values(), key=lambda g: (len(g), min(g)), default=())))
+
     def merge(self, text: str) -> list[str]:
         """The definition: join the neighbours of the highest score, leftmost first, until none is a piece."""
+        if len(text) <= SCANNED:
+            parts, score = list(text), self.score.get
+            scores = [score(a + b, NO_PIECE) for a, b in zip(parts, parts[1:])]
+            while scores and (best := max(scores)) > NO_PIECE:
+                i = scores.index(best)
+                parts[i: i + 2] = [parts[i] + parts[i + 1]]
+                del scores[i]
+                if i:
+                    scores[i - 1] = score(parts[i - 1] + parts[i], NO_PIECE)
+                if i < len(scores):
+                    scores[i] = score(parts[i] + parts[i + 1], NO_PIECE)
+            return parts
         symbols, left, right = list(text), list(range(-1, len(text) - 1)), [*range(1, len(text)), -1]
         queue: list[tuple[float, int, int, str]] = []
 
@@ -205,26 +234,35 @@ class PieceEncoder:
         flush()
         return "".join(out)
 
+    def _remembered(self, word: str) -> str | tuple[str, str]:
+        """The ids of a word in decimal, joined by commas; with the decoded text where that is not the word itself."""
+        row = self.memo.get(word) or self.older.get(word)
+        if row is None:
+            ids = self._encode_word(word)
+            row, back = ",".join([self.decimal[i] for i in ids]), self._decode_inner(ids)
+            if back != word.replace(MARK, " "):
+                row = row, back
+        if len(word) <= MEMO_LETTERS:
+            if len(self.memo) >= MEMO:
+                self.older, self.memo = self.memo, {}
+            self.memo[word] = row
+        return row
+
     def summary(self, text: str) -> tuple[int, str, str]:
         """Count of ids, the ids in decimal joined by commas, and the decoded text; equal words are worked out once."""
         if not text:
             return 0, "", ""
-        memo, rows = self.memo, []
-        for word in self._cuts(text):
-            row = memo.get(word)
-            if row is None:
-                row = self.older.get(word)
-                if row is None:
-                    ids = self._encode_word(word)
-                    row = len(ids), ",".join([self.decimal[i] for i in ids]), self._decode_inner(ids)
-                if len(word) <= MEMO_LETTERS:
-                    if len(memo) >= MEMO:
-                        self.older, self.memo = memo, (memo := {})
-                    memo[word] = row
-            rows.append(row)
-        counts, ids, texts = zip(*rows)
-        text = "".join(texts)
-        return sum(counts), ",".join(ids), text[1:] if self.prefix and text[:1] == " " else text
+        words = self._cuts(text)
+        rows = list(map(self.memo.get, words))
+        if None in rows:
+            rows = [self._remembered(word) if row is None else row for word, row in zip(words, rows)]
+        if tuple in set(map(type, rows)):
+            pairs = [row if isinstance(row, tuple) else (row, word.replace(MARK, " ")) for word, row in zip(words, rows)]
+            rows, back = [row for row, _ in pairs], "".join([part for _, part in pairs])
+        else:
+            back = "".join(words).replace(MARK, " ")
+        ids = ",".join(rows)
+        return ids.count(",") + 1, ids, back[1:] if self.prefix and back[:1] == " " else back
 
 
 def decode_bytes(data: bytes) -> str:

@@ -88,6 +88,39 @@ def test_long_words_and_texts(both):
         assert own.encode(text) == library.encode(text)
 
 
+def test_words_are_told_from_the_signs_around_them(both):
+    own = piece_encoding.PieceEncoder(piece_model())
+    own.summary("river stone")
+    calls, encode = [], own._encode_word
+    own._encode_word = lambda word: calls.append(word) or encode(word)
+    text = "river, (stone) river; stone!\nriver... 'river' stone\tstone"
+    assert own.summary(text)[1] == ",".join(map(str, both[1].encode(text)))
+    # of the words only those without the mark are new, whatever stands beside them, and each is encoded once
+    assert {"river", "stone"} == {w for w in calls if w.isalpha()} and len(calls) == len(set(calls))
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="thein▁ aou\u00e9", max_size=60))
+def test_scanned_merges_equal_those_of_the_queue(both, text):
+    own, _ = both
+    kept, piece_encoding.SCANNED = piece_encoding.SCANNED, -1
+    try:
+        queued = own.merge(text)
+    finally:
+        piece_encoding.SCANNED = kept
+    assert own.merge(text) == queued
+
+
+def test_words_that_decode_to_other_text_are_told_apart(both):
+    own, library = piece_encoding.PieceEncoder(piece_model()), both[1]
+    own.byte_ids = None  # characters without a piece become the unknown id, which decodes to other text
+    text = "a \U0001F9FF b \U0001F9FF"
+    for _ in range(2):
+        count, ids, back = own.summary(text)
+        assert list(map(int, ids.split(","))) == own.encode(text) and count == len(own.encode(text))
+        assert back == own.decode(own.encode(text)) != text
+
+
 def test_encoding_columns(spark, both):
     rows = piece_encoding.encode_digests(odd_docs(spark), piece_model()).collect()
     assert len(rows) == len(odd_texts()) and {r.n_tokens for r in rows if r.doc_id in (1, 2)} == {0}

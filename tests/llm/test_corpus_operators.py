@@ -60,6 +60,15 @@ def test_suffix_dedup_takes_odd_rows(spark):
     assert suffix_dedup.removed(empty_docs(spark)).count() == 0
 
 
+def test_suffix_dedup_holds_no_table_beside_the_shuffled_texts_that_no_step_reads(spark, monkeypatch):
+    lying, phrases = [], suffix_dedup.phrases
+    tables = lambda: len(session._SETTLED.get(spark.sparkContext.applicationId, []))
+    monkeypatch.setattr(suffix_dedup, "phrases", lambda *a: lying.append(tables()) or phrases(*a))
+    before, shared = tables(), prose(200, 70)
+    found = suffix_dedup.repeats(docs_of(spark, [(1, f"{prose(90, 71)} {shared}"), (2, f"{shared} {prose(90, 72)}")]))
+    assert lying == [before + 1] and found.count() == 2  # only the chosen anchors
+
+
 def test_suffix_dedup_sorts_and_compares_only_what_long_equal_stretches_leave_open(spark):
     line, passage = prose(80, 900)[:250], prose(300, 901)
     short = docs_of(spark, [(i, prose(90, i) + line + prose(90, 50 + i)) for i in range(12)])

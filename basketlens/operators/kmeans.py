@@ -2,7 +2,8 @@
 
 All (k, restart) pairs advance together: a round is one pass over the points, in which every task sums the points nearest to
 each centre of each pair, and one aggregate adds the sums up. The centres, a few hundred rows of numbers, are all that
-travels. Starts are the points with the least hash of (seed, restart, id), so a fit depends neither on partitions nor on
+travels. Rounds read the points in blocks of bytes: row by row, their way to numpy costs a task more than the
+distances do. Starts are the points with the least hash of (seed, restart, id), so a fit depends neither on partitions nor on
 retries. A pair rests when the squared moves of its centres sum to no more than ``TOLERANCE``, or after ``ROUNDS``.
 
 Defined results: a centre without points stays where it is; of centres whose distances agree to nine decimals the one of least number is nearest; with
@@ -11,7 +12,8 @@ fewer points than k all points are starts; of restarts whose costs agree to nine
 
 from __future__ import annotations
 
-import json
+import hashlib
+import math
 from collections.abc import Iterator, Sequence
 from functools import reduce
 
@@ -20,23 +22,63 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from basketlens.session import settle
+from basketlens.session import discard, settle
 
 SEED, RESTARTS, ROUNDS, TOLERANCE = 42, 10, 300, 1e-4
 #: Decimals in which distances and costs are compared, of data with about unit variance: ties are ties in any order of sums.
 DIGITS = 9
-#: Points whose distances a task works out at a time.
-AT_ONCE = 4096
+#: Points of a block at most: a task works out their distances at a time.
+AT_ONCE = 10_000
+#: Bytes of blocks that a task reads at a time.
+ROW_GROUP = 16 * 2**20
+
+
+def _least_of_tasks(points: DataFrame, most: int, restarts: int, seed: int) -> DataFrame:
+    """The ``most`` points of least (hash, id) of each restart in each task, all restarts in one pass over the points."""
+    kept = points.select("id", "x", F.lit(0).alias("restart"), F.lit("").alias("key"))
+
+    def rank(x: list[float | None] | None) -> list[tuple]:  # sorts arrays as Spark does: null first, NaN last
+        return [] if x is None else [(0, 0.0) if v is None else (2, 0.0) if math.isnan(v) else (1, v) for v in x]
+
+    def hashed(start: bytes, words: list[bytes | None]) -> list[bytes]:
+        # a point without an id is hashed without a word, as concat_ws leaves it out
+        bare, begun = (hashlib.md5(begin, usedforsecurity=False) for begin in (start, start + b"|"))
+        keys = []
+        for word in words:
+            key = bare if word is None else begun.copy()
+            if word:
+                key.update(word)
+            keys.append(key.digest())
+        return keys
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        least: list[list[tuple]] = [[] for _ in range(restarts)]
+        schema = None
+        for batch in batches:
+            schema = batch.schema
+            words = [None if word is None else word.encode() for word in batch.column("word").to_pylist()]
+            for restart, old in enumerate(least):
+                keys = hashed(f"{seed}|{restart}".encode(), words)
+                bound = old[-1][0] if len(old) == most else sorted(keys)[most - 1] if len(keys) >= most else b"\xff" * 16
+                at = [i for i, key in enumerate(keys) if key <= bound]
+                if at:
+                    rows = batch.take(pa.array(at))
+                    old += [(keys[i], rank(x), rows.slice(j, 1)) for j, (i, x) in enumerate(zip(at, rows.column("x").to_pylist()))]
+                    old.sort(key=lambda row: row[:2])
+                    del old[most:]
+        for restart, rows in enumerate(least):
+            for key, _, row in rows:
+                columns = [row.column("id"), row.column("x"), pa.array([restart], pa.int32()), pa.array([key.hex()])]
+                yield pa.RecordBatch.from_arrays(columns, schema=pa.schema([schema.field("id"), schema.field("x"), ("restart", pa.int32()), ("key", pa.string())]))
+
+    return points.select("id", "x", F.col("id").cast("string").alias("word")).mapInArrow(run, kept.schema)
 
 
 def drawn(points: DataFrame, most: int, restarts: int = RESTARTS, seed: int = SEED) -> DataFrame:
     """The ``most`` points of least (hash, id) of each restart; of equal ids the least point comes first."""
-    def least(restart: int) -> DataFrame:
-        key = F.md5(F.concat_ws("|", F.lit(seed).cast("string"), F.lit(restart).cast("string"), F.col("id").cast("string")))
-        # the least of each task, then the least of those: no task sorts the points of a restart
-        return points.select("id", "x", F.lit(restart).alias("restart"), key.alias("key")).orderBy("key", "id", "x").limit(most)
-
-    return reduce(DataFrame.unionByName, map(least, range(restarts)))
+    # the least of each task, then the least of those: no task sorts the points of a restart
+    few = settle(_least_of_tasks(points, most, restarts, seed))
+    return reduce(DataFrame.unionByName, (few.where(F.col("restart") == r).orderBy("key", "id", "x").limit(most) for r in range(restarts)))
 
 
 def starts(points: DataFrame, most: int, restarts: int = RESTARTS, seed: int = SEED) -> dict[int, np.ndarray]:
@@ -48,15 +90,18 @@ def starts(points: DataFrame, most: int, restarts: int = RESTARTS, seed: int = S
 def fit(points: DataFrame, ks: Sequence[int], restarts: int = RESTARTS, seed: int = SEED) -> dict[int, tuple[np.ndarray, float]]:
     """The cheapest centres of each k, and their cost (squared distances of all points to their centres).
 
-    ``points`` is read once a round and should be settled.
+    ``points`` is read twice and should be settled; the rounds read blocks of its numbers.
     """
     first = starts(points, max(ks), restarts, seed)
+    if not first:
+        return {}
+    blocks = settle(_blocks(points, next(iter(first.values())).shape[1]), **{"parquet.block.size": str(ROW_GROUP)})
     centres = {(k, r): picks[:k] for k in ks for r, picks in sorted(first.items())}
     active = dict(centres)
     for _ in range(ROUNDS):
         if not active:
             break
-        sums = _round(points, active)
+        sums = _round(blocks, active)
         moved = {}
         for pair, old in active.items():
             new = old.copy()
@@ -66,40 +111,57 @@ def fit(points: DataFrame, ks: Sequence[int], restarts: int = RESTARTS, seed: in
             if ((new - old) ** 2).sum() > TOLERANCE:
                 moved[pair] = new
         active = moved
-    costs = {pair: sum(cost for *_, cost in found.values()) for pair, found in _round(points, centres).items()}
-    best = {k: min((pair for pair in costs if pair[0] == k), key=lambda pair: (round(costs[pair], DIGITS), pair[1])) for k in ks if first}
+    costs = {pair: sum(cost for *_, cost in found.values()) for pair, found in _round(blocks, centres, last=True).items()}
+    discard(blocks)
+    best = {k: min((pair for pair in costs if pair[0] == k), key=lambda pair: (round(costs[pair], DIGITS), pair[1])) for k in ks}
     return {k: (centres[pair], costs[pair]) for k, pair in best.items()}
 
 
-def _round(points: DataFrame, centres: dict[tuple[int, int], np.ndarray]) -> dict[tuple[int, int], dict[int, tuple]]:
-    """For each centre of each pair: its points, the sum of them and of their squared distances."""
-    if not centres:
-        return {}
+def _blocks(points: DataFrame, width: int) -> DataFrame:
+    """The numbers of up to ``AT_ONCE`` points in a row, coordinate by coordinate; null is NaN."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            every = np.asarray(batch.column(0).flatten(), float).reshape(-1, width)
+            for a in range(0, len(every), AT_ONCE):
+                yield pa.RecordBatch.from_arrays([pa.array([every[a: a + AT_ONCE].T.tobytes()], pa.binary())], ["block"])
+
+    return points.select("x").mapInArrow(run, "block binary")
+
+
+def _round(blocks: DataFrame, centres: dict[tuple[int, int], np.ndarray], last: bool = False) -> dict[tuple[int, int], dict[int, tuple]]:
+    """For each centre of each pair: its points, the sum of them and (only the ``last`` time, else 0) of their squared distances."""
     pairs = list(centres.items())
     width = pairs[0][1].shape[1]
     names = [f"s{i}" for i in range(width)]
     ddl = "pair int, centre int, n bigint, cost double, " + ", ".join(f"{name} double" for name in names)
 
+    def nearest_rows(distance: np.ndarray) -> np.ndarray:
+        rounded = distance.round(DIGITS)
+        least, number = rounded[0].copy(), np.zeros(distance.shape[1], np.intp)
+        for c, row in enumerate(rounded[1:], 1):
+            number[row < least] = c
+            np.minimum(least, row, out=least)
+        return rounded.argmin(0) if np.isnan(least.sum()) else number  # argmin takes the first NaN, at several times the time
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = [np.zeros((len(c), width + 2)) for _, c in pairs]
         for batch in batches:
-            x = batch.column(0)
-            every = np.asarray(x.flatten(), float).reshape(-1, width)
-            for a in range(0, len(every), AT_ONCE):
-                part = every[a: a + AT_ONCE]
+            for block in batch.column(0):
+                x = np.frombuffer(block.as_buffer(), float).reshape(width, -1)
                 for total, (_, c) in zip(sums, pairs):
-                    distance = sum((part[:, i, None] - c[:, i]) ** 2 for i in range(width))
-                    nearest = distance.round(DIGITS).argmin(1)
+                    distance = sum((x[i] - c[:, i, None]) ** 2 for i in range(width))
+                    nearest = nearest_rows(distance)
                     total[:, 0] += np.bincount(nearest, minlength=len(c))
-                    total[:, 1] += np.bincount(nearest, distance[np.arange(len(part)), nearest], len(c))
+                    if last:
+                        total[:, 1] += np.bincount(nearest, distance[nearest, np.arange(len(nearest))], len(c))
                     for i in range(width):
-                        total[:, 2 + i] += np.bincount(nearest, part[:, i], len(c))
+                        total[:, 2 + i] += np.bincount(nearest, x[i], len(c))
         rows = [(p, c, int(row[0]), *row[1:].tolist()) for p, total in enumerate(sums) for c, row in enumerate(total) if row[0]]
         if rows:
             yield pa.RecordBatch.from_pylist([dict(zip(("pair", "centre", "n", "cost", *names), row)) for row in rows], schema=pa.schema(
                 [("pair", pa.int32()), ("centre", pa.int32()), ("n", pa.int64())] + [(c, pa.float64()) for c in ("cost", *names)]))
 
-    added = points.select("x").mapInArrow(run, ddl).groupBy("pair", "centre").agg(*(F.sum(c).alias(c) for c in ("n", "cost", *names)))
+    added = blocks.mapInArrow(run, ddl).groupBy("pair", "centre").agg(*(F.sum(c).alias(c) for c in ("n", "cost", *names)))
     out: dict[tuple[int, int], dict[int, tuple]] = {}
     for row in added.collect():  # a row per centre
         out.setdefault(pairs[row.pair][0], {})[row.centre] = row.n, np.array([row[name] for name in names]), row.cost
@@ -108,13 +170,12 @@ def _round(points: DataFrame, centres: dict[tuple[int, int], np.ndarray]) -> dic
 
 def nearest(x: Column, centres: np.ndarray) -> Column:
     """The number of the nearest centre, the least of several."""
-    table = F.from_json(F.lit(json.dumps(centres.tolist())), "array<array<double>>")  # a constant, whatever the number of centres
-
-    def marked(c: Column, i: Column) -> Column:
-        squares = F.zip_with(x, c, lambda a, b: (a - b) * (a - b))
-        return F.struct(F.round(F.aggregate(squares, F.lit(0.0), lambda total, d: total + d), DIGITS).alias("d"), i.alias("c"))
+    def marked(number: int, centre: list[float]) -> Column:
+        squares = ((x[i] - v) * (x[i] - v) for i, v in enumerate(centre))
+        return F.struct(F.round(sum(squares, F.lit(0.0)), DIGITS).alias("d"), F.lit(number).alias("c"))
 
-    return F.array_min(F.transform(table, marked))["c"]
+    # written out, so that it is compiled; functions over arrays are not
+    return F.array_min(F.array(*(marked(i, centre) for i, centre in enumerate(centres.tolist()))))["c"]
 
 
 def silhouettes(assigned: DataFrame) -> DataFrame:

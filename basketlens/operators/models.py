@@ -74,7 +74,7 @@ def kmeans_segments(scores: DataFrame, k: int = 4, restarts: int = RESTARTS) ->
     scaled = settle(with_scaled_rfm(scores))
     points = kmeans.settled_points(scaled, "customer_id", *SCALED)
     centres, _ = kmeans.fit(points, [k], restarts).get(k, (np.zeros((1, len(SCALED))), 0.0))
-    fitted = scaled.withColumn("x", F.array(*SCALED)).withColumn("_fit", kmeans.nearest(F.col("x"), centres))
+    fitted = settle(scaled.withColumn("x", F.array(*SCALED)).withColumn("_fit", kmeans.nearest(F.col("x"), centres)))  # read three times
     means = fitted.groupBy("_fit").agg(F.avg("monetary").alias("m"))
     order = [row["_fit"] for row in means.orderBy("m", "_fit").collect()] or [0]  # k rows
     ranks = _int_map({number: rank for rank, number in enumerate(order)})

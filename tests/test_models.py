@@ -182,6 +182,48 @@ def test_starts_take_the_least_of_each_task(spark):
     assert {r: x.tolist() for r, x in kmeans.starts(points.orderBy(F.desc("x")).coalesce(1), 3, 2).items()} == wanted
 
 
+def test_starts_read_the_points_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    points = spark.createDataFrame([(i, [float(i)]) for i in range(200)], "id bigint, x array<double>").mapInArrow(counted, "id bigint, x array<double>")
+    assert len(kmeans.starts(points, 3, 4)) == 4 and read.value == 200
+
+
+def test_starts_of_missing_and_repeated_ids(spark):
+    rows = [(None, [3.0, 1.0]), (None, [None, 1.0]), (None, [3.0, 0.0]), (None, [float("nan"), 0.0])] + [(f"p{i % 3}", [float(i % 5), float(i)]) for i in range(30)]
+    points = spark.createDataFrame(rows, "id string, x array<double>")
+    for most in (1, 3, 8, 40):
+        for restart in range(6):
+            key = F.md5(F.concat_ws("|", F.lit("42"), F.lit(str(restart)), "id"))
+            wanted = [r["x"] for r in points.orderBy(key, "id", "x").limit(most).collect()]
+            found = kmeans.drawn(points.repartition(3), most, 6).where(F.col("restart") == restart).orderBy("key", "id", "x").collect()
+            assert str([r["x"] for r in found]) == str(wanted)
+
+
+def test_rounds_read_blocks_of_points(spark):
+    from basketlens.session import settle
+
+    points = settle(spark.range(0, 25_000, 1, 2).select("id", F.array(F.col("id") % 7, F.when(F.col("id") > 2, 1.0)).cast("array<double>").alias("x")))
+    blocks = kmeans._blocks(points, 2)
+    found = [np.frombuffer(r["block"], float).reshape(2, -1) for r in blocks.collect()]
+    assert max(b.shape[1] for b in found) <= kmeans.AT_ONCE and len(found) < 10
+    every = np.hstack(found)
+    assert every.shape == (2, 25_000) and every[0].sum() == sum(i % 7 for i in range(25_000)) and np.isnan(every[1]).sum() == 3
+    centres = {(2, 0): np.array([[0.0, 1.0], [5.0, 1.0]])}
+    plain = every[:, ~np.isnan(every[1])]
+    sums = kmeans._round(kmeans._blocks(points.where("id > 2"), 2), centres, last=True)[2, 0]
+    distance = ((plain[:, None] - centres[2, 0].T[:, :, None]) ** 2).sum(0)
+    for c in range(2):
+        own = distance.argmin(0) == c
+        n, total, cost = sums[c]
+        assert n == own.sum() and total == pytest.approx(plain[:, own].sum(1)) and cost == pytest.approx(distance[c, own].sum())
+
+
 def test_points_are_settled_over_all_cores(spark):
     points = kmeans.settled_points(spark.range(0, 400, 1, 1).withColumn("v", F.col("id")), "id", "v")
     assert points.count() == 400 and len(points.inputFiles()) == spark.sparkContext.defaultParallelism

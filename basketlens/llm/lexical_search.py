@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from basketlens.llm.wordstream import byte_classes, numbered, split
+from basketlens.llm.wordstream import byte_classes, numbered, packed, split, unpacked, unpacked_numbers
 from basketlens.session import settle
 
 TOP = 50
@@ -39,8 +39,8 @@ BLOCK_TERMS = 1 << 20
 PART_BYTES = 16 << 20
 
 CLASSES = byte_classes(bytes(b for b in range(128) if not (48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122)))
-INDEX = ("doc_ids array<bigint>, n_terms array<int>, terms array<string>, starts array<int>, places array<int>, times array<int>,"
-         " n_docs bigint, n_words bigint")
+#: Lists are packed cells (:func:`wordstream.packed`).
+INDEX = "doc_ids binary, n_terms binary, terms binary, starts binary, places binary, times binary, n_docs bigint, n_words bigint"
 
 
 def _schema(ddl: str) -> pa.Schema:
@@ -50,13 +50,11 @@ def _schema(ddl: str) -> pa.Schema:
     return to_arrow_schema(_parse_datatype_string(ddl))
 
 
-def _lists(values: np.ndarray | pa.Array) -> pa.Array:
-    """One list cell."""
-    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values if isinstance(values, pa.Array) else pa.array(values))
-
-
 def build_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", block_terms: int = BLOCK_TERMS) -> DataFrame:
-    """Postings of all terms, a row per block: for each term its documents' places in the block and its times in them."""
+    """Postings of all terms, a row per block: for each term its documents' places in the block and its times in them.
+
+    Rows are large; settle them with ``LARGE_ROWS``.
+    """
     source = docs.select(F.col(f"`{doc_id}`").cast("bigint").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     schema = _schema(INDEX)
 
@@ -87,9 +85,8 @@ def _block(schema: pa.Schema, ids: list[pa.Array], counts: list[np.ndarray], val
     first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
     postings = keys[first]
     starts = np.searchsorted(postings, np.arange(len(terms) + 1) * len(lengths)).astype(np.int32)
-    cells = [_lists(pa.concat_arrays(ids)), _lists(lengths.astype(np.int32)), _lists(terms), _lists(starts),
-             _lists((postings % len(lengths)).astype(np.int32)), _lists(np.diff(np.append(first, len(keys))).astype(np.int32)),
-             pa.array([len(lengths)]), pa.array([len(keys)])]
+    lists = pa.concat_arrays(ids), lengths, terms, starts, postings % len(lengths), np.diff(np.append(first, len(keys)))
+    cells = [*map(packed, lists), pa.array([len(lengths)]), pa.array([len(keys)])]
     return pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(cells, schema)], schema=schema)
 
 
@@ -119,8 +116,8 @@ def _frequencies(index: DataFrame, terms) -> DataFrame:
         df = np.zeros(len(asked), np.int64)
         for batch in batches:
             for row in range(batch.num_rows):
-                starts = np.asarray(batch.column("starts")[row].values)
-                at = asked_places(batch.column("terms")[row].values, asked)
+                starts = unpacked_numbers(batch, "starts", row)
+                at = asked_places(unpacked(batch, "terms", row), asked)
                 known = np.flatnonzero(at >= 0)
                 df[known] += starts[at[known] + 1] - starts[at[known]]
         held = np.flatnonzero(df)
@@ -223,14 +220,13 @@ class Block:
     """One index block, ready for queries; impacts of a term are worked out when it is first asked for."""
 
     def __init__(self, batch: pa.RecordBatch, row: int, asked: pa.Array, weights: np.ndarray, n_docs: int, n_words: int) -> None:
-        cell = lambda name: batch.column(name)[row].values
-        ids = cell("doc_ids")
+        ids = unpacked(batch, "doc_ids", row)
         self.known = ids.is_valid().to_numpy(zero_copy_only=False)
         self.ids = ids.fill_null(0).to_numpy(zero_copy_only=False)
         # plain integers: the product may pass 64 bits
-        self.m = np.array([50 + 50 * n * n_docs // n_words for n in cell("n_terms").to_pylist()], np.int64)
-        self.starts, self.places, self.times = (np.asarray(cell(c)) for c in ("starts", "places", "times"))
-        self.at = asked_places(cell("terms"), asked)
+        self.m = np.array([50 + 50 * n * n_docs // n_words for n in unpacked(batch, "n_terms", row).to_pylist()], np.int64)
+        self.starts, self.places, self.times = (unpacked_numbers(batch, c, row) for c in ("starts", "places", "times"))
+        self.at = asked_places(unpacked(batch, "terms", row), asked)
         self.weights = weights
         self.impacts: dict[int, tuple[np.ndarray, np.ndarray, int]] = {}
 

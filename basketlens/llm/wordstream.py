@@ -1,4 +1,4 @@
-"""Words of many texts at once: byte classes and offsets in numpy, distinct words by Arrow's dictionaries."""
+"""Words of many texts at once: byte classes and offsets in numpy, distinct words by Arrow's dictionaries; lists as one cell."""
 
 from __future__ import annotations
 
@@ -87,3 +87,28 @@ def numbered(values: list[pa.Array]) -> tuple[np.ndarray, pa.Array]:
         return np.zeros(0, np.int32), pa.array([], pa.string())
     coded = pa.chunked_array(values).combine_chunks().dictionary_encode()
     return np.asarray(coded.indices), coded.dictionary
+
+
+def packed(values: np.ndarray | pa.Array) -> pa.Array:
+    """A list as one binary cell: an Arrow stream, compressed, whole numbers in as few bytes as the largest needs.
+
+    Spark passes such a cell on as bytes. A list cell of numbers it takes apart into vectors of values and levels wherever
+    the table is read, for all rows of a row group at once.
+    """
+    if isinstance(values, np.ndarray):
+        least = np.result_type(np.min_scalar_type(values.min(initial=0)), np.min_scalar_type(values.max(initial=0)))
+        values = pa.array(values.astype(least if least.kind in "iu" else values.dtype))
+    batch = pa.RecordBatch.from_arrays([values], names=["values"])
+    cell = pa.BufferOutputStream()
+    with pa.ipc.new_stream(cell, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
+        stream.write_batch(batch)
+    return pa.array([cell.getvalue().to_pybytes()], pa.binary())
+
+
+def unpacked(batch: pa.RecordBatch, column: str, row: int) -> pa.Array:
+    """The list in a cell of :func:`packed`."""
+    return pa.ipc.open_stream(batch.column(column)[row].as_buffer()).read_next_batch().column(0)
+
+
+def unpacked_numbers(batch: pa.RecordBatch, column: str, row: int, kind: type = np.int32) -> np.ndarray:
+    return unpacked(batch, column, row).to_numpy(zero_copy_only=False).astype(kind, copy=False)

@@ -1,5 +1,6 @@
 """Ranked search, collocations and token files against plain versions."""
 
+import glob
 import math
 import random
 import re
@@ -8,6 +9,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -15,7 +17,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from basketlens import session
-from basketlens.llm import byte_pieces, collocations, lexical_search, queries, token_files
+from basketlens.llm import byte_pieces, collocations, lexical_search, queries, token_files, wordstream
 from basketlens.session import settle
 from tests.compare import compare, connect
 from tests.llm.data import docs_of, empty_docs, odd_docs, odd_texts, prose
@@ -88,6 +90,48 @@ def test_accumulators_stop_without_losing_documents(spark):
     assert searched(spark, docs_of(spark, docs), [(*i, "", "", "") for i in items], 5, 100) == plain_search(docs, items, 5)
 
 
+def long_texts(n, words, letters):
+    """Texts of many different words."""
+    draw = np.random.default_rng(3)
+    return [(i, (draw.integers(0, 26, (words, letters)) + 97).astype(np.uint8)) for i in range(n)]
+
+
+def as_rows(texts):
+    return [(i, np.pad(t, ((0, 0), (0, 1)), constant_values=32).tobytes().decode()) for i, t in texts]
+
+
+def read_at_once(folder):
+    """MB of the largest row group of a table, which readers hold at once, and the columns that are lists."""
+    files = [pq.ParquetFile(f) for f in glob.glob(f"{folder.removeprefix('file:')}/*.parquet")]
+    groups = [f.metadata.row_group(i).total_byte_size for f in files for i in range(f.metadata.num_row_groups)]
+    return max(groups, default=0) / 2**20, [field.name for f in files[:1] for field in f.schema_arrow if pa.types.is_list(field.type)]
+
+
+def test_lists_become_cells_and_lists_again():
+    lists = [np.array([-1, 0, 300]), np.zeros(0, np.int64), np.array([5, 2**40]), np.array([-3, 2**62]), np.arange(70_000)]
+    cells = pa.RecordBatch.from_arrays([pa.concat_arrays([wordstream.packed(x) for x in lists])], names=["cell"])
+    for row, x in enumerate(lists):
+        assert wordstream.unpacked_numbers(cells, "cell", row, np.int64).tolist() == x.tolist()
+    odd = pa.array(["a", None, "", "É\x00"])
+    assert wordstream.unpacked(pa.RecordBatch.from_arrays([wordstream.packed(odd)], names=["cell"]), "cell", 0).equals(odd)
+    assert len(wordstream.packed(np.zeros(10_000, np.int64))[0].as_py()) < 1000
+
+
+def test_readers_of_the_index_hold_few_blocks_at_once(spark, tmp_path):
+    """However many blocks a file has: a row group is cut at 8 MB, and a block is some bytes to Spark."""
+    docs = as_rows(long_texts(6, 1 << 20, 4))  # one or two to a block
+    spark.createDataFrame(docs, "doc_id bigint, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, docs[5][1][:50])], "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    folders = lambda: set(session._SETTLED.get(spark.sparkContext.applicationId, []))
+    before = folders()
+    found = queries.queries()["op11_lexical_search"](spark, str(tmp_path))
+    index = next(f for f in folders() - before if "places" in spark.read.parquet(f).columns)
+    assert found.where("rank = 1").first().doc_id == 5
+    assert spark.read.parquet(index).count() >= 3
+    most, lists = read_at_once(index)
+    assert most < 16 and not lists
+
+
 # ------------------------------------------------------------------ collocations
 
 

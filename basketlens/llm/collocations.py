@@ -28,8 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from basketlens.llm.wordstream import byte_classes, numbered, split
-from basketlens.session import discard, settle_tidy
+from basketlens.llm.wordstream import byte_classes, numbered, packed, split, unpacked, unpacked_numbers
+from basketlens.session import LARGE_ROWS, discard, settle_tidy
 
 LEAST, LONGEST, TOP = 100, 5, 2000
 #: Words of one block of a language (a longer text is a block of its own), and of all blocks that a task has open.
@@ -37,9 +37,10 @@ BLOCK_WORDS, OPEN_WORDS = 1 << 18, 1 << 20
 
 #: Words are divided by space and tab, pieces by `[.,;:!?\x0A-\x0D]`.
 CLASSES = byte_classes(b" \t", b".,;:!?\n\x0b\x0c\r")
-STREAM = "block bigint, lang string, words array<string>, times array<int>, stream array<int>, n bigint"
-#: Places are kept as steps from one to the next, which take less room than places.
-RELATION = "block bigint, steps array<int>, items array<int>, ids array<bigint>"
+#: Lists are packed cells (:func:`wordstream.packed`).
+STREAM = "block bigint, lang string, words binary, times binary, stream binary, n bigint"
+#: Places and ids ascend and are kept as steps from one to the next, which take less room.
+RELATION = "block bigint, steps binary, items binary, ids binary"
 
 
 def _schema(ddl: str) -> pa.Schema:
@@ -53,10 +54,6 @@ def _rows(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([(c if isinstance(c, pa.Array) else pa.array(c)).cast(f.type) for c, f in zip(columns, schema)], schema=schema)
 
 
-def _lists(values: np.ndarray | pa.Array) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values if isinstance(values, pa.Array) else pa.array(values))
-
-
 def word_streams(docs: DataFrame, text: str = "text", lang: str = "lang", block_words: int = BLOCK_WORDS) -> DataFrame:
     """Whole texts as blocks of one language: distinct words, their counts, and the words by number, -1 after each piece."""
     source = docs.select(F.coalesce(F.col(f"`{lang}`").cast("string"), F.lit("und")).alias("lang"), F.col(f"`{text}`").alias("text"),
@@ -95,7 +92,7 @@ def _streams(schema: pa.Schema, blocks: dict[str, list]) -> Iterator[pa.RecordBa
         gaps = np.cumsum(np.concatenate([[False], piece[1:] != piece[:-1]]))
         stream = np.full(len(codes) + int(gaps[-1]) + 1, -1, np.int32)
         stream[np.arange(len(codes)) + gaps] = codes
-        yield _rows(schema, [block], [lang], _lists(words), _lists(np.bincount(codes, minlength=len(words))), _lists(stream), [len(codes)])
+        yield _rows(schema, [block], [lang], packed(words), packed(np.bincount(codes, minlength=len(words))), packed(stream), [len(codes)])
 
 
 def _unnested_words(streams: DataFrame) -> DataFrame:
@@ -104,9 +101,9 @@ def _unnested_words(streams: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                words = batch.column("words")[row].values
+                words = unpacked(batch, "words", row)
                 yield _rows(schema, np.full(len(words), batch.column("block")[row].as_py()), pa.array([batch.column("lang")[row].as_py()] * len(words), pa.string()),
-                            np.arange(len(words)), words, batch.column("times")[row].values)
+                            np.arange(len(words)), words, unpacked(batch, "times", row))
 
     return streams.select("block", "lang", "words", "times").mapInArrow(run, "block bigint, lang string, item int, word string, n int")
 
@@ -131,7 +128,7 @@ def _first_relation(streams: DataFrame, frequent: DataFrame) -> DataFrame:
         order = np.argsort(ids)
         for batch in blocks.to_batches():
             for row in range(batch.num_rows):
-                stream = np.asarray(batch.column("stream")[row].values)
+                stream = unpacked_numbers(batch, "stream", row)
                 lookup = np.full(int(stream.max(initial=0)) + 2, -1, np.int32)  # the last place answers -1
                 lookup[kept[order]] = np.arange(len(kept))
                 items = lookup[stream]
@@ -147,17 +144,17 @@ def _relation(schema: pa.Schema, block: pa.Array, places: np.ndarray, items: np.
     beside = np.zeros(len(places) + 1, bool)
     beside[1:-1] = places[1:] == places[:-1] + 1
     kept = beside[1:] | beside[:-1]
-    return _rows(schema, block, _lists(np.diff(places[kept], prepend=0).astype(np.int32)), _lists(items[kept].astype(np.int32)), _lists(ids))
+    return _rows(schema, block, packed(np.diff(places[kept], prepend=0)), packed(items[kept]), packed(np.diff(ids, prepend=0)))
 
 
 def _unpacked(batch: pa.RecordBatch, row: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Places, items and ids of a block of a relation."""
-    steps, items, ids = (np.asarray(batch.column(c)[row].values) for c in ("steps", "items", "ids"))
-    return np.cumsum(steps, dtype=np.int32), items, ids
+    steps, items, ids = (unpacked_numbers(batch, c, row, kind) for c, kind in (("steps", np.int32), ("items", np.int32), ("ids", np.int64)))
+    return np.cumsum(steps, dtype=np.int32), items, np.cumsum(ids)
 
 
 def _by_block(blocks: DataFrame, names: DataFrame, merge) -> DataFrame:
-    return settle_tidy(blocks.groupBy("block").cogroup(names.groupBy("block")).applyInArrow(merge, RELATION))
+    return settle_tidy(blocks.groupBy("block").cogroup(names.groupBy("block")).applyInArrow(merge, RELATION), **LARGE_ROWS)
 
 
 def _joined(places: np.ndarray, items: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -214,7 +211,7 @@ def phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, text: s
     A phrase has ``k`` words, ``f`` occurrences, ``firsts`` and ``lasts`` (occurrences of its first and of its last 1, 2 ...
     words) and ``longer``, the most occurrences of a phrase that holds it and one word more (null: none that is frequent).
     """
-    streams = settle_tidy(word_streams(docs, text, lang, block_words))
+    streams = settle_tidy(word_streams(docs, text, lang, block_words), **LARGE_ROWS)
     totals = settle_tidy(streams.groupBy("lang").agg(F.sum("n").alias("n")))
     frequent = _frequent(_unnested_words(streams), ["lang", "word"], least)
     relation = _first_relation(streams, frequent)

@@ -194,6 +194,23 @@ def test_relations_are_removed_when_no_step_reads_them(spark):
     assert {r.phrase for r in collocations.ranked(found, totals).collect()} == {"one two three four five", "two three four five six"}
 
 
+def test_readers_of_streams_and_relations_hold_few_blocks_at_once(spark, monkeypatch):
+    rows = [("en", text) for _, text in as_rows(long_texts(12, 300_000, 6))] + [("en", "one two three four ")] * 100
+    frame, seen, settle_tidy = spark.createDataFrame(rows, "lang string, text string").coalesce(1), {}, collocations.settle_tidy
+
+    def watched(df, *args, **options):
+        kept = settle_tidy(df, *args, **options)
+        for kind in {"stream", "steps"} & set(kept.columns):
+            seen.setdefault(kind, []).append((kept.count(), *read_at_once(kept._settled_in)))
+        return kept
+
+    monkeypatch.setattr(collocations, "settle_tidy", watched)
+    found, totals = collocations.phrases(frame)
+    assert {r.phrase for r in collocations.ranked(found, totals).collect()} == {"one two three four"}
+    assert seen["stream"][0][0] >= 3 and len(seen["steps"]) == 4
+    assert all(most < 16 and not lists for tables in seen.values() for _, most, lists in tables)
+
+
 def test_tidy_tables_leave_no_shuffles(spark):
     key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     tracker, before = spark._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker(), spark.conf.get(key)

@@ -120,11 +120,19 @@ def fit(points: DataFrame, ks: Sequence[int], restarts: int = RESTARTS, seed: in
 def _blocks(points: DataFrame, width: int) -> DataFrame:
     """The numbers of up to ``AT_ONCE`` points in a row, coordinate by coordinate; null is NaN."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            every = np.asarray(batch.column(0).flatten(), float).reshape(-1, width)
+        def cut(every: np.ndarray) -> Iterator[pa.RecordBatch]:
             for a in range(0, len(every), AT_ONCE):
                 yield pa.RecordBatch.from_arrays([pa.array([every[a: a + AT_ONCE].T.tobytes()], pa.binary())], ["block"])
 
+        kept = []
+        for batch in batches:  # of any size: the text operators set small ones for the session
+            kept.append(np.asarray(batch.column(0).flatten(), float).reshape(-1, width))
+            if sum(map(len, kept)) >= AT_ONCE:
+                yield from cut(np.concatenate(kept))
+                kept = []
+        if kept:
+            yield from cut(np.concatenate(kept))
+
     return points.select("x").mapInArrow(run, "block binary")
 
 

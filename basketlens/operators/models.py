@@ -236,7 +236,7 @@ def train_ltv_models(
         classifier = RandomForestClassifier(
             labelCol="label", predictionCol="_class", probabilityCol="_probability", rawPredictionCol="_raw",
             featureSubsetStrategy="sqrt", **settings,
-        ).fit(data)
+        ).fit(data).copy()  # without the summary, whose session tasks cannot carry once it has observed a frame
     finally:
         data.unpersist()
     return LtvModels(encoder, regressor, classifier)
